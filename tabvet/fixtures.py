@@ -108,3 +108,51 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_sources(spark, sf_dir, ("orders",))
     return spark.sql(PARENT_ORDERS_SQL)
+
+
+# Ledger tables derived from the driver tables: orders as validation jobs, line items as
+# output files (same one-to-many shape), orders as upload sessions and line items as
+# the pieces reported for them.
+JOBS_SQL = """
+SELECT concat('job-', cast(o_orderkey AS string)) AS id,
+  concat('user-', cast(o_custkey AS string)) AS user_id,
+  CASE o_orderkey % 3 WHEN 0 THEN 'orders' WHEN 1 THEN 'products' ELSE 'payments' END AS dataset_type,
+  CASE WHEN o_orderstatus = 'F' THEN 'SUCCEEDED' WHEN o_orderstatus = 'P' THEN 'FAILED'
+       WHEN o_orderkey % 2 = 0 THEN 'RUNNING' ELSE 'PENDING' END AS status,
+  o_orderdate AS created_at
+FROM orders
+"""
+
+FILES_SQL = """
+SELECT concat('file-', cast(l_orderkey AS string), '-', cast(l_linenumber AS string), '-', cast(l_partkey AS string)) AS id,
+  concat('job-', cast(l_orderkey AS string)) AS validation_job_id,
+  CASE WHEN l_returnflag = 'R' THEN 'errors' ELSE 'cleaned_chunk' END AS file_type,
+  concat('cleaned_part_', lpad(cast(l_linenumber - 1 AS string), 4, '0'), '.csv') AS filename,
+  cast(floor(l_extendedprice * 100) AS bigint) AS file_size,
+  l_linenumber - 1 AS chunk_index,
+  cast(l_quantity AS int) AS row_count,
+  l_linestatus = 'F' AS is_valid_only
+FROM lineitem
+"""
+
+REQUESTS_SQL = """
+SELECT concat('file-', cast(l_orderkey AS string), '-', cast(l_linenumber AS string), '-', cast(l_partkey AS string)) AS file_id,
+  concat('user-', cast(CASE WHEN l_partkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS string)) AS user_id
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+"""
+
+SESSIONS_SQL = """
+SELECT concat('upload-', cast(o_orderkey AS string)) AS session_id,
+  cast(floor(o_totalprice * 100) AS bigint) AS file_size, 5242880 AS chunk_size
+FROM orders
+"""
+
+PIECES_SQL = """
+SELECT concat('upload-', cast(l_orderkey AS string)) AS session_id, l_linenumber - 1 AS chunk_index, l_linestatus
+FROM lineitem
+"""
+
+
+def ledger(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    register_sources(spark, sf_dir, ("orders", "lineitem"))
+    return spark.sql(sql)

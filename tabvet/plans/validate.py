@@ -196,7 +196,7 @@ def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number
             raise RuleError(f"input has a column named {ROW!r}; pass row_number={ROW!r} to use it")
         df = df.withColumnRenamed(row_number, ROW)
     target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if not df.isStreaming and df.rdd.getNumPartitions() < target:
         df = df.repartition(target)
     buckets = salt_buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     salt = F.col(ROW)
