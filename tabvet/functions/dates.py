@@ -113,6 +113,11 @@ def _int(c: Column) -> Column:
     return c.try_cast("int")
 
 
+def _seconds(second: Column, micros: Column) -> Column:
+    """Seconds with microseconds as decimal(8,6); inputs are bounded by the regexes."""
+    return (second.cast("decimal(16,6)") + micros.cast("decimal(16,6)") / F.lit(1000000)).cast("decimal(8,6)")
+
+
 def _assemble(parts: dict[str, Column]) -> Column:
     """Timestamp from captured strptime fields, with strptime's defaults (1900-01-01 00:00)."""
     if "Y" in parts:
@@ -148,7 +153,7 @@ def _assemble(parts: dict[str, Column]) -> Column:
     minute = _int(parts["M"]) if "M" in parts else F.lit(0)
     second = _int(parts["S"]) if "S" in parts else F.lit(0)
     micros = _int(F.rpad(parts["f"], 6, "0")) if "f" in parts else F.lit(0)
-    secs = (second.cast("decimal(8,6)") + micros.cast("decimal(8,6)") / F.lit(1000000)).cast("decimal(8,6)")
+    secs = _seconds(second, micros)
     ts = F.try_make_timestamp_ntz(year, month, day, hour, minute, secs)
     # datetime() rejects second 60/61 and year 0, which make_timestamp would roll over.
     return F.when((second <= 59) & (year >= 1), ts)
@@ -201,7 +206,7 @@ def _ts(year, month, day, s: Column, rx: str, first_time_group: int) -> Column:
     k = first_time_group
     hour, minute, second = _opt_int(_g(s, rx, k)), _opt_int(_g(s, rx, k + 1)), _opt_int(_g(s, rx, k + 2))
     micros = _opt_int(F.rpad(_g(s, rx, k + 3), 6, "0")) if k + 3 > 0 else F.lit(0)
-    secs = (second.cast("decimal(8,6)") + micros.cast("decimal(8,6)") / F.lit(1000000)).cast("decimal(8,6)")
+    secs = _seconds(second, micros)
     return F.when((second <= 59) & (year >= 1), F.try_make_timestamp_ntz(year, month, day, hour, minute, secs))
 
 

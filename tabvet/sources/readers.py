@@ -35,6 +35,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, multi
               .option("mode", "PERMISSIVE").option("multiLine", multiline).option("nullValue", "\u0000"))
     if flag_malformed:
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+        # With parser column pruning a short or long record only counts as malformed
+        # when the missing cells are among the columns a query reads; a validator
+        # must judge whole records, so pruning is turned off for this session.
+        spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     return reader.csv(path)
 
 
