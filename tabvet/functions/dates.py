@@ -109,144 +109,170 @@ def compile_strptime(fmt: str) -> CompiledFormat:
     return CompiledFormat(fmt, regex, tuple(fields))
 
 
-def _int(c: Column) -> Column:
-    return c.try_cast("int")
+# Expressions below are built as SQL text and parsed once on the JVM side: a date
+# ladder written node by node through the Python API costs thousands of round trips.
 
 
-def _seconds(second: Column, micros: Column) -> Column:
+def ident(name: str) -> str:
+    """SQL reference to a column name."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def lit_rx(rx: str) -> str:
+    """A raw SQL string literal (no escape processing) holding a regex."""
+    if "'" in rx:
+        raise FormatError(f"regex {rx!r} may not contain a single quote")
+    return "r'" + rx + "'"
+
+
+def _int(x: str) -> str:
+    return f"try_cast({x} AS INT)"
+
+
+def _seconds(second: str, micros: str) -> str:
     """Seconds with microseconds as decimal(8,6); inputs are bounded by the regexes."""
-    return (second.cast("decimal(16,6)") + micros.cast("decimal(16,6)") / F.lit(1000000)).cast("decimal(8,6)")
+    return (f"cast(cast({second} AS decimal(16,6)) + cast({micros} AS decimal(16,6)) / 1000000 "
+            f"AS decimal(8,6))")
 
 
-def _assemble(parts: dict[str, Column]) -> Column:
+def _month_of(name: str, full: bool, short: bool) -> str:
+    whens = []
+    for idx, m in enumerate(MONTH_NAMES, start=1):
+        names = ([m] if full else []) + ([m[:3]] if short else []) + (["sept"] if short and idx == 9 and full else [])
+        whens.append(f"WHEN lower({name}) IN ({', '.join(repr(n) for n in names)}) THEN {idx}")
+    return "CASE " + " ".join(whens) + " END"
+
+
+def _timestamp(year: str, month: str, day: str, hour: str, minute: str, second: str, micros: str) -> str:
+    # datetime() rejects second 60/61 and year 0, which make_timestamp would roll over.
+    return (f"CASE WHEN {second} <= 59 AND {year} >= 1 THEN try_make_timestamp_ntz({year}, {month}, {day}, "
+            f"{hour}, {minute}, {_seconds(second, micros)}) END")
+
+
+def _assemble(parts: dict[str, str]) -> str:
     """Timestamp from captured strptime fields, with strptime's defaults (1900-01-01 00:00)."""
     if "Y" in parts:
         year = _int(parts["Y"])
     elif "y" in parts:
         y = _int(parts["y"])
-        year = y + F.when(y <= 68, F.lit(2000)).otherwise(F.lit(1900))
+        year = f"({y} + CASE WHEN {y} <= 68 THEN 2000 ELSE 1900 END)"
     else:
-        year = F.lit(1900)
+        year = "1900"
     if "m" in parts:
         month = _int(parts["m"])
-    elif "b" in parts or "B" in parts:
-        name = F.lower(parts.get("b", parts.get("B")))
-        month = F.lit(None).cast("int")
-        for idx in range(12, 0, -1):
-            key = MONTH_NAMES[idx - 1] if "B" in parts else MONTH_NAMES[idx - 1][:3]
-            month = F.when(name == key, F.lit(idx)).otherwise(month)
+    elif "B" in parts:
+        month = _month_of(parts["B"], True, False)
+    elif "b" in parts:
+        month = _month_of(parts["b"], False, True)
     else:
-        month = F.lit(1)
-    day = _int(F.ltrim(parts["d"])) if "d" in parts else F.lit(1)
+        month = "1"
+    day = _int(f"ltrim({parts['d']})") if "d" in parts else "1"
     if "H" in parts:
         hour = _int(parts["H"])
     elif "I" in parts:
         h12 = _int(parts["I"])
         if "p" in parts:
-            pm = F.lower(parts["p"]) == "pm"
-            hour = F.when(pm, F.when(h12 == 12, 12).otherwise(h12 + 12)).otherwise(
-                F.when(h12 == 12, 0).otherwise(h12))
+            hour = (f"CASE WHEN lower({parts['p']}) = 'pm' THEN (CASE WHEN {h12} = 12 THEN 12 ELSE {h12} + 12 END) "
+                    f"ELSE (CASE WHEN {h12} = 12 THEN 0 ELSE {h12} END) END")
         else:
-            hour = F.when(h12 == 12, 0).otherwise(h12)
+            hour = f"CASE WHEN {h12} = 12 THEN 0 ELSE {h12} END"
     else:
-        hour = F.lit(0)
-    minute = _int(parts["M"]) if "M" in parts else F.lit(0)
-    second = _int(parts["S"]) if "S" in parts else F.lit(0)
-    micros = _int(F.rpad(parts["f"], 6, "0")) if "f" in parts else F.lit(0)
-    secs = _seconds(second, micros)
-    ts = F.try_make_timestamp_ntz(year, month, day, hour, minute, secs)
-    # datetime() rejects second 60/61 and year 0, which make_timestamp would roll over.
-    return F.when((second <= 59) & (year >= 1), ts)
+        hour = "0"
+    minute = _int(parts["M"]) if "M" in parts else "0"
+    second = _int(parts["S"]) if "S" in parts else "0"
+    micros = _int(f"rpad({parts['f']}, 6, '0')") if "f" in parts else "0"
+    return _timestamp(year, month, day, hour, minute, second, micros)
 
 
-def parse_with_format(trimmed: Column, fmt: str | CompiledFormat) -> Column:
-    """``datetime.strptime(trimmed, fmt)`` as TimestampNTZ, null when strptime raises."""
+def strptime_sql(x: str, fmt: str | CompiledFormat) -> str:
+    """SQL for ``datetime.strptime(x, fmt)`` as TimestampNTZ, null when strptime raises."""
     cf = fmt if isinstance(fmt, CompiledFormat) else compile_strptime(fmt)
+    rx = lit_rx(cf.regex)
     if not cf.fields:
-        return F.when(trimmed.rlike(cf.regex), F.lit("1900-01-01 00:00:00").cast("timestamp_ntz"))
-    parts = {d: F.regexp_extract(trimmed, cf.regex, i + 1) for i, d in enumerate(cf.fields)}
-    return F.when(trimmed.rlike(cf.regex), _assemble(parts))
+        return f"CASE WHEN {x} RLIKE {rx} THEN TIMESTAMP_NTZ '1900-01-01 00:00:00' END"
+    parts = {d: f"regexp_extract({x}, {rx}, {i + 1})" for i, d in enumerate(cf.fields)}
+    return f"CASE WHEN {x} RLIKE {rx} THEN {_assemble(parts)} END"
 
 
-def parse_first(trimmed: Column, formats) -> Column:
+def first_sql(x: str, formats) -> str:
     """First format that parses wins, as in a loop of strptime calls."""
-    cols = [parse_with_format(trimmed, f) for f in formats]
-    if not cols:
-        return F.lit(None).cast("timestamp_ntz")
-    return cols[0] if len(cols) == 1 else F.coalesce(*cols)
+    parts = [strptime_sql(x, f) for f in formats]
+    if not parts:
+        return "CAST(NULL AS TIMESTAMP_NTZ)"
+    return parts[0] if len(parts) == 1 else "coalesce(" + ", ".join(parts) + ")"
 
 
-def split_offset(trimmed: Column) -> tuple[Column, Column]:
+def offset_sql(x: str) -> tuple[str, str]:
     """(local part, offset text or null) for values ending in ``Z`` / ``±HH:MM``."""
-    has = trimmed.rlike(_OFFSET_SPLIT)
-    local = F.when(has, F.regexp_extract(trimmed, _OFFSET_SPLIT, 1)).otherwise(trimmed)
-    off = F.when(has, F.regexp_extract(trimmed, _OFFSET_SPLIT, 2))
-    return local, off
-
-
-def _g(s: Column, rx: str, i: int) -> Column:
-    return F.regexp_extract(s, rx, i)
-
-
-def _opt_int(s: Column) -> Column:
-    return F.coalesce(_int(s), F.lit(0))
-
+    rx = lit_rx(_OFFSET_SPLIT)
+    return (f"CASE WHEN {x} RLIKE {rx} THEN regexp_extract({x}, {rx}, 1) ELSE {x} END",
+            f"CASE WHEN {x} RLIKE {rx} THEN regexp_extract({x}, {rx}, 2) END")
 
-def _month_number(name: Column) -> Column:
-    low = F.lower(name)
-    out = F.lit(None).cast("int")
-    for idx in range(12, 0, -1):
-        full = MONTH_NAMES[idx - 1]
-        names = {full, full[:3]} | ({"sept"} if idx == 9 else set())
-        out = F.when(low.isin(sorted(names)), F.lit(idx)).otherwise(out)
-    return out
 
+def _shape(x: str, rx: str, year: str, month: str, day: str, k: int) -> str:
+    g = lambda i: f"regexp_extract({x}, {lit_rx(rx)}, {i})"
+    opt = lambda e: f"coalesce({_int(e)}, 0)"
+    return _timestamp(year, month, day, opt(g(k)), opt(g(k + 1)), opt(g(k + 2)), opt(f"rpad({g(k + 3)}, 6, '0')"))
 
-def _ts(year, month, day, s: Column, rx: str, first_time_group: int) -> Column:
-    k = first_time_group
-    hour, minute, second = _opt_int(_g(s, rx, k)), _opt_int(_g(s, rx, k + 1)), _opt_int(_g(s, rx, k + 2))
-    micros = _opt_int(F.rpad(_g(s, rx, k + 3), 6, "0")) if k + 3 > 0 else F.lit(0)
-    secs = _seconds(second, micros)
-    return F.when((second <= 59) & (year >= 1), F.try_make_timestamp_ntz(year, month, day, hour, minute, secs))
 
-
-def _compact_ts(s: Column) -> Column:
-    rx = LADDER_COMPACT
-    secs = _opt_int(_g(s, rx, 6))
-    return F.when(secs <= 59, F.try_make_timestamp_ntz(
-        _int(_g(s, rx, 1)), _int(_g(s, rx, 2)), _int(_g(s, rx, 3)), _opt_int(_g(s, rx, 4)), _opt_int(_g(s, rx, 5)),
-        secs.cast("decimal(8,6)")))
-
-
-def parse_freeform(local: Column) -> Column:
+def freeform_sql(x: str) -> str:
     """Free-form fallback over text with any UTC offset already removed."""
-    s = local
-    iso = _ts(_int(_g(s, LADDER_ISO, 1)), _int(_g(s, LADDER_ISO, 2)), _int(_g(s, LADDER_ISO, 3)), s, LADDER_ISO, 4)
-    ymd = _ts(_int(_g(s, LADDER_YMD, 1)), _int(_g(s, LADDER_YMD, 2)), _int(_g(s, LADDER_YMD, 3)), s, LADDER_YMD, 4)
-    a, b, y = _int(_g(s, LADDER_NUMERIC, 1)), _int(_g(s, LADDER_NUMERIC, 3)), _int(_g(s, LADDER_NUMERIC, 4))
-    month_first = _ts(y, a, b, s, LADDER_NUMERIC, 5)
-    day_first = _ts(y, b, a, s, LADDER_NUMERIC, 5)
-    dn = _ts(_int(_g(s, LADDER_DAY_NAME, 3)), _month_number(_g(s, LADDER_DAY_NAME, 2)),
-             _int(_g(s, LADDER_DAY_NAME, 1)), s, LADDER_DAY_NAME, 4)
-    nd = _ts(_int(_g(s, LADDER_NAME_DAY, 3)), _month_number(_g(s, LADDER_NAME_DAY, 1)),
-             _int(_g(s, LADDER_NAME_DAY, 2)), s, LADDER_NAME_DAY, 4)
-    return (F.when(s.rlike(LADDER_ISO), iso)
-            .when(s.rlike(LADDER_YMD), ymd)
-            .when(s.rlike(LADDER_COMPACT), _compact_ts(s))
-            .when(s.rlike(LADDER_NUMERIC), F.coalesce(month_first, day_first))
-            .when(s.rlike(LADDER_DAY_NAME), dn)
-            .when(s.rlike(LADDER_NAME_DAY), nd))
-
-
-def parse_datetime(value: Column, formats=None, freeform: bool = True) -> Column:
-    """Formats first (strptime, in order), then the free-form ladder."""
-    t = py_trim(value)
-    cols = [parse_with_format(t, f) for f in (formats or [])]
+    g = lambda rx, i: f"regexp_extract({x}, {lit_rx(rx)}, {i})"
+    iso = _shape(x, LADDER_ISO, _int(g(LADDER_ISO, 1)), _int(g(LADDER_ISO, 2)), _int(g(LADDER_ISO, 3)), 4)
+    ymd = _shape(x, LADDER_YMD, _int(g(LADDER_YMD, 1)), _int(g(LADDER_YMD, 2)), _int(g(LADDER_YMD, 3)), 4)
+    c = LADDER_COMPACT
+    compact = _timestamp(_int(g(c, 1)), _int(g(c, 2)), _int(g(c, 3)), f"coalesce({_int(g(c, 4))}, 0)",
+                         f"coalesce({_int(g(c, 5))}, 0)", f"coalesce({_int(g(c, 6))}, 0)", "0")
+    n = LADDER_NUMERIC
+    a, b, y = _int(g(n, 1)), _int(g(n, 3)), _int(g(n, 4))
+    month_first = _shape(x, n, y, a, b, 5)
+    day_first = _shape(x, n, y, b, a, 5)
+    dn = _shape(x, LADDER_DAY_NAME, _int(g(LADDER_DAY_NAME, 3)), _month_of(g(LADDER_DAY_NAME, 2), True, True),
+                _int(g(LADDER_DAY_NAME, 1)), 4)
+    nd = _shape(x, LADDER_NAME_DAY, _int(g(LADDER_NAME_DAY, 3)), _month_of(g(LADDER_NAME_DAY, 1), True, True),
+                _int(g(LADDER_NAME_DAY, 2)), 4)
+    return (f"CASE WHEN {x} RLIKE {lit_rx(LADDER_ISO)} THEN {iso} "
+            f"WHEN {x} RLIKE {lit_rx(LADDER_YMD)} THEN {ymd} "
+            f"WHEN {x} RLIKE {lit_rx(c)} THEN {compact} "
+            f"WHEN {x} RLIKE {lit_rx(n)} THEN coalesce({month_first}, {day_first}) "
+            f"WHEN {x} RLIKE {lit_rx(LADDER_DAY_NAME)} THEN {dn} "
+            f"WHEN {x} RLIKE {lit_rx(LADDER_NAME_DAY)} THEN {nd} END")
+
+
+def _name(c) -> str:
+    if isinstance(c, str):
+        return ident(c)
+    raise TypeError("pass a column name")
+
+
+def parse_with_format(name: str, fmt: str | CompiledFormat) -> Column:
+    """``datetime.strptime`` of column ``name`` (already stripped) as TimestampNTZ."""
+    return F.expr(strptime_sql(_name(name), fmt))
+
+
+def parse_first(name: str, formats) -> Column:
+    return F.expr(first_sql(_name(name), formats))
+
+
+def parse_freeform(name: str) -> Column:
+    """Free-form ladder over column ``name``, any trailing UTC offset dropped."""
+    local, _ = offset_sql(_name(name))
+    return F.expr(freeform_sql(f"({local})"))
+
+
+def parse_datetime(name: str, formats=None, freeform: bool = True) -> Column:
+    """Strip, then formats first (strptime, in order), then the free-form ladder."""
+    t = f"trim({_name(name)}, {_ws_literal()})"
+    parts = [strptime_sql(t, f) for f in (formats or [])]
     if freeform:
-        cols.append(parse_freeform(split_offset(t)[0]))
-    if not cols:
+        parts.append(freeform_sql(f"({offset_sql(t)[0]})"))
+    if not parts:
         return F.lit(None).cast("timestamp_ntz")
-    return cols[0] if len(cols) == 1 else F.coalesce(*cols)
+    return F.expr(parts[0] if len(parts) == 1 else "coalesce(" + ", ".join(parts) + ")")
+
+
+def _ws_literal() -> str:
+    return "concat(" + ", ".join(f"char({ord(c)})" for c in PY_WHITESPACE) + ")"
 
 
 def iso_text(ts: Column) -> Column:

@@ -45,12 +45,20 @@ DEFAULT_PLAN: tuple[PlanEntry, ...] = (
 _DIALABLE = r"^\+?[0-9 \t\-.()/\[\]~]*$"
 
 
-def _by_region(region: Column, values: dict[str, Column], default=None) -> Column:
-    out = F.lit(default) if not isinstance(default, Column) else default
-    expr = None
-    for key, val in values.items():
-        expr = (F.when(region == key, val) if expr is None else expr.when(region == key, val))
-    return out if expr is None else expr.otherwise(out)
+def _case(key: str, values: dict[str, str], default: str = "NULL") -> str:
+    """SQL ``CASE key WHEN 'a' THEN .. END`` over literal keys."""
+    if not values:
+        return default
+    whens = " ".join(f"WHEN {key} = '{k}' THEN {v}" for k, v in values.items())
+    return f"(CASE {whens} ELSE {default} END)"
+
+
+def _sq(s: str) -> str:
+    return "'" + s + "'"
+
+
+def _arr(ns) -> str:
+    return "array(" + ", ".join(str(n) for n in ns) + ")" if ns else "CAST(array() AS array<int>)"
 
 
 @dataclass(frozen=True)
@@ -72,51 +80,51 @@ def parse_phone(st, trimmed: str, region: str, plan=DEFAULT_PLAN) -> PhoneParse:
     rest has a possible length. Parsing fails without 2 to 17 national digits, with
     characters a dialled number cannot hold, or with an unknown region / code.
     """
-    col = F.col
-    t, r = col(trimmed), col(region)
-    body = st.add(F.regexp_replace(F.regexp_extract(t, r"(?s)[+0-9].*", 0), r"[^0-9]+$", ""), [trimmed])
-    b = col(body)
-    digits = st.add(F.regexp_replace(b, r"[^0-9]", ""), [body])
-    plus = st.add(b.startswith("+"), [body])
-    dialable = st.add(b.rlike(_DIALABLE), [body])
-    d = col(digits)
-
-    idd = _by_region(r, {p.region: F.lit(p.idd) for p in plan if p.idd})
-    via_idd = st.add(~col(plus) & F.coalesce(d.startswith(idd), F.lit(False)), [plus, digits, region])
-    international = st.add(col(plus) | col(via_idd), [plus, via_idd])
-    intl = st.add(F.when(col(plus), d).when(col(via_idd), d.substr(F.length(idd) + 1, F.lit(10**6))),
-                  [plus, via_idd, digits, region])
-    i = col(intl)
-    cc_expr = None
-    for p in sorted(plan, key=lambda p: -len(p.calling_code)):
-        cond = i.startswith(p.calling_code)
-        cc_expr = F.when(cond, F.lit(p.calling_code)) if cc_expr is None else cc_expr.when(cond, F.lit(p.calling_code))
-    cc = st.add(cc_expr if cc_expr is not None else F.lit(None).cast("string"), [intl])
-
-    trunk = _by_region(r, {p.region: F.lit(p.trunk) for p in plan if p.trunk})
-    all_lengths = {p.region: F.array(*[F.lit(n) for n in p.lengths + p.local_lengths]) for p in plan}
-    strip_trunk = (trunk.isNotNull() & d.startswith(trunk)
-                   & F.array_contains(_by_region(r, all_lengths, F.array().cast("array<int>")),
-                                      F.length(d) - F.length(trunk)))
-    local = st.add(F.when(F.coalesce(strip_trunk, F.lit(False)), d.substr(F.length(trunk) + 1, F.lit(10**6)))
-                   .otherwise(d), [digits, region])
-    region_of_cc = _by_region(col(cc), {p.calling_code: F.lit(p.region) for p in plan})
-    national = st.add(F.when(col(international), i.substr(F.length(col(cc)) + 1, F.lit(10**6)))
-                      .otherwise(col(local)), [international, intl, cc, local])
-    num_region = st.add(F.when(col(international), region_of_cc).otherwise(r), [international, cc, region])
-    n_len = F.length(col(national))
-    known = r.isin([p.region for p in plan])
-    parsed = st.add(F.coalesce((F.length(d) >= 2) & col(dialable)
-                               & F.when(col(international), col(cc).isNotNull()).otherwise(known)
-                               & (n_len >= 2) & (n_len <= 17), F.lit(False)),
-                    [digits, dialable, international, cc, region, national])
-    nr, nat = col(num_region), col(national)
-    possible = st.add(F.coalesce(F.array_contains(_by_region(nr, all_lengths, F.array().cast("array<int>")), n_len),
-                                 F.lit(False)), [num_region, national])
-    valid = st.add(F.coalesce(_by_region(nr, {p.region: nat.rlike("^(?:" + p.pattern + ")$") for p in plan},
-                                         F.lit(False)), F.lit(False)), [num_region, national])
-    e164 = st.add(F.concat(F.lit("+"), _by_region(nr, {p.region: F.lit(p.calling_code) for p in plan}), nat),
-                  [num_region, national])
+    from tabvet.functions.dates import ident, lit_rx
+
+    def add(sql: str, deps) -> str:
+        return st.add(F.expr(sql), deps)
+
+    t, r = ident(trimmed), ident(region)
+    body = add(f"regexp_replace(regexp_extract({t}, {lit_rx('(?s)[+0-9].*')}, 0), {lit_rx('[^0-9]+$')}, '')",
+               [trimmed])
+    b = ident(body)
+    digits = add(f"regexp_replace({b}, {lit_rx('[^0-9]')}, '')", [body])
+    plus = add(f"startswith({b}, '+')", [body])
+    dialable = add(f"{b} RLIKE {lit_rx(_DIALABLE)}", [body])
+    d, pl = ident(digits), ident(plus)
+    idd = _case(r, {p.region: _sq(p.idd) for p in plan if p.idd})
+    via_idd = add(f"NOT {pl} AND coalesce(startswith({d}, {idd}), false)", [plus, digits, region])
+    vi = ident(via_idd)
+    international = add(f"{pl} OR {vi}", [plus, via_idd])
+    intl = add(f"CASE WHEN {pl} THEN {d} WHEN {vi} THEN substr({d}, length({idd}) + 1) END",
+               [plus, via_idd, digits, region])
+    i = ident(intl)
+    ccs = sorted(plan, key=lambda p: -len(p.calling_code))
+    cc = add("CASE " + " ".join(f"WHEN startswith({i}, '{p.calling_code}') THEN '{p.calling_code}'" for p in ccs)
+             + " END", [intl])
+    trunk = _case(r, {p.region: _sq(p.trunk) for p in plan if p.trunk})
+    lens = {p.region: _arr(p.lengths + p.local_lengths) for p in plan}
+    local = add(f"CASE WHEN {trunk} IS NOT NULL AND startswith({d}, {trunk}) AND "
+                f"array_contains({_case(r, lens, _arr(()))}, length({d}) - length({trunk})) "
+                f"THEN substr({d}, length({trunk}) + 1) ELSE {d} END", [digits, region])
+    x, c, lo = ident(international), ident(cc), ident(local)
+    national = add(f"CASE WHEN {x} THEN substr({i}, length({c}) + 1) ELSE {lo} END",
+                   [international, intl, cc, local])
+    num_region = add(f"CASE WHEN {x} THEN {_case(c, {p.calling_code: _sq(p.region) for p in plan})} ELSE {r} END",
+                     [international, cc, region])
+    n, nr = ident(national), ident(num_region)
+    known = ", ".join(_sq(p.region) for p in plan)
+    parsed = add(f"coalesce(length({d}) >= 2 AND {ident(dialable)} AND "
+                 f"(CASE WHEN {x} THEN {c} IS NOT NULL ELSE {r} IN ({known}) END) AND "
+                 f"length({n}) BETWEEN 2 AND 17, false)",
+                 [digits, dialable, international, cc, region, national])
+    possible = add(f"coalesce(array_contains({_case(nr, lens, _arr(()))}, length({n})), false)",
+                   [num_region, national])
+    valid = add("coalesce(" + _case(nr, {p.region: f"{n} RLIKE {lit_rx('^(?:' + p.pattern + ')$')}" for p in plan},
+                                    "false") + ", false)", [num_region, national])
+    e164 = add(f"concat('+', {_case(nr, {p.region: _sq(p.calling_code) for p in plan})}, {n})",
+               [num_region, national])
     return PhoneParse(parsed, possible, valid, e164, digits)
 
 

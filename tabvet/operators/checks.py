@@ -15,7 +15,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabvet.functions.dates import (DEFAULT_VALIDATION_FORMATS, parse_first, parse_freeform, split_offset)
+from tabvet.functions.dates import DEFAULT_VALIDATION_FORMATS, first_sql, freeform_sql, ident, offset_sql
 from tabvet.functions.numeric import is_finite, parse_py_float, trunc_toward_zero
 from tabvet.functions.phone import DEFAULT_PLAN, PhoneParse, parse_phone, row_region
 from tabvet.functions.text import py_trim, python_list_text, python_number_text
@@ -73,27 +73,28 @@ class FieldValues:
         return self._get("num", lambda: self.ctx.stager.add(parse_py_float(self.t), [self.trimmed]))
 
     def by_formats(self, formats: tuple[str, ...]) -> str:
-        return self._get(("fmt", formats),
-                         lambda: self.ctx.stager.add(parse_first(self.t, list(formats)), [self.trimmed]))
+        return self._get(("fmt", formats), lambda: self.ctx.stager.add(
+            F.expr(first_sql(ident(self.trimmed), list(formats))), [self.trimmed]))
 
     def offset_split(self, after: tuple[str, ...] | None = None) -> tuple[str, str]:
         """(text without a trailing UTC offset, the offset); with ``after`` only for
         rows where those formats did not parse."""
         def make():
-            local, off = split_offset(self.t)
+            local, off = offset_sql(ident(self.trimmed))
             st = self.ctx.stager
             if not after:
-                return st.add(local, [self.trimmed]), st.add(off, [self.trimmed])
+                return st.add(F.expr(local), [self.trimmed]), st.add(F.expr(off), [self.trimmed])
             fmt = self.by_formats(after)
-            need = col(fmt).isNull()
-            return st.add(F.when(need, local), [self.trimmed, fmt]), st.add(F.when(need, off), [self.trimmed, fmt])
+            need = f"{ident(fmt)} IS NULL"
+            return (st.add(F.expr(f"CASE WHEN {need} THEN {local} END"), [self.trimmed, fmt]),
+                    st.add(F.expr(f"CASE WHEN {need} THEN {off} END"), [self.trimmed, fmt]))
         return self._get(("split", after), make)
 
     def freeform(self, after: tuple[str, ...] | None = None) -> str:
         """Free-form parse; with ``after`` only where those formats did not parse
         (the ladder is the expensive part, so it runs only when needed)."""
         local, _ = self.offset_split(after)
-        return self._get(("free", after), lambda: self.ctx.stager.add(parse_freeform(col(local)), [local]))
+        return self._get(("free", after), lambda: self.ctx.stager.add(F.expr(freeform_sql(ident(local))), [local]))
 
     def region(self, region_column: str | None, default: str) -> str:
         return self._get(("region", region_column, default),

@@ -24,12 +24,25 @@ from pyspark.sql import functions as F
 from tabvet.functions.text import py_trim
 
 DEFAULT_SUPPORT = 1e-3   # a key holding >= 0.1 % of rows is salted; at most 1000 such keys
+SKEW_MIN_BYTES = 1 << 30   # below ~1 GB of input one task per key is cheap and AQE suffices
 
 
-def heavy_keys(df: DataFrame, key: Column, support: float = DEFAULT_SUPPORT) -> list:
+def estimated_bytes(df: DataFrame) -> int:
+    """Bytes read by ``df``'s scans, from Catalyst's statistics of the plan leaves
+    (planning only, no job). Projections above a scan can make the estimate of the
+    whole plan arbitrarily large, so only the leaves are summed."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    except Exception:  # noqa: BLE001 - an estimate is optional
+        return 1 << 62
+
+
+def heavy_keys(df: DataFrame, key: Column, support: float = DEFAULT_SUPPORT, min_bytes: int = SKEW_MIN_BYTES) -> list:
     """Candidate heavy hitters of ``key`` (may include false positives, never misses
-    a key above ``support``). Bounded by ``1/support`` values."""
-    if support <= 0:
+    a key above ``support``). Bounded by ``1/support`` values. Skipped (no job) when
+    the input is estimated below ``min_bytes``."""
+    if support <= 0 or estimated_bytes(df) < min_bytes:
         return []
     row = df.select(key.alias("_hk")).where(F.col("_hk").isNotNull()).stat.freqItems(["_hk"], support).first()
     items = list(row[0]) if row and row[0] else []
@@ -73,11 +86,11 @@ def _present_trimmed(column: str) -> Column:
 
 
 def with_unique_flag(df: DataFrame, column: str, flag: str, salt_source: Column,
-                     buckets: int = 64, support: float = DEFAULT_SUPPORT) -> DataFrame:
+                     buckets: int = 64, support: float = DEFAULT_SUPPORT, min_bytes: int = SKEW_MIN_BYTES) -> DataFrame:
     """``flag`` is true when the cell's trimmed text equals the stored text of more
     than one row (every copy is flagged, the first one included)."""
     key = _present_trimmed(column)
-    hot = heavy_keys(df, key, support)
+    hot = heavy_keys(df, key, support, min_bytes)
     return salted_membership(df, key, duplicate_values(df, column), "_uk", flag, salt_source, hot, buckets)
 
 
@@ -87,8 +100,9 @@ def parent_keys(parent: DataFrame, column: str) -> DataFrame:
 
 
 def with_reference_flag(df: DataFrame, column: str, parent: DataFrame, parent_column: str, flag: str,
-                        salt_source: Column, buckets: int = 64, support: float = DEFAULT_SUPPORT) -> DataFrame:
+                        salt_source: Column, buckets: int = 64, support: float = DEFAULT_SUPPORT,
+                        min_bytes: int = SKEW_MIN_BYTES) -> DataFrame:
     """``flag`` is true when the cell's trimmed text is a key of ``parent``."""
     key = _present_trimmed(column)
-    hot = heavy_keys(df, key, support)
+    hot = heavy_keys(df, key, support, min_bytes)
     return salted_membership(df, key, parent_keys(parent, parent_column), "_pk", flag, salt_source, hot, buckets)

@@ -40,8 +40,8 @@ def test_hot_key_is_salted_and_exact(spark):
     n = 3000
     rows = [("HOT" if i % 3 == 0 else f"K{i}", "A" if i % 3 == 0 else "ZZ") for i in range(n)]
     df = spark.createDataFrame([(r[0],) for r in rows], "k string")
-    assert "HOT" in heavy_keys(df, F.col("k"))
-    got = _errors(spark, rows, salt_buckets=16)
+    assert "HOT" in heavy_keys(df, F.col("k"), min_bytes=0)
+    got = _errors(spark, rows, salt_buckets=16, skew_min_bytes=0)
     unique = [r for r in got if r[1] == "UNIQUE"]
     ref = [r for r in got if r[1] == "REFERENCE"]
     assert len(unique) == n // 3 and len(ref) == n - n // 3
