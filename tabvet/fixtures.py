@@ -85,9 +85,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def register_sources(spark: SparkSession, sf_dir: str, names=("orders", "lineitem", "part", "events")) -> None:
     """Temp views of the driver tables; file position exposed as ``_row_index``."""
+    from tabvet.sources.readers import balanced
+
     for name in names:
         df = read_table(spark, sf_dir, name).withColumn("_row_index", F.col("_metadata.row_index"))
-        df.createOrReplaceTempView(name)
+        balanced(df).createOrReplaceTempView(name)
 
 
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,28 @@ def strptime_sql(x: str, fmt: str | CompiledFormat) -> str:
     return f"CASE WHEN {x} RLIKE {rx} THEN {_assemble(parts)} END"
 
 
+SEP = "\u0001"
+
+
+def strptime_parts_sql(x: str, fmt: str | CompiledFormat) -> str:
+    """Captured fields of ``fmt`` as an array (one regex replace + a split), or null
+    when the value does not match. Staged once, so the fields are not re-matched."""
+    cf = fmt if isinstance(fmt, CompiledFormat) else compile_strptime(fmt)
+    rx = lit_rx(cf.regex)
+    if not cf.fields:
+        return f"CASE WHEN {x} RLIKE {rx} THEN array('') END"
+    repl = SEP.join(f"${i + 1}" for i in range(len(cf.fields)))
+    return f"CASE WHEN {x} RLIKE {rx} THEN split(regexp_replace({x}, {rx}, '{repl}'), '{SEP}') END"
+
+
+def strptime_from_parts_sql(parts: str, fmt: str | CompiledFormat) -> str:
+    """Timestamp from the array built by ``strptime_parts_sql``."""
+    cf = fmt if isinstance(fmt, CompiledFormat) else compile_strptime(fmt)
+    if not cf.fields:
+        return f"CASE WHEN {parts} IS NOT NULL THEN TIMESTAMP_NTZ '1900-01-01 00:00:00' END"
+    return _assemble({d: f"element_at({parts}, {i + 1})" for i, d in enumerate(cf.fields)})
+
+
 def first_sql(x: str, formats) -> str:
     """First format that parses wins, as in a loop of strptime calls."""
     parts = [strptime_sql(x, f) for f in formats]
@@ -276,10 +298,15 @@ def _ws_literal() -> str:
 
 
 def iso_text(ts: Column) -> Column:
-    """``datetime.isoformat()``: microseconds only when non-zero."""
-    with_micros = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    plain = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(F.date_format(ts, "SSSSSS") != "000000", with_micros).otherwise(plain)
+    """``datetime.isoformat()``: microseconds only when non-zero (6 digits then).
+
+    Built from the timestamp's string cast (no formatter per row): the cast prints
+    ``yyyy-MM-dd HH:mm:ss`` plus the fraction without trailing zeros."""
+    text = ts.cast("string")
+    base = F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8))
+    frac = F.substring(text, 20, 7)
+    return F.when(ts.isNull(), F.lit(None).cast("string")).when(
+        F.length(text) > 19, F.concat(base, F.rpad(frac, 7, "0"))).otherwise(base)
 
 
 def iso_offset_text(off: Column) -> Column:

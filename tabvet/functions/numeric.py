@@ -25,7 +25,7 @@ def parse_py_float(trimmed: Column) -> Column:
     low = F.lower(trimmed)
     return (
         F.when(trimmed.rlike(DECIMAL_GATE),
-               F.regexp_replace(trimmed, "_", "").try_cast("double"))
+               F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double"))
         .when(low.isin(NAN_WORDS), F.lit(float("nan")))
         .when(low.isin(POS_INF_WORDS), F.lit(float("inf")))
         .when(low.isin(NEG_INF_WORDS), F.lit(float("-inf")))

@@ -86,8 +86,8 @@ def parse_phone(st, trimmed: str, region: str, plan=DEFAULT_PLAN) -> PhoneParse:
         return st.add(F.expr(sql), deps)
 
     t, r = ident(trimmed), ident(region)
-    body = add(f"regexp_replace(regexp_extract({t}, {lit_rx('(?s)[+0-9].*')}, 0), {lit_rx('[^0-9]+$')}, '')",
-               [trimmed])
+    # from the first digit or '+' to the last digit, in one match
+    body = add(f"regexp_extract({t}, {lit_rx('(?s)([+0-9](?:.*[0-9])?)')}, 1)", [trimmed])
     b = ident(body)
     digits = add(f"regexp_replace({b}, {lit_rx('[^0-9]')}, '')", [body])
     plus = add(f"startswith({b}, '+')", [body])

@@ -15,7 +15,8 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabvet.functions.dates import DEFAULT_VALIDATION_FORMATS, first_sql, freeform_sql, ident, offset_sql
+from tabvet.functions.dates import (DEFAULT_VALIDATION_FORMATS, freeform_sql, ident, offset_sql,
+                                   strptime_from_parts_sql, strptime_parts_sql)
 from tabvet.functions.numeric import is_finite, parse_py_float, trunc_toward_zero
 from tabvet.functions.phone import DEFAULT_PLAN, PhoneParse, parse_phone, row_region
 from tabvet.functions.text import py_trim, python_list_text, python_number_text
@@ -73,8 +74,22 @@ class FieldValues:
         return self._get("num", lambda: self.ctx.stager.add(parse_py_float(self.t), [self.trimmed]))
 
     def by_formats(self, formats: tuple[str, ...]) -> str:
-        return self._get(("fmt", formats), lambda: self.ctx.stager.add(
-            F.expr(first_sql(ident(self.trimmed), list(formats))), [self.trimmed]))
+        """strptime with each format in turn; a format is only tried where the
+        previous ones failed, and its fields are matched once (staged array)."""
+        def make():
+            st, t = self.ctx.stager, ident(self.trimmed)
+            prev = None
+            for fmt in formats:
+                cond = "" if prev is None else f"{ident(prev)} IS NULL AND "
+                parts = st.add(F.expr(f"CASE WHEN {cond}true THEN {strptime_parts_sql(t, fmt)} END"),
+                               [self.trimmed] + ([prev] if prev else []))
+                ts = strptime_from_parts_sql(ident(parts), fmt)
+                expr = ts if prev is None else f"coalesce({ident(prev)}, {ts})"
+                prev = st.add(F.expr(expr), [parts] + ([prev] if prev else []))
+            if prev is None:
+                prev = st.add(F.lit(None).cast("timestamp_ntz"))
+            return prev
+        return self._get(("fmt", formats), make)
 
     def offset_split(self, after: tuple[str, ...] | None = None) -> tuple[str, str]:
         """(text without a trailing UTC offset, the offset); with ``after`` only for

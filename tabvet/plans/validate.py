@@ -21,6 +21,7 @@ from tabvet.operators.keys import DEFAULT_SUPPORT, SKEW_MIN_BYTES, with_referenc
 from tabvet.operators.rownum import with_row_numbers
 from tabvet.plans.compile import Compiled, KeyFlags, compile_rules
 from tabvet.plans.rules import RuleError, RuleSet
+from tabvet.sources.readers import balanced
 
 ROW = "row_number"
 
@@ -198,9 +199,7 @@ def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number
         if ROW in df.columns:
             raise RuleError(f"input has a column named {ROW!r}; pass row_number={ROW!r} to use it")
         df = df.withColumnRenamed(row_number, ROW)
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if not df.isStreaming and df.rdd.getNumPartitions() < target:
-        df = df.repartition(target)
+    df = balanced(df, min_partitions)
     buckets = salt_buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     salt = F.col(ROW)
 

@@ -12,6 +12,16 @@ from tabvet.functions.text import py_trim
 CORRUPT = "_corrupt_record"
 
 
+def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread ``df`` round-robin when its scan yields fewer splits than the cluster has
+    cores (e.g. one large unsplittable file or row group); large inputs are untouched,
+    so this costs nothing at scale. Checking the split count plans, it runs no job."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def separator_for(path: str) -> str:
     """``.tsv`` files are tab-separated; ``.csv`` / ``.txt`` use commas."""
     return "\t" if str(path).lower().endswith(".tsv") else ","
