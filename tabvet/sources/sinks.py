@@ -15,14 +15,24 @@ from pyspark.sql import functions as F
 
 from tabvet.plans.rules import RuleError
 from tabvet.plans.validate import ROW, Validated
+from tabvet.session import checkpoint_dir
 
 
-def chunk_layout(validated: Validated, chunk_rows: int = 100_000, valid_only: bool = False) -> DataFrame:
-    """Cleaned rows with ``out_pos`` (1-based position among output rows) and ``chunk_index``."""
+def chunk_layout(validated: Validated, chunk_rows: int = 100_000, valid_only: bool = False,
+                 materialize: bool = False) -> DataFrame:
+    """Cleaned rows with ``out_pos`` (1-based position among output rows) and ``chunk_index``.
+
+    The rows are read twice (bucket counts, then the rows themselves). With
+    ``materialize`` they are validated once and written to the session's checkpoint
+    folder first (reliable storage, lineage cut), instead of validating twice.
+    """
     if chunk_rows <= 0:
         raise RuleError("chunk_rows must be positive")
-    rows = validated.with_row_number(valid_only).withColumn(
-        "_b", F.floor((F.col(ROW) - F.lit(2)) / F.lit(chunk_rows)))
+    rows = validated.with_row_number(valid_only)
+    if materialize:
+        checkpoint_dir(rows.sparkSession)
+        rows = rows.checkpoint(eager=True)
+    rows = rows.withColumn("_b", F.floor((F.col(ROW) - F.lit(2)) / F.lit(chunk_rows)))
     per_bucket = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn"))
     # one row per bucket (rows / chunk_rows of them): a global running sum is cheap here
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,12 +82,30 @@ def file_sizes(spark, path: str) -> DataFrame:
 
 def write_outputs(validated: Validated, path: str, chunk_rows: int = 100_000, valid_only: bool = False,
                   job_id: str = "job") -> DataFrame:
-    """Write chunks and the error report under ``path``; return the full manifest."""
+    """Write chunks and the error report under ``path``; return the full manifest.
+
+    Validation runs once (materialized in the checkpoint folder). Chunk row counts
+    follow from the total (every chunk is full but the last), so the manifest needs
+    no pass over the written files beyond listing their sizes. An empty output is one
+    header-only chunk, as in the reference.
+    """
     spark = validated.frame.sparkSession
-    layout = chunk_layout(validated, chunk_rows, valid_only)
-    write_chunks(layout, f"{path}/cleaned")
-    manifest = chunk_manifest(spark.read.option("header", True).csv(f"{path}/cleaned")
-                              .select("chunk_index"), valid_only, job_id)
-    manifest = manifest.join(file_sizes(spark, f"{path}/cleaned"), "chunk_index", "left")
+    layout = chunk_layout(validated, chunk_rows, valid_only, materialize=True)
+    total = layout.count()
+    cleaned = f"{path}/cleaned"
+    if total == 0:
+        empty = layout.drop(ROW, "out_pos", "chunk_index").limit(0)
+        empty.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{cleaned}/chunk_index=0")
+    else:
+        write_chunks(layout, cleaned)
+    n_chunks = max(1, -(-total // chunk_rows))
+    idx = F.col("id").cast("int")
+    filename = F.format_string("cleaned_part_%04d.csv", idx)
+    manifest = spark.range(n_chunks).select(
+        F.lit("cleaned_chunk").alias("file_type"), filename.alias("filename"),
+        F.concat(F.lit(f"outputs/{job_id}/"), filename).alias("storage_key"), idx.alias("chunk_index"),
+        F.least(F.lit(chunk_rows), F.lit(total) - F.col("id") * F.lit(chunk_rows)).cast("int").alias("row_count"),
+        F.lit(valid_only).alias("is_valid_only"))
+    manifest = manifest.join(file_sizes(spark, cleaned), "chunk_index", "left")
     write_error_report(validated, f"{path}/errors")
     return manifest
