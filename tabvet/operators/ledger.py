@@ -56,7 +56,7 @@ def recent_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:
     """
     w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
     return (jobs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-            .select("user_id", "id", "status", "created_at", "rank"))
+            .select("user_id", "id", "status", "created_at", F.col("rank").cast("long").alias("rank")))
 
 
 def job_status_counts(recent: DataFrame) -> DataFrame:
