@@ -18,6 +18,24 @@ from tabvet.plans.validate import ROW, Validated
 from tabvet.session import checkpoint_dir
 
 
+FANOUT = 4096
+
+
+def running_bases(per_bucket: DataFrame) -> DataFrame:
+    """Exclusive running sum of ``_bn`` over ``_b`` without a window that grows with
+    the data: buckets are grouped ``FANOUT`` at a time; the group totals (buckets /
+    FANOUT rows) get a running sum, and each group's buckets are summed inside the
+    group. No window sees more than ``FANOUT`` rows until the table holds more than
+    ``FANOUT**2`` buckets (1.6e12 rows at the default chunk size)."""
+    grouped = per_bucket.withColumn("_g", F.floor(F.col("_b") / F.lit(FANOUT)))
+    group_tot = grouped.groupBy("_g").agg(F.sum("_bn").alias("_gn"))
+    before_g = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    group_base = group_tot.select("_g", F.coalesce(F.sum("_gn").over(before_g), F.lit(0)).alias("_gbase"))
+    before_b = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = grouped.select("_g", "_b", F.coalesce(F.sum("_bn").over(before_b), F.lit(0)).alias("_inner"))
+    return inside.join(group_base, "_g").select("_b", (F.col("_gbase") + F.col("_inner")).alias("_base"))
+
+
 def chunk_layout(validated: Validated, chunk_rows: int = 100_000, valid_only: bool = False,
                  materialize: bool = False) -> DataFrame:
     """Cleaned rows with ``out_pos`` (1-based position among output rows) and ``chunk_index``.
@@ -33,10 +51,7 @@ def chunk_layout(validated: Validated, chunk_rows: int = 100_000, valid_only: bo
         checkpoint_dir(rows.sparkSession)
         rows = rows.checkpoint(eager=True)
     rows = rows.withColumn("_b", F.floor((F.col(ROW) - F.lit(2)) / F.lit(chunk_rows)))
-    per_bucket = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn"))
-    # one row per bucket (rows / chunk_rows of them): a global running sum is cheap here
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = per_bucket.select("_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_base"))
+    bases = running_bases(rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn")))
     inside = Window.partitionBy("_b").orderBy(ROW)
     out = (rows.join(bases, "_b")
            .withColumn("out_pos", F.col("_base") + F.row_number().over(inside))

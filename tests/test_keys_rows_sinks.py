@@ -100,3 +100,16 @@ def test_chunks_exact_and_in_order(spark, tmp_dir):
         files = [f for f in os.listdir(os.path.join(out, "cleaned", f"chunk_index={r.chunk_index}"))
                  if f.endswith(".csv")]
         assert len(files) == 1
+
+
+def test_running_bases_across_groups(spark):
+    from tabvet.sources.sinks import FANOUT, running_bases
+    n = FANOUT * 2 + 17
+    counts = [(b, (b * 7919) % 13) for b in range(n)]
+    df = spark.createDataFrame(counts, "_b long, _bn long")
+    got = dict(running_bases(df).collect())
+    acc, want = 0, {}
+    for b, c in counts:
+        want[b] = acc
+        acc += c
+    assert got == want
