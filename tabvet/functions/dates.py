@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabvet.functions.text import PY_WHITESPACE, py_trim
+from tabvet.functions.text import PY_WHITESPACE
 
 
 class FormatError(ValueError):
