@@ -389,5 +389,8 @@ FROM s LEFT JOIN u USING (session_id)"""
                               f"errs AS (SELECT w.ws, e.error_code, count(*) AS c FROM e JOIN w USING (row_number) GROUP BY 1, 2) "
                               f"SELECT CAST(ws AS VARCHAR) AS window_start, rows_per.n AS rows, error_code, c AS error_count "
                               f"FROM errs JOIN rows_per USING (ws)"),
+        "stream_unique": (f"WITH x AS ({duck_sql(DIRTY_ORDERS_SQL, 'k')}), y AS (SELECT row_number, {t('order_id')} AS key "
+                          f"FROM x WHERE order_id IS NOT NULL AND {t('order_id')} <> '') SELECT row_number, key, "
+                          f"row_number() OVER (PARTITION BY key ORDER BY row_number) > 1 AS duplicate FROM y"),
     }
     return out

@@ -212,6 +212,17 @@ def stream_error_rate(spark, sf):
                                                       "rows", "error_code", "error_count")
 
 
+def stream_unique(spark, sf):
+    """ST2 over the dirty orders read as a file stream: later copies of an order id."""
+    schema = fx.read_table(spark, sf, "orders").schema
+    orders = (spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf))
+    orders.createOrReplaceTempView("orders_stream")
+    sql = fx.DIRTY_ORDERS_SQL.format(row="k + 2", rowsrc="").replace("FROM orders)", "FROM orders_stream)")
+    flags = streaming.first_occurrence_flags(spark.sql(sql), "order_id")
+    return streaming.run_available_now(flags, "stream-unique")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_raw": scan_raw,
     "coerce_inferred": coerce_inferred,
@@ -260,4 +271,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_chunks": merge_chunks,
     "stream_validate": stream_validate,
     "stream_error_rate": stream_error_rate,
+    "stream_unique": stream_unique,
 }

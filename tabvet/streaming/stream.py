@@ -65,3 +65,35 @@ def error_rate(validated: Validated, event_time: str, window: str = "1 day", wat
                                 for i, c in enumerate(codes)]))
     return sums.select(F.col("w.start").alias("window_start"), "rows", pairs.alias("p")).select(
         "window_start", "rows", "p.error_code", "p.error_count")
+
+
+def first_occurrence_flags(stream: DataFrame, key: str, row_number: str = "row_number") -> DataFrame:
+    """ST2: UNIQUE on a stream with keep-first semantics.
+
+    Emits ``(row_number, key, duplicate)`` for every row with a present key: a row is a
+    duplicate when its trimmed key was seen in an earlier micro-batch, or earlier in
+    the same micro-batch (by ``row_number``). Per-key state is one boolean in the
+    state store; a group handed to pandas holds one key's rows of one micro-batch, so
+    it is bounded by the trigger size (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``),
+    not by the table. Blank keys are not checked, as in the batch UNIQUE check.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from tabvet.functions.text import py_trim
+
+    keyed = (stream.select(F.col(row_number).cast("long").alias("row_number"), py_trim(F.col(key)).alias("key"))
+             .where(F.col("key").isNotNull() & (F.col("key") != "")))
+
+    def flag(k, batches, state):
+        seen = state.exists
+        parts = [pdf[["row_number"]] for pdf in batches]
+        rows = pd.concat(parts).sort_values("row_number") if parts else pd.DataFrame({"row_number": []})
+        dup = [seen or i > 0 for i in range(len(rows))]
+        state.update((True,))
+        yield pd.DataFrame({"row_number": rows["row_number"].astype("int64").to_numpy(),
+                            "key": [k[0]] * len(rows), "duplicate": dup})
+
+    return keyed.groupBy("key").applyInPandasWithState(
+        flag, "row_number long, key string, duplicate boolean", "seen boolean", "append",
+        GroupStateTimeout.NoTimeout)
