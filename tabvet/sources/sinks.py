@@ -124,3 +124,13 @@ def write_outputs(validated: Validated, path: str, chunk_rows: int = 100_000, va
     manifest = manifest.join(file_sizes(spark, cleaned), "chunk_index", "left")
     write_error_report(validated, f"{path}/errors")
     return manifest
+
+
+def append_run(validated: Validated, path: str, job_id: str, dataset_type: str, rule_set: str,
+               chunk_rows: int = 100_000, valid_only: bool = False) -> None:
+    """Append one row with the run's statistics to the ``validation_runs`` table
+    at ``path`` (parquet, partitioned by dataset type). One aggregation pass."""
+    stats = validated.stats(chunk_rows, valid_only)
+    row = stats.select(F.lit(job_id).alias("job_id"), F.lit(dataset_type).alias("dataset_type"),
+                       F.lit(rule_set).alias("rule_set"), F.current_timestamp().alias("completed_at"), "*")
+    row.write.mode("append").partitionBy("dataset_type").parquet(path)

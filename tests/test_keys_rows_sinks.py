@@ -113,3 +113,15 @@ def test_running_bases_across_groups(spark):
         want[b] = acc
         acc += c
     assert got == want
+
+
+def test_append_run(spark, tmp_dir):
+    from tabvet.sources.sinks import append_run
+    df = spark.createDataFrame([(2, "x"), (3, "")], "row_number long, v string")
+    rules = load_rules({"datasets": {"t": {"fields": [{"name": "v", "type": "string", "required": True}]}}}, "t")
+    v = validate(df, rules, as_of="2024-01-01", row_number="row_number")
+    path = os.path.join(tmp_dir, "runs")
+    append_run(v, path, "job-1", "t", "default")
+    append_run(v, path, "job-2", "t", "default")
+    rows = sorted(spark.read.parquet(path).select("job_id", "total_rows", "valid_rows", "valid_percentage").collect())
+    assert [tuple(r) for r in rows] == [("job-1", 2, 1, 50.0), ("job-2", 2, 1, 50.0)]
