@@ -319,7 +319,7 @@ u AS (SELECT session_id, list_sort(list_distinct(list(chunk_index::BIGINT) FILTE
    count(*) FILTER (WHERE NOT (chunk_index >= 0 AND chunk_index < n)) AS bad FROM p GROUP BY 1)
 SELECT s.session_id, s.n AS chunk_count, len(coalesce(up, []))::BIGINT AS uploaded_count,
   s.n - len(coalesce(up, [])) AS missing_count,
-  array_to_string(list_filter(range(0, s.n), lambda x: NOT list_contains(coalesce(up, []), x)), ',') AS missing,
+  CASE WHEN s.file_size <= {10 * 1024 ** 3} THEN array_to_string(list_filter(range(0, s.n), lambda x: NOT list_contains(coalesce(up, []), x)), ',') END AS missing,
   len(coalesce(up, [])) = s.n AS complete, coalesce(bad, 0)::BIGINT AS invalid_pieces,
   s.file_size > {10 * 1024 ** 3} AS over_limit
 FROM s LEFT JOIN u USING (session_id)"""

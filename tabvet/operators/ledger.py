@@ -14,6 +14,11 @@ MAX_UPLOAD_BYTES = 10 * 1024 * 1024 * 1024   # fixed value: upload limit (10 GB)
 DEFAULT_CHUNK_BYTES = 5 * 1024 * 1024        # fixed value: upload piece size (5 MB)
 
 
+def assembled_storage_key(session_id: Column, filename: Column) -> Column:
+    """``uploads/{session}/assembled/{name}`` with ``/`` and ``\\`` replaced by ``_``."""
+    return F.concat(F.lit("uploads/"), session_id, F.lit("/assembled/"), F.translate(filename, "/\\", "__"))
+
+
 def chunk_count(file_size: Column, chunk_size: Column) -> Column:
     """``max(1, ceil(file_size / chunk_size))``."""
     return F.greatest(F.lit(1), F.ceil(file_size / chunk_size)).cast("long")
@@ -69,14 +74,15 @@ def job_status_counts(recent: DataFrame) -> DataFrame:
         F.sum((st == "FAILED").cast("int")).cast("long").alias("failed"))
 
 
-def missing_chunks(sessions: DataFrame, pieces: DataFrame, max_listed: int = 100_000) -> DataFrame:
+def missing_chunks(sessions: DataFrame, pieces: DataFrame) -> DataFrame:
     """Per upload session, the pieces still missing.
 
     ``sessions``: session_id, file_size, chunk_size. ``pieces``: session_id, chunk_index
     (one row per reported piece). Pieces outside ``[0, chunk_count)`` are counted as
     invalid (T4) and never complete a session. Per-session piece sets are bounded by
-    the session's piece count and built with partial aggregation. The missing list is
-    spelled out up to ``max_listed`` expected pieces; ``missing_count`` is always exact.
+    the session's piece count and built with partial aggregation. Sessions over the
+    upload limit are invalid from the start (T4, the reference refuses to create them)
+    and get no missing list; every other session's list is complete.
     """
     s = sessions.select("session_id", "file_size", "chunk_size",
                         chunk_count(F.col("file_size"), F.col("chunk_size")).alias("chunk_count"))
@@ -92,7 +98,7 @@ def missing_chunks(sessions: DataFrame, pieces: DataFrame, max_listed: int = 100
         (F.col("file_size") > F.lit(MAX_UPLOAD_BYTES)).alias("over_limit"))
     n_up = F.size("uploaded").cast("long")
     expected = F.sequence(F.lit(0).cast("long"), F.col("chunk_count") - 1)
-    missing = F.when(F.col("chunk_count") <= max_listed, F.array_except(expected, F.col("uploaded")))
+    missing = F.when(~F.col("over_limit"), F.array_except(expected, F.col("uploaded")))
     return out.select(
         "session_id", "chunk_count", n_up.alias("uploaded_count"),
         (F.col("chunk_count") - n_up).alias("missing_count"),

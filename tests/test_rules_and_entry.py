@@ -67,3 +67,11 @@ def test_oracle_sample(spark):
         idx = sorted(range(len(cols)), key=lambda i: cols[i])
         want = sorted(tuple(str(r[i]) for i in idx) for r in res.fetchall())
         assert got == want, name
+
+
+def test_assembled_storage_key(spark):
+    from pyspark.sql import functions as F
+
+    from tabvet.operators.ledger import assembled_storage_key
+    df = spark.createDataFrame([("s1", "a/b\\c.csv")], "sid string, name string")
+    assert df.select(assembled_storage_key(F.col("sid"), F.col("name"))).first()[0] == "uploads/s1/assembled/a_b_c.csv"
