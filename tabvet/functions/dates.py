@@ -77,6 +77,7 @@ def compile_strptime(fmt: str) -> CompiledFormat:
     """Translate a strptime format into an anchored, atomic Java regex."""
     out: list[str] = []
     fields: list[str] = []
+    literal_letters = False
     i = 0
     while i < len(fmt):
         ch = fmt[i]
@@ -99,13 +100,16 @@ def compile_strptime(fmt: str) -> CompiledFormat:
                 i += 1
             out.append(_SPACE_CLASS + "+")
         else:
+            literal_letters = literal_letters or ch.isalpha()
             out.append("\\" + ch if ch in _REGEX_SPECIALS else ch)
             i += 1
     hours = {"H", "I"} & set(fields)
     if len(hours) > 1 or ({"b", "B"} <= set(fields)) or ({"y", "Y"} <= set(fields)) \
             or ({"m", "b"} <= set(fields)) or ({"m", "B"} <= set(fields)):
         raise FormatError(f"format {fmt!r} sets one field twice")
-    regex = "(?i)^(?>" + "".join(out) + ")\\z"
+    # strptime ignores case; only formats that can meet letters need the slower flag
+    has_letters = bool({"b", "B", "p"} & set(fields)) or literal_letters
+    regex = ("(?i)" if has_letters else "") + "^(?>" + "".join(out) + ")\\z"
     return CompiledFormat(fmt, regex, tuple(fields))
 
 
