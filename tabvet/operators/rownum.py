@@ -36,8 +36,17 @@ def with_block_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame
 
 
 def with_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
-    """Parquet position when the scan offers it, else the block-based plan."""
+    """Parquet position when the scan offers it, else the block-based plan.
+
+    Both need a file scan under ``df``; for other DataFrames (joins, aggregates,
+    in-memory data) pass the row identity explicitly (``validate(row_number=...)``).
+    """
     try:
         return with_parquet_row_numbers(df, name)
     except AnalysisException:
+        pass
+    try:
         return with_block_row_numbers(df, name)
+    except AnalysisException as exc:
+        raise ValueError("row numbers need a file scan (no _metadata column here); "
+                         "pass row_number=<key column> to validate()") from exc

@@ -75,3 +75,10 @@ def test_assembled_storage_key(spark):
     from tabvet.operators.ledger import assembled_storage_key
     df = spark.createDataFrame([("s1", "a/b\\c.csv")], "sid string, name string")
     assert df.select(assembled_storage_key(F.col("sid"), F.col("name"))).first()[0] == "uploads/s1/assembled/a_b_c.csv"
+
+
+def test_row_numbers_need_a_file_scan(spark):
+    df = spark.createDataFrame([("a",)], "v string")
+    rules = load_rules({"datasets": {"t": {"fields": [{"name": "v"}]}}}, "t")
+    with pytest.raises(ValueError, match="row_number"):
+        validate(df, rules, as_of="2024-01-01")
