@@ -38,9 +38,11 @@ class Stager:
         return max((self.level_of[n] for n in names if n in self.level_of), default=-1)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        for cols in self.levels:
-            df = df.select("*", *cols)
-        return df
+        """All levels in one ``select``: later columns refer to earlier aliases of the
+        same list (lateral column aliases), which the analyzer turns into the stacked
+        projections in one pass instead of one analysis per level."""
+        cols = [c for level in self.levels for c in level]
+        return df.select("*", *cols) if cols else df
 
     def names(self) -> list[str]:
         return list(self.level_of)
