@@ -132,7 +132,7 @@ def run_stats(spark, sf):
 
 
 def chunked_output(spark, sf):
-    layout = sinks.chunk_layout(_orders(spark, sf), chunk_rows=1000, valid_only=True)
+    layout = sinks.chunk_layout(_orders(spark, sf), chunk_rows=1000, valid_only=True, materialize=True)
     return layout.select("row_number", "out_pos", "chunk_index")
 
 
