@@ -57,10 +57,6 @@ def _subset(spark, sf, fields, *codes, **kw) -> DataFrame:
     return _codes(v, *codes)
 
 
-ALL_ORDER_FIELDS = ["order_id", "customer_name", "customer_phone", "country_code", "order_date", "delivery_date",
-                    "order_amount", "currency", "status"]
-
-
 def scan_raw(spark: SparkSession, sf: str) -> DataFrame:
     """The dirty orders written as CSV by Spark, read back as all-string columns."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/scan-raw-{uuid.uuid4().hex[:12]}/orders.csv"

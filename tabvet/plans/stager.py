@@ -12,7 +12,6 @@ more than once in their own projection instead of inlining them.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 
 class Stager:
@@ -34,9 +33,6 @@ class Stager:
         self.level_of[name] = lvl
         return name
 
-    def level(self, names) -> int:
-        return max((self.level_of[n] for n in names if n in self.level_of), default=-1)
-
     def apply(self, df: DataFrame) -> DataFrame:
         """All levels in one ``select``: later columns refer to earlier aliases of the
         same list (lateral column aliases), which the analyzer turns into the stacked
@@ -44,9 +40,3 @@ class Stager:
         cols = [c for level in self.levels for c in level]
         return df.select("*", *cols) if cols else df
 
-    def names(self) -> list[str]:
-        return list(self.level_of)
-
-
-def c(name: str) -> Column:
-    return F.col(name)
