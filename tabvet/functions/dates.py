@@ -212,6 +212,36 @@ def strptime_parts_sql(x: str, fmt: str | CompiledFormat) -> str:
     return f"CASE WHEN {x} RLIKE {rx} THEN split(regexp_replace({x}, {rx}, '{repl}'), '{SEP}') END"
 
 
+_DIGIT_DIRECTIVES = set("YmdHMSfyI")
+
+
+def skeleton_sql(x: str, fmt: str) -> str | None:
+    """A cheap necessary condition for ``x`` to match ``fmt`` (no regex), or None.
+
+    When every directive of ``fmt`` matches only digits (``%d`` also a space), a
+    matching value with its digits and whitespace deleted equals the format's literal
+    characters without whitespace, in order. Checking that first lets most values skip
+    the format's regex. Letters compare case-insensitively, as strptime does.
+    """
+    literals, i = [], 0
+    while i < len(fmt):
+        if fmt[i] == "%":
+            d = fmt[i + 1] if i + 1 < len(fmt) else ""
+            if d not in _DIGIT_DIRECTIVES:
+                return None
+            i += 2
+        else:
+            if not fmt[i].isspace():
+                literals.append(fmt[i])
+            i += 1
+    skel = "".join(literals).lower()
+    if "'" in skel or "\\" in skel:
+        return None
+    # digits and Python whitespace as one literal (SQL's char(n) works modulo 256,
+    # so the characters themselves are written into the literal)
+    return f"translate(lower({x}), {_ws_literal('0123456789')}, '') = '{skel}'"
+
+
 def strptime_from_parts_sql(parts: str, fmt: str | CompiledFormat) -> str:
     """Timestamp from the array built by ``strptime_parts_sql``."""
     cf = fmt if isinstance(fmt, CompiledFormat) else compile_strptime(fmt)
@@ -297,8 +327,10 @@ def parse_datetime(name: str, formats=None, freeform: bool = True) -> Column:
     return F.expr(parts[0] if len(parts) == 1 else "coalesce(" + ", ".join(parts) + ")")
 
 
-def _ws_literal() -> str:
-    return "concat(" + ", ".join(f"char({ord(c)})" for c in PY_WHITESPACE) + ")"
+def _ws_literal(prefix: str = "") -> str:
+    """A SQL string literal holding ``prefix`` and every Python whitespace character."""
+    assert "'" not in PY_WHITESPACE and "\\" not in PY_WHITESPACE
+    return "'" + prefix + PY_WHITESPACE + "'"
 
 
 def iso_text(ts: Column) -> Column:

@@ -15,7 +15,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabvet.functions.dates import (DEFAULT_VALIDATION_FORMATS, freeform_sql, ident, offset_sql,
+from tabvet.functions.dates import (DEFAULT_VALIDATION_FORMATS, freeform_sql, ident, offset_sql, skeleton_sql,
                                    strptime_from_parts_sql, strptime_parts_sql)
 from tabvet.functions.numeric import is_finite, parse_py_float, trunc_toward_zero
 from tabvet.functions.phone import DEFAULT_PLAN, PhoneParse, parse_phone, row_region
@@ -81,6 +81,9 @@ class FieldValues:
             prev = None
             for fmt in formats:
                 cond = "" if prev is None else f"{ident(prev)} IS NULL AND "
+                skel = skeleton_sql(t, fmt)
+                if skel:
+                    cond += f"{skel} AND "
                 parts = st.add(F.expr(f"CASE WHEN {cond}true THEN {strptime_parts_sql(t, fmt)} END"),
                                [self.trimmed] + ([prev] if prev else []))
                 ts = strptime_from_parts_sql(ident(parts), fmt)

@@ -104,3 +104,28 @@ def test_compile_rejects_unknown_directive():
         compile_strptime("%Q")
     with pytest.raises(FormatError):
         compile_strptime("%d %d")
+
+
+def test_multi_format_path_with_prefilter(spark):
+    """The staged per-format path (skeleton prefilter + one match) equals a Python loop."""
+    from tabvet.operators.checks import CheckContext
+    from tabvet.plans.rules import load_rules
+    from tabvet.plans.validate import as_of_literal
+
+    fmts = ("%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%d/%m/%Y", "%Y-%m-%dT%H:%M:%S")
+    values = DATES + ["01/03/1995", "2024-01-05 10:30:00", "2024-01-05t10:30:00", "2024-01-05T10:30:00",
+                      "1/3/1995", "2024/01/05", "2024-01-05 10:30"]
+    rules = load_rules({"datasets": {"t": {"fields": [{"name": "s", "type": "date"}]}}}, "t")
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    ctx = CheckContext(rules, ("s",), as_of_literal("2024-06-01"))
+    fv = ctx.values("s")
+    col = fv.by_formats(fmts)
+    got = [r[0] for r in ctx.stager.apply(df).select(col).collect()]
+
+    def py(v):
+        for f in fmts:
+            p = py_parse(v.strip(), f)
+            if p is not None:
+                return p
+        return None
+    assert got == [py(v) for v in values]
