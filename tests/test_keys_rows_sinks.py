@@ -125,3 +125,24 @@ def test_append_run(spark, tmp_dir):
     append_run(v, path, "job-2", "t", "default")
     rows = sorted(spark.read.parquet(path).select("job_id", "total_rows", "valid_rows", "valid_percentage").collect())
     assert [tuple(r) for r in rows] == [("job-1", 2, 1, 50.0), ("job-2", 2, 1, 50.0)]
+
+
+def test_empty_output_is_one_header_only_chunk(spark, tmp_dir):
+    df = spark.createDataFrame([(2, ""), (3, "")], "row_number long, v string")
+    rules = load_rules({"datasets": {"t": {"fields": [{"name": "v", "type": "string", "required": True}]}}}, "t")
+    v = validate(df, rules, as_of="2024-01-01", row_number="row_number")
+    out = os.path.join(tmp_dir, "out")
+    m = sinks.write_outputs(v, out, chunk_rows=10, valid_only=True).collect()
+    assert [(r.chunk_index, r.row_count, r.filename) for r in m] == [(0, 0, "cleaned_part_0000.csv")]
+    files = [f for f in os.listdir(os.path.join(out, "cleaned", "chunk_index=0")) if f.endswith(".csv")]
+    assert len(files) == 1
+    with open(os.path.join(out, "cleaned", "chunk_index=0", files[0])) as fh:
+        assert fh.read().startswith("v,is_valid,error_summary")
+
+
+def test_tsv_is_tab_separated(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "t.tsv")
+    with open(p, "w") as fh:
+        fh.write("a\tb\n1\tx,y\n")
+    df = read_delimited(spark, p, flag_malformed=False)
+    assert [tuple(r) for r in df.collect()] == [("1", "x,y")]
