@@ -1,15 +1,15 @@
 """N-gram Jaccard join by parity sketches.
 
 1. One pass over the texts gives each document its number of distinct five-word shingles,
-   two hashes that identify the set, a dense parity sketch (1024 bits) and the block keys
-   of the pigeonhole join (:mod:`tabvet.llm.sketch`). Of copies that one task reads only
-   the first emits keys.
+   two hashes that identify the set and a dense parity sketch (1024 bits); a second one
+   the block keys of the pigeonhole join (:mod:`tabvet.llm.sketch`), without storing them
+   first. Of copies that one task reads only the first emits keys.
 2. Keys are shuffled once; a window finds keys of two or more different sets. Each set is
    paired with the first of its key (a star, one row per set and key, not all pairs).
    Size and Hamming bounds drop most pairs, then the shingle sets are compared exactly.
 3. Links give components. A second pass over the keys pairs only sets that are still in
-   different components, again under the size and Hamming bounds inside the join, and
-   compares what is left exactly. So no link between different components is lost and a
+   different components, again under the size and Hamming bounds inside the join, keeps
+   those that share as many keys as sets that near must, and compares them exactly. So no link between different components is lost and a
    large group of near copies never becomes all its pairs.
 
 Document copies are collapsed to one class by (size, two 64-bit set hashes).
@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from tabvet.llm.common import cut, list_array, mix, rows_of, shingle_sets, signed, texts_of
 from tabvet.llm.graph import components
-from tabvet.llm.sketch import block_keys, dense_sketch
+from tabvet.llm.sketch import block_keys, dense_sketch, shared_keys
 
 SKETCH_WORDS = 16
 BROADCAST_IDS = 500_000  # ids; at most 16 MB. Larger id sets are joined by shuffling
@@ -47,27 +47,40 @@ def only_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame
     return df.join(right, df["doc_id"] == right["_id"], how)
 
 
-def _signatures(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    schema = "doc_id long, n long, c1 long, c2 long, sketch array<long>, keys array<long>"
+def _class_hashes(s: np.ndarray) -> tuple[int, int]:
+    return int(mix(s).sum(dtype=np.uint64)) ^ len(s), int(np.bitwise_xor.reduce(s)) if len(s) else 0
 
+
+def _signatures(docs: DataFrame, k: int) -> DataFrame:
+    """Size, class hashes and dense sketch of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for ids, texts in rows_of(batches):
-            sets, c, none = shingle_sets(texts, k), [], np.zeros(0, np.uint64)
-            for i, s in enumerate(sets):
-                c.append((int(mix(s).sum(dtype=np.uint64)) ^ len(s), int(np.bitwise_xor.reduce(s)) if len(s) else 0))
-            first = [s if len(s) and x not in seen and not seen.add(x) else none for s, x in zip(sets, c)]
-            row, keys = block_keys(first, p, q)
-            by = np.argsort(row, kind="stable")
+            sets, none = shingle_sets(texts, k), np.zeros(0, np.uint64)
+            c = signed(np.array([_class_hashes(s) for s in sets], np.uint64).reshape(-1))
             sk = [dense_sketch(s, SKETCH_WORDS) if len(s) else none for s in sets]
-            c = signed(np.array(c, np.uint64).reshape(-1))
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(c[::2]), pa.array(c[1::2]),
                 list_array(signed(np.concatenate(sk)), list(map(len, sk)), pa.int64()),
-                list_array(signed(keys[by]), np.bincount(row, minlength=len(ids)), pa.int64()),
-            ], names=["doc_id", "n", "c1", "c2", "sketch", "keys"])
+            ], names=["doc_id", "n", "c1", "c2", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>")
+
+
+def _keys(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """(c1, key) rows for the join; of the copies that one task reads only the first has any."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for _, texts in rows_of(batches):
+            sets = {}
+            for s in shingle_sets(texts, k):
+                if len(s) and (c := _class_hashes(s)) not in seen:
+                    seen.add(c)
+                    sets[c] = s
+            row, key = block_keys(list(sets.values()), p, q)
+            c1 = np.array([c for c, _ in sets], np.uint64)[row] if sets else key
+            yield pa.RecordBatch.from_arrays([pa.array(signed(c1)), pa.array(signed(key))], names=["c1", "key"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "c1 long, key long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -113,11 +126,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, n_shingles, component_id) of every row; documents link when the Jaccard
     similarity of their ``k``-word shingle sets is at least p/q."""
     docs = texts_of(df, id_col, text_col)
-    sig = cut(_signatures(docs, k, p, q), "signatures")
+    sig = cut(_signatures(docs, k), "signatures")
     classes = cut(sig.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
 
     by_key = Window.partitionBy("key").orderBy("c1")
-    live = cut(sig.select("c1", F.explode("keys").alias("key"))
+    live = cut(_keys(docs, k, p, q)
                .select("key", "c1", F.lag("c1").over(by_key).alias("before"), F.first("c1").over(by_key).alias("pivot"))
                .where("before <> c1").select("key", "c1", "pivot"), "live")
 
@@ -136,7 +149,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one = lambda s: part.select("key", F.col("c1").alias(s), F.col("root").alias(f"r{s}")).join(side(s), s)
     rest = one("a").join(one("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near("a", "b", p, q))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    differ = F.floor((F.first("na") + F.first("nb")) * (q - p) / (q + p)).cast("long")
+    enough = F.count(F.lit(1)) >= shared_keys(0) + F.floor(differ / 8)
+    rest = rest.groupBy("a", "b").agg(enough.alias("enough")).where("enough").select("a", "b")
+    rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     second = cut(_links(rest, docs, classes, k, p, q), "links")
     roots = components(first.union(second))
 

@@ -11,8 +11,8 @@ Blocks with most elements come first: they are the rarest, and passages that man
 documents share seldom fill one.
 
 Sizes fall into bands [2^k, 2^(k+1)). A set is indexed in its own band and, if a partner
-of the band below can be large enough, there too. Where a set has D or fewer non-empty
-blocks, the number of blocks is doubled until it has more; it is indexed at each of these
+of the band below can be large enough, there too. Where a set has fewer than D+k
+non-empty blocks, the number of blocks is doubled until it has enough; it is indexed at each of these
 levels, so of two partners the one that needs fewer levels finds the other.
 """
 
@@ -22,7 +22,7 @@ import numpy as np
 
 from tabvet.llm.common import mix
 
-LOAD = 0.36  # blocks per element of the largest set in a band
+LOAD = 0.40  # blocks per element of the largest set in a band
 _B = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -31,9 +31,14 @@ def max_difference(a, b, p: int, q: int):
     return (q - p) * (a + b) // (q + p)
 
 
+def shared_keys(d):
+    """How many keys two sets within symmetric difference ``d`` share at least."""
+    return 1 + d // 8
+
+
 def _first_blocks(s: np.ndarray, size: np.ndarray, bands: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the d+1 first blocks of each row, at each level up to the first with
-    more than d. ``s``: the rows' sorted hashes one after another, ``size``: their lengths."""
+    """(row, key) of the d first blocks of each row, at each level up to the first that has
+    as many. ``s``: the rows' sorted hashes one after another, ``size``: their lengths."""
     rows, keys, level, left = [], [], 0, np.arange(len(size))
     m = np.maximum(8, (LOAD * (2 << bands)).astype(np.int64)).astype(np.uint64)
     while len(left):
@@ -49,10 +54,10 @@ def _first_blocks(s: np.ndarray, size: np.ndarray, bands: np.ndarray, d: np.ndar
         by = np.lexsort((order, at))
         blocks = np.bincount(at, minlength=len(left))
         rank = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        take = by[rank <= d[at]]
+        take = by[rank < d[at]]
         rows.append(left[at[take]])
         keys.append(key[take])
-        few = blocks <= d
+        few = blocks < np.minimum(d, size)
         s, left, size, bands, d, m, level = s[few[row]], left[few], size[few], bands[few], d[few], m[few] * np.uint64(2), level + 1
     return np.concatenate(rows), np.concatenate(keys)
 
@@ -76,6 +81,6 @@ def block_keys(sets: list[np.ndarray], p: int = 75, q: int = 100) -> tuple[np.nd
     below = (1 << band) - 1
     down = (below > 0) & (below * q >= n * p)
     both = np.concatenate((row, row[down]))
-    at, key = _first_blocks(np.concatenate([sets[i] for i in both]), np.concatenate((n, n[down])), np.concatenate((band, band[down] - 1)),
-                            np.concatenate((d, max_difference(n, below, p, q)[down])))
+    d = np.concatenate((d, max_difference(n, below, p, q)[down]))
+    at, key = _first_blocks(np.concatenate([sets[i] for i in both]), np.concatenate((n, n[down])), np.concatenate((band, band[down] - 1)), d + shared_keys(d))
     return both[at], key
