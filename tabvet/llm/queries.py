@@ -7,7 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabvet.llm.common import documents
+from tabvet.llm.common import documents, shared_folder
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabvet.llm.bpe import round_trip
+    return round_trip(documents(spark, sf_dir))
+
+
+def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabvet.llm.orc_tokens import token_index, write_tokens
+    out = f"{shared_folder(spark)}/tokens"
+    write_tokens(documents(spark, sf_dir), out)
+    return token_index(spark, out)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +28,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
+    "op6_orc_tokens": op6_orc_tokens,
     "op7_jaccard_join": op7_jaccard_join,
 }
 
