@@ -48,6 +48,18 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+BROADCAST_IDS = 500_000  # ids; at most 16 MB. Larger id sets are joined by shuffling
+
+
+def only_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose id is (``left_semi``) or isn't (``left_anti``) in the stored
+    one-column table ``ids``, which is broadcast only if its counted size is within the bound."""
+    right = ids.select(F.col(ids.columns[0]).alias("_id")).where("_id is not null").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        right = F.broadcast(right)
+    return df.join(right, df[id_col].cast("long") == right["_id"], how)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) lists of bounded slices of Arrow batches; null texts become ''."""
     for batch in batches:
@@ -85,10 +97,10 @@ def _hash_chunk(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, mix((total[end - 1] - total[start - 1]) * _powers[1][start] + (end - start).astype(np.uint64))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of the texts (A-Z lower-cased) and the offsets of each text's
+def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the texts (A-Z lower-cased, if ``lower``) and the offsets of each text's
     words in them. Long inputs are hashed in pieces cut at white space."""
-    parts = [t.encode().lower() for t in texts]
+    parts = [t.encode().lower() if lower else t.encode() for t in texts]
     buf = b"\n" + b"\n".join(parts) + b"\n"
     ends = np.cumsum([len(x) + 1 for x in parts])
     a = np.frombuffer(buf, np.uint8)

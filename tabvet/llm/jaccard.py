@@ -30,21 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabvet.llm.common import cut, list_array, mix, rows_of, shingle_sets, signed, texts_of
+from tabvet.llm.common import cut, list_array, mix, only_ids, rows_of, shingle_sets, signed, texts_of
 from tabvet.llm.graph import components
 from tabvet.llm.sketch import block_keys, dense_sketch, shared_keys
 
 SKETCH_WORDS = 16
-BROADCAST_IDS = 500_000  # ids; at most 16 MB. Larger id sets are joined by shuffling
-
-
-def only_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``df`` whose doc_id is (``left_semi``) or isn't (``left_anti``) in ``ids``, a
-    stored table. ``ids`` is broadcast only if its counted size is within the bound."""
-    right = ids.select(F.col(ids.columns[0]).alias("_id")).where("_id is not null").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        right = F.broadcast(right)
-    return df.join(right, df["doc_id"] == right["_id"], how)
 
 
 def _class_hashes(s: np.ndarray) -> tuple[int, int]:
@@ -176,7 +166,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     """The rows of ``df`` without the near copies: of each component the smallest id stays.
     All columns are returned; documents without words stay."""
     found = cut(jaccard_components(df, id_col, text_col, **options).where("doc_id <> component_id").select("doc_id"), "copies")
-    gone = found.distinct().select(F.col("doc_id").alias("_gone"))
-    if found.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return df.join(gone, df[id_col].cast("long") == gone["_gone"], "left_anti")
+    return only_ids(df, found, "left_anti", id_col)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabvet.llm.common import documents, shared_folder
 
@@ -15,6 +16,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabvet.llm.language import fit, predict
+    docs = documents(spark, sf_dir)
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return predict(docs, fit(docs, where=~held_out)).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabvet.llm.orc_tokens import token_index, write_tokens
     out = f"{shared_folder(spark)}/tokens"
@@ -27,10 +35,23 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabvet.llm.lines import dedup_lines
+    return dedup_lines(documents(spark, sf_dir), report=True).select("doc_id", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabvet.llm.quality import judge
+    return judge(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op5_language_id": op5_language_id,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_quality": op10_quality,
 }
 
 
