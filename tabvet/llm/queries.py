@@ -11,11 +11,44 @@ from pyspark.sql import functions as F
 from tabvet.llm.common import documents, shared_folder
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabvet.llm.decontaminate import leaks
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabvet.llm.bpe import round_trip
     return round_trip(documents(spark, sf_dir))
 
 
+def _flip(page_id: int | None, raw: bytes) -> bytes:
+    """The faulty replica of the fixity query: one byte of some records is changed."""
+    if page_id is None or page_id * 2654435761 % 1009 >= 5:
+        return raw
+    k = page_id % len(raw)
+    return raw[:k] + bytes([raw[k] ^ 1]) + raw[k + 1:]
+
+
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabvet.llm.warc import fixity, write_warc
+    out = f"{shared_folder(spark)}/warc"
+    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), out)
+    return fixity(spark, out, _flip).select("page_id", F.col("length").alias("n_bytes"), F.col("sha").alias("record_sha256"), "damaged")
+
+
+OP4_SQL = """
+WITH r AS (
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') || chr(13) || chr(10)
+    || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS rec
+  FROM pages)
+SELECT page_id, CAST(strlen(rec) AS BIGINT) AS n_bytes, sha256(rec) AS record_sha256,
+       coalesce(page_id * 2654435761 % 1009 < 5, false) AS damaged
+FROM r"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabvet.llm.language import fit, predict
     docs = documents(spark, sf_dir)
@@ -46,7 +79,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
+    "op4_warc_fixity": op4_warc_fixity,
     "op5_language_id": op5_language_id,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_jaccard_join": op7_jaccard_join,
@@ -56,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_fixity": OP4_SQL}
