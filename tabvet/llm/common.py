@@ -97,10 +97,11 @@ def _hash_chunk(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, mix((total[end - 1] - total[start - 1]) * _powers[1][start] + (end - start).astype(np.uint64))
 
 
-def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str] | list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of the texts (A-Z lower-cased, if ``lower``) and the offsets of each text's
     words in them. Long inputs are hashed in pieces cut at white space."""
-    parts = [t.encode().lower() if lower else t.encode() for t in texts]
+    parts = [t.encode() if isinstance(t, str) else t for t in texts]
+    parts = [t.lower() for t in parts] if lower else parts
     buf = b"\n" + b"\n".join(parts) + b"\n"
     ends = np.cumsum([len(x) + 1 for x in parts])
     a = np.frombuffer(buf, np.uint8)

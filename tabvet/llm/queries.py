@@ -21,6 +21,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabvet.llm.lm import score
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
+    out = score(documents(spark, sf_dir), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def _flip(page_id: int | None, raw: bytes) -> bytes:
     """The faulty replica of the fixity query: one byte of some records is changed."""
     if page_id is None or page_id * 2654435761 % 1009 >= 5:
@@ -73,6 +80,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir), report=True).select("doc_id", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabvet.llm.licenses import scan
+    return scan(documents(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabvet.llm.quality import judge
     return judge(documents(spark, sf_dir))
@@ -81,11 +93,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
+    "op3_lm_score": op3_lm_score,
     "op4_warc_fixity": op4_warc_fixity,
     "op5_language_id": op5_language_id,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
 }
 
