@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,10 +34,10 @@ from tabvet.llm.common import rows_of, texts_of
 
 LEAF = 4096  # bytes of a pre-token that are encoded at once
 SEGMENT = 1 << 16  # characters of a text above which it is encoded as several rows
-CACHE = 400_000  # pieces a worker remembers (about 100 MB)
+CACHE = 300_000  # entries of a cache generation; a worker holds four (about 200 MB)
 _TOUCH = re.compile(r"\s[ \n]|[ \n]\s")
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
-_SIMPLE = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -52,6 +53,20 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+class Cache(dict):
+    """The latest entries: when full, they become ``old`` and make room for the next."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def put(self, key: str, ids: bytes) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = ids
+
+
 class Encoder:
     def __init__(self, path: str, leaf: int = LEAF):
         from tokenizers import Tokenizer
@@ -66,53 +81,49 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: these bytes stand for themselves
         other = [b for b in range(256) if b not in plain]
         to_char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
-        self.chars = {b: c for b, c in to_char.items()}
+        self.chars = "".join(to_char[b] for b in range(256))
         to_byte = {c: b for b, c in to_char.items()}
         added = {i: a.content for i, a in t.get_added_tokens_decoder().items()}
         self.added = re.compile("(" + "|".join(sorted(map(re.escape, added.values()), key=len, reverse=True)) + ")") if added else None
         self.strings = {i: s for s, i in t.get_vocab().items()}
         self.bytes = {i: added[i].encode() if i in added else bytes(to_byte[c] for c in s) for i, s in self.strings.items()}
-        self.pieces: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.pieces, self.tokens, self.other = Cache(CACHE), Cache(CACHE), Cache(CACHE // 10)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if _TOUCH.search(text):
-            return b"".join([self.pieces.get(k) or self._piece(k) for k in _SAFE.split(text)])
+            return b"".join([self._cached(k, self.other, self._ids) for k in _SAFE.split(text)])
         first, *rest = text.replace("\n", " \n").split(" ")
-        known = self.pieces.get
-        out = [self._ids(first)] if first else []
-        out += [known(k) or self._piece(k) for k in [x if x[:1] == "\n" else " " + x for x in rest]]
-        return b"".join(out)
+        known = self.pieces.get  # a piece stands for itself behind a space, or for a line's first word
+        out = [known(k) or self._cached(k, self.pieces, self._behind_space) for k in rest]
+        return (self._ids(first) if first else b"") + b"".join(out)
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
-    def _piece(self, key: str) -> bytes:
-        ids = self._ids(key)
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
+    def _cached(self, key: str, cache: Cache, make: Callable[[str], bytes]) -> bytes:
+        ids = cache.get(key) or cache.old.get(key) or make(key)
         if len(key) <= 64:
-            self.pieces[key] = ids
+            cache.put(key, ids)
         return ids
 
+    def _behind_space(self, piece: str) -> bytes:
+        return self._ids(piece if piece[:1] == "\n" else " " + piece)
+
     def _ids(self, key: str) -> bytes:
-        if m := _SIMPLE.fullmatch(key):
-            if not (m[1] and m[2][0] == " "):
-                return b"".join([self.tokens.get(x) or self._token(x) for x in m.groups() if x])
+        core = key.rstrip(".,;:!?")  # a run of these is one pre-token behind a letter
+        body = core[1:] if core[:1] in (" ", "\n") else core
+        if body.isalpha() and len(body) <= 64 and (body.isascii() or _LATIN.fullmatch(body)):
+            head = [core] if core[:1] != "\n" else ["\n", body]
+            return b"".join([self._cached(x, self.tokens, self._token) for x in [*head, key[len(core):]] if x])
         if len(key) > self.leaf:
             return self._long(key)
-        return np.array(self.tokenizer.encode(key, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(key, add_special_tokens=False).ids).tobytes()
 
     def _token(self, text: str) -> bytes:
-        ids = self._model("".join(map(self.chars.__getitem__, text.encode())))
-        ids = np.array(ids, "<u4").tobytes()
-        if len(self.tokens) >= CACHE:
-            self.tokens.clear()
-        self.tokens[text] = ids
-        return ids
+        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.chars))]).tobytes()
 
     def _model(self, mapped: str) -> list[int]:
         return [t.id for t in self.model.tokenize(mapped)]
