@@ -319,7 +319,7 @@ u AS (SELECT session_id, list_sort(list_distinct(list(chunk_index::BIGINT) FILTE
    count(*) FILTER (WHERE NOT (chunk_index >= 0 AND chunk_index < n)) AS bad FROM p GROUP BY 1)
 SELECT s.session_id, s.n AS chunk_count, len(coalesce(up, []))::BIGINT AS uploaded_count,
   s.n - len(coalesce(up, [])) AS missing_count,
-  CASE WHEN s.file_size <= {10 * 1024 ** 3} THEN array_to_string(list_filter(range(0, s.n), lambda x: NOT list_contains(coalesce(up, []), x)), ',') END AS missing,
+  array_to_string(list_filter(range(0, s.n), lambda x: NOT list_contains(coalesce(up, []), x)), ',') AS missing,
   len(coalesce(up, [])) = s.n AS complete, coalesce(bad, 0)::BIGINT AS invalid_pieces,
   s.file_size > {10 * 1024 ** 3} AS over_limit
 FROM s LEFT JOIN u USING (session_id)"""
@@ -376,7 +376,7 @@ FROM s LEFT JOIN u USING (session_id)"""
         "recent_jobs_dashboard": recent + "5",
         "job_status_counts": (f"SELECT user_id, count(*) AS total, count(*) FILTER (WHERE status = 'SUCCEEDED') AS succeeded, "
                               f"count(*) FILTER (WHERE status IN ('RUNNING', 'PENDING')) AS running, "
-                              f"count(*) FILTER (WHERE status = 'FAILED') AS failed FROM ({recent}50) GROUP BY user_id"),
+                              f"count(*) FILTER (WHERE status = 'FAILED') AS failed FROM {jobs} GROUP BY user_id"),
         "missing_chunks": sessions,
         "merge_chunks": (f"WITH p AS ({PIECES_SQL}) SELECT session_id, array_to_string(list_sort(list_distinct(list(chunk_index::BIGINT))), ',') AS merged, "
                          f"len(list_distinct(list(chunk_index::BIGINT)))::BIGINT AS merged_count FROM p GROUP BY session_id"),

@@ -29,13 +29,21 @@ def orders_rules():
     return load_rules(DEFAULT_RULES, "orders")
 
 
-def _orders(spark, sf, **kw) -> Validated:
-    return validate(fx.dirty_orders(spark, sf), orders_rules(), as_of=fx.AS_OF, row_number="row_number", **kw)
+def _cores(spark) -> int:
+    """The driver's tables are one split each; the queries deal their rows over the cores."""
+    return spark.sparkContext.defaultParallelism
+
+
+def _orders(spark, sf, keys: bool = True, **kw) -> Validated:
+    """The dirty orders against the shipped rules; ``keys=False`` for queries that read no
+    UNIQUE result, so that its join isn't planned."""
+    rules = orders_rules() if keys else orders_rules().with_constraint("order_id", "unique", False)
+    return validate(fx.dirty_orders(spark, sf), rules, as_of=fx.AS_OF, row_number="row_number", partitions=_cores(spark), **kw)
 
 
 def _products(spark, sf) -> Validated:
     return validate(fx.products(spark, sf), load_rules(DEFAULT_RULES, "products"), as_of=fx.AS_OF,
-                    row_number="row_number")
+                    row_number="row_number", partitions=_cores(spark))
 
 
 def _payments(spark, sf, reference: bool = False) -> Validated:
@@ -44,7 +52,7 @@ def _payments(spark, sf, reference: bool = False) -> Validated:
     if reference:
         rules = rules.with_constraint("order_id", "references", {"dataset": "orders", "field": "order_id"})
         refs = {"orders": fx.parent_orders(spark, sf)}
-    return validate(fx.payments(spark, sf), rules, as_of=fx.AS_OF, row_number="row_number", refs=refs)
+    return validate(fx.payments(spark, sf), rules, as_of=fx.AS_OF, row_number="row_number", refs=refs, partitions=_cores(spark))
 
 
 def _codes(v: Validated, *codes) -> DataFrame:
@@ -53,7 +61,7 @@ def _codes(v: Validated, *codes) -> DataFrame:
 
 def _subset(spark, sf, fields, *codes, **kw) -> DataFrame:
     d = fx.dirty_orders(spark, sf)
-    v = validate(d, orders_rules().with_fields(fields), as_of=fx.AS_OF, row_number="row_number", **kw)
+    v = validate(d, orders_rules().with_fields(fields), as_of=fx.AS_OF, row_number="row_number", partitions=_cores(spark), **kw)
     return _codes(v, *codes)
 
 
@@ -66,7 +74,7 @@ def scan_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coerce_inferred(spark, sf):
-    return readers.coerce_inferred(fx.products(spark, sf), 10_000)
+    return readers.coerce_inferred(fx.products(spark, sf))
 
 
 def row_numbering(spark, sf):
@@ -100,11 +108,11 @@ def phone_region(spark, sf):
 
 
 def normalize_phones(spark, sf):
-    return _orders(spark, sf).with_row_number().select("row_number", "customer_phone", "customer_phone_normalized")
+    return _orders(spark, sf, keys=False).with_row_number().select("row_number", "customer_phone", "customer_phone_normalized")
 
 
 def normalize_dates(spark, sf):
-    return _orders(spark, sf).with_row_number().select("row_number", "order_date", "order_date_normalized",
+    return _orders(spark, sf, keys=False).with_row_number().select("row_number", "order_date", "order_date_normalized",
                                                        "delivery_date", "delivery_date_normalized")
 
 
@@ -166,7 +174,7 @@ def recent_jobs_dashboard(spark, sf):
 
 
 def job_status_counts(spark, sf):
-    return ledger.job_status_counts(ledger.recent_jobs(_jobs(spark, sf), 50))
+    return ledger.job_status_counts(_jobs(spark, sf))
 
 
 def missing_chunks(spark, sf):
@@ -226,7 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "annotate_rows": annotate_rows,
     "valid_only": valid_only,
     "missing_column": missing_column,
-    "check_required": lambda s, sf: _codes(_orders(s, sf), "REQUIRED"),
+    "check_required": lambda s, sf: _codes(_orders(s, sf, keys=False), "REQUIRED"),
     "check_regex": lambda s, sf: _subset(s, sf, ["order_id", "country_code"], "REGEX"),
     "check_length": lambda s, sf: _subset(s, sf, ["customer_name"], "LENGTH"),
     "check_enum": lambda s, sf: _subset(s, sf, ["currency", "status"], "ENUM"),

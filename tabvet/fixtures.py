@@ -87,13 +87,12 @@ def register_sources(spark: SparkSession, sf_dir: str, names=("orders", "lineite
                      rebalance: bool = False) -> None:
     """Temp views of the driver tables; file position exposed as ``_row_index``.
 
-    ``rebalance`` spreads single-split scans over the cores (``validate()`` does this
-    itself for its input, so only queries that do not validate ask for it)."""
+    ``rebalance`` deals the rows over the cores: the driver's files are one split each."""
     from tabvet.sources.readers import balanced
 
     for name in names:
         df = read_table(spark, sf_dir, name).withColumn("_row_index", F.col("_metadata.row_index"))
-        (balanced(df) if rebalance else df).createOrReplaceTempView(name)
+        balanced(df, spark.sparkContext.defaultParallelism if rebalance else None).createOrReplaceTempView(name)
 
 
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

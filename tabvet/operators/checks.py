@@ -151,7 +151,8 @@ def float_checks(rule: FieldRule, fv: FieldValues, ctx: CheckContext) -> list[Ca
 
 def enum_checks(rule: FieldRule, fv: FieldValues, ctx: CheckContext) -> list[Candidate]:
     allowed = list(rule.constraints.get("allowed", []))
-    bad = ~fv.t.isin(allowed) if allowed else F.lit(True)
+    texts = [a for a in allowed if isinstance(a, str)]  # a cell is text, so it never equals another kind of value
+    bad = ~fv.t.isin(texts) if texts else F.lit(True)
     return [Candidate("ENUM", bad, f"{rule.name} must be one of {python_list_text(allowed)}")]
 
 

@@ -8,12 +8,11 @@ UNIQUE in the reference compares every cell with the whole column (O(n²)). Here
    task.
 2. a per-row membership flag: the row's *trimmed* value looked up in ``dups``.
 
-The lookup is an equi-join. Two key groups would otherwise land whole in one task:
-blank cells (null join key) and heavy hitters. Heavy hitters are found with Spark's
-frequent-items sketch (``DataFrame.stat.freqItems``; at most ``1/support`` keys, a
-proven bound), and both groups are spread over ``buckets`` salt values; the lookup
-side replicates only the heavy keys across the salts. When the lookup side is small,
-AQE turns the join into a broadcast at run time.
+The lookup is an equi-join whose right side has one row per key. Blank cells (null join
+key) are spread over ``buckets`` salts. A key that many rows hold makes a large left
+partition only; AQE splits it at run time (left joins may be split on the left), and
+turns the join into a broadcast when the lookup side is small. No job runs while the plan
+is built.
 """
 
 from __future__ import annotations
@@ -23,47 +22,16 @@ from pyspark.sql import functions as F
 
 from tabvet.functions.text import py_trim
 
-DEFAULT_SUPPORT = 1e-3   # a key holding >= 0.1 % of rows is salted; at most 1000 such keys
-SKEW_MIN_BYTES = 1 << 30   # below ~1 GB of input one task per key is cheap and AQE suffices
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Bytes read by ``df``'s scans, from Catalyst's statistics of the plan leaves
-    (planning only, no job). Projections above a scan can make the estimate of the
-    whole plan arbitrarily large, so only the leaves are summed."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
-    except Exception:  # noqa: BLE001 - an estimate is optional
-        return 1 << 62
-
-
-def heavy_keys(df: DataFrame, key: Column, support: float = DEFAULT_SUPPORT, min_bytes: int = SKEW_MIN_BYTES) -> list:
-    """Candidate heavy hitters of ``key`` (may include false positives, never misses
-    a key above ``support``). Bounded by ``1/support`` values. Skipped (no job) when
-    the input is estimated below ``min_bytes``."""
-    if support <= 0 or estimated_bytes(df) < min_bytes:
-        return []
-    row = df.select(key.alias("_hk")).where(F.col("_hk").isNotNull()).stat.freqItems(["_hk"], support).first()
-    items = list(row[0]) if row and row[0] else []
-    return items[: int(1 / support) + 1]
-
-
-def salted_membership(df: DataFrame, key: Column, lookup: DataFrame, lookup_col: str, flag: str,
-                      salt_source: Column, hot: list, buckets: int) -> DataFrame:
+def membership(df: DataFrame, key: Column, lookup: DataFrame, lookup_col: str, flag: str,
+               salt_source: Column, buckets: int) -> DataFrame:
     """Append boolean ``flag``: ``key`` is a value of ``lookup[lookup_col]`` (distinct).
 
-    Null keys never match. Null and heavy keys are spread over ``buckets`` partitions.
+    Null keys never match; they are spread over ``buckets`` salts.
     """
-    spread = F.col("_mk").isNull()
-    if hot:
-        spread = spread | F.col("_mk").isin(hot)
     left = df.withColumn("_mk", key).withColumn(
-        "_ms", F.when(spread, F.pmod(F.xxhash64(salt_source), F.lit(buckets))).otherwise(F.lit(0)).cast("int"))
-    salts = F.array(F.lit(0))
-    if hot:
-        salts = F.when(F.col(lookup_col).isin(hot), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(salts)
-    right = lookup.select(F.col(lookup_col).alias("_lk"), F.explode(salts).alias("_ls"), F.lit(True).alias(flag))
+        "_ms", F.when(F.col("_mk").isNull(), F.pmod(F.xxhash64(salt_source), F.lit(buckets))).otherwise(F.lit(0)).cast("int"))
+    right = lookup.select(F.col(lookup_col).alias("_lk"), F.lit(0).alias("_ls"), F.lit(True).alias(flag))
     joined = left.join(right, (left["_mk"] == right["_lk"]) & (left["_ms"] == right["_ls"]), "left")
     return joined.drop("_mk", "_ms", "_lk", "_ls").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
@@ -85,13 +53,10 @@ def _present_trimmed(column: str) -> Column:
     return F.when(raw.isNotNull() & (t != ""), t)
 
 
-def with_unique_flag(df: DataFrame, column: str, flag: str, salt_source: Column,
-                     buckets: int = 64, support: float = DEFAULT_SUPPORT, min_bytes: int = SKEW_MIN_BYTES) -> DataFrame:
+def with_unique_flag(df: DataFrame, column: str, flag: str, salt_source: Column, buckets: int = 64) -> DataFrame:
     """``flag`` is true when the cell's trimmed text equals the stored text of more
     than one row (every copy is flagged, the first one included)."""
-    key = _present_trimmed(column)
-    hot = heavy_keys(df, key, support, min_bytes)
-    return salted_membership(df, key, duplicate_values(df, column), "_uk", flag, salt_source, hot, buckets)
+    return membership(df, _present_trimmed(column), duplicate_values(df, column), "_uk", flag, salt_source, buckets)
 
 
 def parent_keys(parent: DataFrame, column: str) -> DataFrame:
@@ -100,9 +65,6 @@ def parent_keys(parent: DataFrame, column: str) -> DataFrame:
 
 
 def with_reference_flag(df: DataFrame, column: str, parent: DataFrame, parent_column: str, flag: str,
-                        salt_source: Column, buckets: int = 64, support: float = DEFAULT_SUPPORT,
-                        min_bytes: int = SKEW_MIN_BYTES) -> DataFrame:
+                        salt_source: Column, buckets: int = 64) -> DataFrame:
     """``flag`` is true when the cell's trimmed text is a key of ``parent``."""
-    key = _present_trimmed(column)
-    hot = heavy_keys(df, key, support, min_bytes)
-    return salted_membership(df, key, parent_keys(parent, parent_column), "_pk", flag, salt_source, hot, buckets)
+    return membership(df, _present_trimmed(column), parent_keys(parent, parent_column), "_pk", flag, salt_source, buckets)

@@ -65,7 +65,7 @@ def recent_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def job_status_counts(recent: DataFrame) -> DataFrame:
-    """A5: per user, total / succeeded / running-or-pending / failed over the listed jobs."""
+    """A5: per user, total / succeeded / running-or-pending / failed over the given jobs."""
     st = F.col("status")
     return recent.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total"),
@@ -80,9 +80,8 @@ def missing_chunks(sessions: DataFrame, pieces: DataFrame) -> DataFrame:
     ``sessions``: session_id, file_size, chunk_size. ``pieces``: session_id, chunk_index
     (one row per reported piece). Pieces outside ``[0, chunk_count)`` are counted as
     invalid (T4) and never complete a session. Per-session piece sets are bounded by
-    the session's piece count and built with partial aggregation. Sessions over the
-    upload limit are invalid from the start (T4, the reference refuses to create them)
-    and get no missing list; every other session's list is complete.
+    the session's piece count and built with partial aggregation. Every session's list is
+    complete; those over the upload limit are flagged as well (T4).
     """
     s = sessions.select("session_id", "file_size", "chunk_size",
                         chunk_count(F.col("file_size"), F.col("chunk_size")).alias("chunk_count"))
@@ -98,7 +97,7 @@ def missing_chunks(sessions: DataFrame, pieces: DataFrame) -> DataFrame:
         (F.col("file_size") > F.lit(MAX_UPLOAD_BYTES)).alias("over_limit"))
     n_up = F.size("uploaded").cast("long")
     expected = F.sequence(F.lit(0).cast("long"), F.col("chunk_count") - 1)
-    missing = F.when(~F.col("over_limit"), F.array_except(expected, F.col("uploaded")))
+    missing = F.array_except(expected, F.col("uploaded"))
     return out.select(
         "session_id", "chunk_count", n_up.alias("uploaded_count"),
         (F.col("chunk_count") - n_up).alias("missing_count"),

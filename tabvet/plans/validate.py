@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tabvet.functions.phone import DEFAULT_PLAN
 from tabvet.operators.checks import CheckContext
-from tabvet.operators.keys import DEFAULT_SUPPORT, SKEW_MIN_BYTES, with_reference_flag, with_unique_flag
+from tabvet.operators.keys import with_reference_flag, with_unique_flag
 from tabvet.operators.rownum import with_row_numbers
 from tabvet.plans.compile import Compiled, KeyFlags, compile_rules
 from tabvet.plans.rules import RuleError, RuleSet
@@ -170,8 +170,7 @@ class Validated:
 def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number: str | None = None,
              refs: Mapping[str, DataFrame] | None = None, date_policy: str = "formats",
              phone_region: str = "row", phone_plan=DEFAULT_PLAN, overwrite: bool = False,
-             salt_buckets: int | None = None, skew_support: float = DEFAULT_SUPPORT,
-             skew_min_bytes: int = SKEW_MIN_BYTES, min_partitions: int | None = None) -> Validated:
+             salt_buckets: int | None = None, partitions: int | None = None) -> Validated:
     """Compile ``rules`` against ``df`` (all columns treated as text).
 
     ``row_number``: name of a column holding the row identity to report; by default
@@ -180,12 +179,9 @@ def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number
     ``date_policy``: ``formats`` (cross checks parse with the field's formats first)
     or ``month_first`` (free-form only, the reference's cross-check behaviour).
     ``phone_region``: ``row`` (normalize with the row's region) or ``default``.
-    ``skew_support`` / ``skew_min_bytes``: keys holding at least this share of rows are
-    salted in the UNIQUE / REFERENCE joins; the detection pass runs only for inputs
-    estimated above ``skew_min_bytes``.
-    ``min_partitions``: when the input has fewer splits than this (default: the
-    cluster's parallelism), it is spread round-robin after row numbering, so a single
-    unsplittable file does not validate on one core. Large inputs are left alone.
+    ``partitions``: deal the rows over so many partitions after row numbering, for an input
+    that is known to come in too few splits (a single unsplittable file). Off by default.
+    No job runs before an action on the result.
     """
     if date_policy not in ("formats", "month_first"):
         raise RuleError(f"unknown date_policy {date_policy!r}")
@@ -199,7 +195,7 @@ def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number
         if ROW in df.columns:
             raise RuleError(f"input has a column named {ROW!r}; pass row_number={ROW!r} to use it")
         df = df.withColumnRenamed(row_number, ROW)
-    df = balanced(df, min_partitions)
+    df = balanced(df, partitions)
     buckets = salt_buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     salt = F.col(ROW)
 
@@ -211,7 +207,7 @@ def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number
         target = ""
         if rule.unique:
             uq = f"_uq{i}"
-            df = with_unique_flag(df, rule.name, uq, salt, buckets, skew_support, skew_min_bytes)
+            df = with_unique_flag(df, rule.name, uq, salt, buckets)
         ref = rule.reference
         if ref is not None:
             parent = (refs or {}).get(ref.dataset)
@@ -219,8 +215,7 @@ def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number
                 raise RuleError(f"{rules.dataset}.{rule.name} references {ref.dataset}, which was not given")
             rf = f"_rf{i}"
             target = f"{ref.dataset}.{ref.field}"
-            df = with_reference_flag(df, rule.name, parent, ref.field, rf, salt, buckets, skew_support,
-                                     skew_min_bytes)
+            df = with_reference_flag(df, rule.name, parent, ref.field, rf, salt, buckets)
         if uq or rf:
             flags[rule.name] = KeyFlags(uq, rf, target)
 

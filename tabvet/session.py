@@ -24,10 +24,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_me
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch folder only when
-    the session sets none (local tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; in local mode, where one
+    machine holds everything, a scratch folder if the session sets none. A cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tabvet-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -12,14 +12,10 @@ from tabvet.functions.text import py_trim
 CORRUPT = "_corrupt_record"
 
 
-def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread ``df`` round-robin when its scan yields fewer splits than the cluster has
-    cores (e.g. one large unsplittable file or row group); large inputs are untouched,
-    so this costs nothing at scale. Checking the split count plans, it runs no job."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+def balanced(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` dealt round-robin over ``partitions``, for an input that is known to come in
+    too few splits (one large unsplittable file); unchanged if no number is given."""
+    return df if partitions is None or df.isStreaming else df.repartition(partitions)
 
 
 def separator_for(path: str) -> str:
@@ -47,23 +43,23 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, multi
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
         # With parser column pruning a short or long record only counts as malformed
         # when the missing cells are among the columns a query reads; a validator
-        # must judge whole records, so pruning is turned off for this session.
-        spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    return reader.csv(path)
+        # must judge whole records, so this reader parses every column.
+        reader = reader.option("columnPruning", False)
+    # Every file's header is held against the first one's; another order or name is an error.
+    return reader.option("enforceSchema", False).csv(path)
 
 
 _INT = r"^[+-]?\d+$"
 _BOOL = ["true", "false"]
 
 
-def infer_types(df: DataFrame, sample_rows: int = 10_000) -> dict[str, str]:
-    """Column types from the first ``sample_rows`` rows (S2): ``bigint`` if every
-    non-blank value is an integer, ``double`` if every one is a number, ``boolean``
-    for true/false, else ``string``. One aggregation over the bounded sample."""
+def infer_types(df: DataFrame) -> dict[str, str]:
+    """Column types from all rows (S2): ``bigint`` if every non-blank value is an
+    integer, ``double`` if every one is a number, ``boolean`` for true/false, else
+    ``string``. One aggregation, so the types hold for every cell."""
     cols = [c for c, t in df.dtypes if t == "string" and c != CORRUPT]
     if not cols:
         return {}
-    sample = df.select(*cols).limit(sample_rows)
     aggs = []
     for i, c in enumerate(cols):
         t = py_trim(F.col(c))
@@ -72,7 +68,7 @@ def infer_types(df: DataFrame, sample_rows: int = 10_000) -> dict[str, str]:
                  F.sum((present & t.rlike(_INT)).cast("int")).alias(f"i{i}"),
                  F.sum((present & t.rlike(DECIMAL_GATE)).cast("int")).alias(f"f{i}"),
                  F.sum((present & F.lower(t).isin(_BOOL)).cast("int")).alias(f"b{i}")]
-    row = sample.agg(*aggs).first()
+    row = df.agg(*aggs).first()
     out = {}
     for i, c in enumerate(cols):
         n = row[f"n{i}"] or 0
@@ -87,10 +83,10 @@ def infer_types(df: DataFrame, sample_rows: int = 10_000) -> dict[str, str]:
     return out
 
 
-def coerce_inferred(df: DataFrame, sample_rows: int = 10_000) -> DataFrame:
-    """Cast columns to their inferred types; cells that do not conform become null,
-    as an inferring CSV reader with ``ignore_errors`` does."""
-    types = infer_types(df, sample_rows)
+def coerce_inferred(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
+    """Cast columns to their inferred types (or to given ``types``, where cells that do
+    not conform become null, as an inferring CSV reader with ``ignore_errors`` does)."""
+    types = infer_types(df) if types is None else types
     out = []
     for c in df.columns:
         t = types.get(c, "string")

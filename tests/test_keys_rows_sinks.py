@@ -2,13 +2,13 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tabvet import load_rules, validate
-from tabvet.operators.keys import heavy_keys
 from tabvet.operators.rownum import with_block_row_numbers
 from tabvet.sources import sinks
-from tabvet.sources.readers import read_delimited
+from tabvet.sources.readers import coerce_inferred, infer_types, read_delimited
 
 RULES = {"datasets": {"t": {"fields": [
     {"name": "k", "type": "string", "constraints": {"unique": True}},
@@ -35,13 +35,11 @@ def test_reference(spark):
     assert _errors(spark, rows) == [(4, "REFERENCE")]
 
 
-def test_hot_key_is_salted_and_exact(spark):
+def test_hot_key_is_exact(spark):
     # one key holds a third of the rows; every copy is flagged, every other key is unique
     n = 3000
     rows = [("HOT" if i % 3 == 0 else f"K{i}", "A" if i % 3 == 0 else "ZZ") for i in range(n)]
-    df = spark.createDataFrame([(r[0],) for r in rows], "k string")
-    assert "HOT" in heavy_keys(df, F.col("k"), min_bytes=0)
-    got = _errors(spark, rows, salt_buckets=16, skew_min_bytes=0)
+    got = _errors(spark, rows, salt_buckets=16)
     unique = [r for r in got if r[1] == "UNIQUE"]
     ref = [r for r in got if r[1] == "REFERENCE"]
     assert len(unique) == n // 3 and len(ref) == n - n // 3
@@ -146,3 +144,38 @@ def test_tsv_is_tab_separated(spark, tmp_dir):
         fh.write("a\tb\n1\tx,y\n")
     df = read_delimited(spark, p, flag_malformed=False)
     assert [tuple(r) for r in df.collect()] == [("1", "x,y")]
+
+
+def test_types_are_inferred_from_every_row(spark):
+    rows = spark.range(30_000).selectExpr("CASE WHEN id = 29999 THEN 'x' ELSE cast(id AS string) END AS v")
+    assert infer_types(rows) == {"v": "string"}
+    assert coerce_inferred(rows).where("v IS NULL").count() == 0
+
+
+def test_files_with_another_header_are_refused(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "mixed")
+    os.makedirs(folder)
+    for name, text in (("a.csv", "x,y\n1,a\n"), ("b.csv", "y,x\nb,2\n")):
+        with open(os.path.join(folder, name), "w") as fh:
+            fh.write(text)
+    for flag in (True, False):
+        with pytest.raises(Exception, match="header"):
+            read_delimited(spark, folder, flag_malformed=flag).collect()
+
+
+def test_enum_with_numbers_compares_text(spark):
+    rules = load_rules({"datasets": {"d": {"fields": [{"name": "k", "type": "enum", "constraints": {"allowed": [1, "2"]}}]}}}, "d")
+    got = validate(spark.createDataFrame([(2, "1"), (3, "2")], "n int, k string"), rules, as_of="2024-01-01", row_number="n").errors()
+    assert [(r["row_number"], r["error_code"]) for r in got.collect()] == [(2, "ENUM")]
+
+
+def test_validate_runs_no_job(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = spark.range(100).selectExpr("id", "cast(id AS string) AS k").join(spark.range(50), "id")
+        rules = load_rules({"datasets": {"d": {"fields": [{"name": "k", "type": "string", "constraints": {"unique": True}}]}}}, "d")
+        before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+        validate(a, rules, as_of="2024-01-01", row_number="id").frame.schema  # noqa: B018
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
