@@ -51,13 +51,21 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 BROADCAST_IDS = 500_000  # ids; at most 16 MB. Larger id sets are joined by shuffling
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores behind, so that ``df`` has no such column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def only_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", id_col: str = "doc_id") -> DataFrame:
     """Rows of ``df`` whose id is (``left_semi``) or isn't (``left_anti``) in the stored
     one-column table ``ids``, which is broadcast only if its counted size is within the bound."""
-    right = ids.select(F.col(ids.columns[0]).alias("_id")).where("_id is not null").distinct()
+    key = free_name(df, "_id")
+    right = ids.select(F.col(ids.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct()
     if ids.count() <= BROADCAST_IDS:
         right = F.broadcast(right)
-    return df.join(right, df[id_col].cast("long") == right["_id"], how)
+    return df.join(right, df[id_col].cast("long") == right[key], how)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[list, list[str]]]:

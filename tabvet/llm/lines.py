@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tabvet.llm.common import cut, list_array, mix, rows_of, signed, texts_of
+from tabvet.llm.common import cut, free_name, list_array, mix, rows_of, signed, texts_of
 
 WINDOW = 2
 LONG = 50
@@ -91,7 +91,7 @@ def _extend(matches: DataFrame) -> DataFrame:
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, long: int = LONG) -> DataFrame:
     """(doc_id, removed): for documents with later copies of runs, their line numbers (from 0)."""
-    raw = _line_table(texts_of(df, id_col, text_col).where(f"doc_id is not null and {'text'} is not null"), window, long)
+    raw = _line_table(texts_of(df, id_col, text_col).where("doc_id is not null and text is not null"), window, long)
     one = raw.groupBy("doc_id").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi"), *[F.first(c).alias(c) for c in ("h", "at", "fp", "pos")])
     lines = cut(one.where("lo = hi").drop("lo", "hi"), "lines")
     found = lines.select("doc_id", F.explode(F.arrays_zip("fp", "pos")).alias("x")).select("doc_id", F.col("x.pos").alias("pos"), F.col("x.fp").alias("fp"))
@@ -110,12 +110,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     brought up to date); with ``report`` the removed line numbers as column ``removed``."""
     runs = cut(repeated_lines(df, id_col, text_col, **options).where("size(removed) > 0"), "runs")
     total = runs.agg(F.sum(F.size("removed") + 4).alias("n")).first()["n"] or 0
-    right = runs.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
+    key, gone = (free_name(df, c) for c in ("_id", "_removed"))
+    right = runs.select(F.col("doc_id").alias(key), F.col("removed").alias(gone))
     if total <= BROADCAST_LINES:
         right = F.broadcast(right)
-    out = df.join(right, df[id_col].cast("long") == right["_id"], "left")
-    rest = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("_removed"), i))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
+    out = df.join(right, df[id_col].cast("long") == right[key], "left")
+    rest = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
     cols = [text.alias(c) if c == text_col else
-            F.when(F.col("_removed").isNull(), F.col(c)).otherwise(F.length(text)).cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in df.columns]
-    return out.select(*cols, *([F.coalesce("_removed", F.array().cast("array<int>")).alias("removed")] if report else []))
+            F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.length(text)).cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in df.columns]
+    return out.select(*cols, *([F.coalesce(F.col(gone), F.array().cast("array<int>")).alias("removed")] if report else []))
