@@ -9,7 +9,8 @@
    Size and Hamming bounds drop most pairs, then the shingle sets are compared exactly.
 3. Links give components. A second pass over the keys pairs only sets that are still in
    different components, again under the size and Hamming bounds inside the join, keeps
-   those that share as many keys as sets that near must, and compares them exactly. So no link between different components is lost and a
+   those that share as many keys as sets that near must, and compares them exactly;
+   their links join whole components, so few edges are left. So no link between different components is lost and a
    large group of near copies never becomes all its pairs.
 
 Document copies are collapsed to one class by (size, two 64-bit set hashes).
@@ -74,9 +75,9 @@ def _keys(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach Jaccard p/q, counted exactly."""
+    """The labels (u, v) of the pairs (a, b) whose sets reach Jaccard p/q, counted exactly."""
     one = lambda side: sets.select(F.col("c1").alias(side), F.col("s").alias(f"s{side}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb")
+    both = pairs.join(one("a"), "a").join(one("b"), "b").select("u", "v", "sa", "sb")
 
     def run(batches):
         for batch in batches:
@@ -89,7 +90,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "u long, v long").distinct()
 
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -128,8 +129,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     side = lambda s: classes.select(F.col("c1").alias(s), F.col("n").alias(f"n{s}"), *[w.alias(f"w{s}{i}") for i, w in enumerate(words)])
     stars = live.select(F.col("pivot").alias("a"), F.col("c1").alias("b")).distinct()
     stars = cut(stars.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", p, q)).select("a", "b"), "stars")
-    first = cut(_links(stars, docs, classes, k, p, q), "links")
-    roots = components(first)
+    first = cut(_links(stars.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v")), docs, classes, k, p, q), "links")
+    roots = components(first, "u", "v")
 
     member = live.select("key", "c1").union(live.select("key", F.col("pivot").alias("c1"))).distinct()
     member = member.join(roots.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
@@ -141,13 +142,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     differ = F.floor((F.first("na") + F.first("nb")) * (q - p) / (q + p)).cast("long")
     enough = F.count(F.lit(1)) >= shared_keys(0) + F.floor(differ / 8)
-    rest = rest.groupBy("a", "b").agg(enough.alias("enough")).where("enough").select("a", "b")
+    rest = rest.groupBy("a", "b").agg(enough.alias("enough"), F.first("ra").alias("u"), F.first("rb").alias("v")).where("enough").drop("enough")
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     second = cut(_links(rest, docs, classes, k, p, q), "links")
-    roots = components(first.union(second))
+    merged = components(second, "u", "v").select(F.col("node").alias("root"), F.col("root").alias("last"))
 
     # A class is (c1, c2, n); sets that share c1 alone are told apart by the exact comparison's inputs below.
     member_of = classes.join(roots.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
+    member_of = member_of.join(merged, "root", "left").withColumn("root", F.coalesce("last", "root"))
     smallest = member_of.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = member_of.join(smallest, "root").select("c1", "c2", F.col("n").alias("n_shingles"), "component_id")
     out = sig.select("doc_id", "c1", "c2", F.col("n").alias("n_shingles")).join(named, ["c1", "c2", "n_shingles"], "left")
