@@ -5,7 +5,8 @@
    the block keys of the pigeonhole join (:mod:`tabvet.llm.sketch`), without storing them
    first. Of copies that one task reads only the first emits keys.
 2. Keys are shuffled once; a window finds keys of two or more different sets. Each set is
-   paired with the first of its key (a star, one row per set and key, not all pairs).
+   paired with that set of its key whose keys are held most (a star, one row per set and
+   key, not all pairs): of a text and its near copies that is the text they all resemble.
    Size and Hamming bounds drop most pairs, then the shingle sets are compared exactly.
 3. Links give components. A second pass over the keys pairs only sets that are still in
    different components, again under the size and Hamming bounds inside the join, keeps
@@ -120,20 +121,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sig = cut(_signatures(docs, k), "signatures")
     classes = cut(sig.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
 
-    by_key = Window.partitionBy("key").orderBy("c1")
+    by_key = Window.partitionBy("key")
     live = cut(_keys(docs, k, p, q)
-               .select("key", "c1", F.lag("c1").over(by_key).alias("before"), F.first("c1").over(by_key).alias("pivot"))
-               .where("before <> c1").select("key", "c1", "pivot"), "live")
+               .select("key", "c1", F.lag("c1").over(by_key.orderBy("c1")).alias("before"), F.min("c1").over(by_key).alias("lo"),
+                       F.max("c1").over(by_key).alias("hi"), F.count(F.lit(1)).over(by_key).alias("held"))
+               .where("lo <> hi and (before is null or before <> c1)").select("key", "c1", "held"), "live")
+    fame = live.groupBy("c1").agg(F.sum("held").alias("fame"))
+    by_fame = by_key.orderBy(F.desc("fame"), "c1")
+    starred = live.join(fame, "c1").select("c1", F.first("c1").over(by_fame).alias("pivot")).where("c1 <> pivot")
 
     words = [F.col("sketch")[i] for i in range(SKETCH_WORDS)]
     side = lambda s: classes.select(F.col("c1").alias(s), F.col("n").alias(f"n{s}"), *[w.alias(f"w{s}{i}") for i, w in enumerate(words)])
-    stars = live.select(F.col("pivot").alias("a"), F.col("c1").alias("b")).distinct()
+    stars = starred.select(F.col("pivot").alias("a"), F.col("c1").alias("b")).distinct()
     stars = cut(stars.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", p, q)).select("a", "b"), "stars")
     first = cut(_links(stars.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v")), docs, classes, k, p, q), "links")
     roots = components(first, "u", "v")
 
-    member = live.select("key", "c1").union(live.select("key", F.col("pivot").alias("c1"))).distinct()
-    member = member.join(roots.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
+    member = live.select("key", "c1").join(roots.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
     member = cut(member, "members")
     mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     part = member.join(mixed, "key", "left_semi")
