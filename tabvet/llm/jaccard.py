@@ -7,7 +7,8 @@
 2. Keys are shuffled once; a window finds keys of two or more different sets. Each set is
    paired with that set of its key whose keys are held most (a star, one row per set and
    key, not all pairs): of a text and its near copies that is the text they all resemble.
-   Size and Hamming bounds drop most pairs, then the shingle sets are compared exactly.
+   Size and Hamming bounds and the number of shared keys drop most pairs (step 3 sees those
+   that share more under other sets' stars), then the shingle sets are compared exactly.
 3. Links give components. A second pass over the keys pairs only sets that are still in
    different components, again under the size and Hamming bounds inside the join, keeps
    those that share as many keys as sets that near must, and compares them exactly;
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabvet.llm.common import cut, list_array, mix, only_ids, rows_of, shingle_sets, signed, texts_of
+from tabvet.llm.common import BROADCAST_IDS, cut, list_array, mix, only_ids, rows_of, shingle_sets, signed, texts_of
 from tabvet.llm.graph import components
 from tabvet.llm.sketch import block_keys, dense_sketch, shared_keys
 
@@ -95,13 +96,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(c1, s): the class and the shingles of each (doc_id, text, c1) row."""
+    """(c1, s): the class and the shingles of each (doc_id, text, c1) row whose text is of
+    that class; an id may be repeated with other texts."""
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 sets = shingle_sets([t or "" for t in part.column(1).to_pylist()], k)
-                yield pa.RecordBatch.from_arrays([part.column(2), list_array(signed(np.concatenate(sets)), list(map(len, sets)), pa.int64())], names=["c1", "s"])
+                own = signed(np.array([_class_hashes(s)[0] for s in sets], np.uint64)) == part.column(2).to_numpy()
+                whole = pa.RecordBatch.from_arrays([part.column(2), list_array(signed(np.concatenate(sets)), list(map(len, sets)), pa.int64())], names=["c1", "s"])
+                yield whole.filter(pa.array(own))
 
     return docs.mapInArrow(run, "c1 long, s array<long>")
 
@@ -113,6 +117,12 @@ def _near(a: str, b: str, p: int, q: int) -> F.Column:
     return (F.least(na, nb) * q >= F.greatest(na, nb) * p) & (hamming * (q + p) <= (na + nb) * (q - p))
 
 
+def _enough(n: F.Column, na: F.Column, nb: F.Column, p: int, q: int) -> F.Column:
+    """Whether ``n`` shared keys are as many as near sets of these sizes have."""
+    differ = F.floor((na + nb) * (q - p) / (q + p)).cast("long")
+    return n >= shared_keys(0) + F.floor(differ / 8)
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5,
                        p: int = 75, q: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; documents link when the Jaccard
@@ -132,8 +142,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     words = [F.col("sketch")[i] for i in range(SKETCH_WORDS)]
     side = lambda s: classes.select(F.col("c1").alias(s), F.col("n").alias(f"n{s}"), *[w.alias(f"w{s}{i}") for i, w in enumerate(words)])
-    stars = starred.select(F.col("pivot").alias("a"), F.col("c1").alias("b")).distinct()
-    stars = cut(stars.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", p, q)).select("a", "b"), "stars")
+    stars = starred.groupBy(F.col("pivot").alias("a"), F.col("c1").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    likely = _near("a", "b", p, q) & _enough(F.col("shared"), F.col("na"), F.col("nb"), p, q)
+    stars = cut(stars.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"), "stars")
     first = cut(_links(stars.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v")), docs, classes, k, p, q), "links")
     roots = components(first, "u", "v")
 
@@ -144,8 +155,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one = lambda s: part.select("key", F.col("c1").alias(s), F.col("root").alias(f"r{s}")).join(side(s), s)
     rest = one("a").join(one("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near("a", "b", p, q))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    differ = F.floor((F.first("na") + F.first("nb")) * (q - p) / (q + p)).cast("long")
-    enough = F.count(F.lit(1)) >= shared_keys(0) + F.floor(differ / 8)
+    enough = _enough(F.count(F.lit(1)), F.first("na"), F.first("nb"), p, q)
     rest = rest.groupBy("a", "b").agg(enough.alias("enough"), F.first("ra").alias("u"), F.first("rb").alias("v")).where("enough").drop("enough")
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     second = cut(_links(rest, docs, classes, k, p, q), "links")
@@ -163,8 +173,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, p: int, q: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("c1")).union(pairs.select(F.col("b").alias("c1"))).distinct()
     reps = cut(classes.join(wanted, "c1", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id"), "c1"), "reps")
-    few = only_ids(docs, reps).join(reps.withColumnRenamed("doc_id", "rep"), F.col("doc_id") == F.col("rep"))
-    sets = cut(_shingle_sets(few.select("doc_id", "text", "c1"), k).groupBy("c1").agg(F.first("s").alias("s")), "sets")
+    few = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
+    sets = _shingle_sets(docs.join(few, "doc_id").select("doc_id", "text", "c1"), k).groupBy("c1").agg(F.first("s").alias("s"))
     return _verified(pairs, sets, p, q)
 
 
