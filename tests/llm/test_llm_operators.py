@@ -303,6 +303,14 @@ def test_lm_scores(spark):
     assert lm.score(table(spark, []), train).count() == 0
 
 
+def test_lm_long_unseen_words_cost_by_their_length(spark):
+    rng = random.Random(14)
+    run = "".join(rng.choice("abcdefghijklmnop") for _ in range(10_000))
+    texts = [*[" ".join(words(rng, 50, 60)) for _ in range(20)], run[:1000], run]
+    got = {r["doc_id"]: r for r in lm.score(table(spark, texts), F.col("doc_id") <= 20).collect()}
+    assert got[22]["score"] < 8 * got[21]["score"] and got[22]["bits_per_byte"] > 2
+
+
 def test_spelling_is_a_distribution():
     """All words of one bit pattern tree: the probabilities of a byte's values add to one."""
     rng = np.random.default_rng(11)
