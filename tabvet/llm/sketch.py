@@ -77,7 +77,7 @@ def block_keys(sets: list[np.ndarray], p: int = 75, q: int = 100) -> tuple[np.nd
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     n = np.array([len(sets[i]) for i in used])
     band = np.frexp(n.astype(float))[1] - 1
-    row, d = np.array(used), max_difference(n, np.minimum((2 << band) - 1, n * q // p), p, q)
+    row, d = np.array(used), max_difference(n, n * q // p, p, q)  # the largest partner may be in the next band
     below = (1 << band) - 1
     down = (below > 0) & (below * q >= n * p)
     both = np.concatenate((row, row[down]))

@@ -60,6 +60,18 @@ def test_sets_within_the_bound_share_enough_keys():
             assert shared >= sketch.shared_keys(sketch.max_difference(len(a), len(b), 75, 100))
 
 
+def test_subsets_across_size_bands_share_enough_keys():
+    rng = np.random.default_rng(15)
+    for small, large in ((15, 20), (30, 40), (31, 41)):
+        need = sketch.shared_keys(int(sketch.max_difference(small, large, 75, 100)))
+        lost = 0
+        for _ in range(3000):
+            b = rng.integers(1, 1 << 63, large).astype(np.uint64)
+            row, key = sketch.block_keys([np.sort(b[:small]), np.sort(b)])
+            lost += len(np.intersect1d(key[row == 0], key[row == 1])) < need
+        assert lost == 0, (small, large, lost)
+
+
 def brute_components(docs):
     sets = {}
     for i, t in docs:
