@@ -323,6 +323,26 @@ def test_lm_long_unseen_words_cost_by_their_length(spark):
     assert got[22]["score"] < 8 * got[21]["score"] and got[22]["bits_per_byte"] > 2
 
 
+def test_lm_scores_depend_on_the_order_of_words(spark):
+    rng = random.Random(16)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    run = lambda n: [names[(start + k) % 40] for start in [rng.randrange(40)] for k in range(n)]
+    text = run(80)
+    texts = [*[" ".join(run(80)) for _ in range(60)], " ".join(text), " ".join(rng.sample(text, 80))]
+    got = {r["doc_id"]: r for r in lm.score(table(spark, texts), F.col("doc_id") <= 60).collect()}
+    assert got[61]["base_score"] == pytest.approx(got[62]["base_score"])
+    assert got[61]["bits_per_byte"] < 0.5 * got[62]["bits_per_byte"]
+
+
+def test_lm_text_bits_do_not_depend_on_grouping():
+    rng, np_rng = random.Random(17), np.random.default_rng(17)
+    table = np_rng.integers(0, 9, (2, lm.ORDERS << lm.BITS)).astype(np.uint16)
+    odds, w = lm.log_odds(table), np_rng.normal(0.3, 0.1, (lm.PLACES * lm.SURE, lm.ORDERS)).astype(np.float32)
+    texts = [lm._tokens(" ".join(words(rng, n))) for n in (0, 1, 3, 9000)]
+    one = [lm.text_bits(t, [len(t)], odds, w)[0] for t in texts]
+    assert lm.text_bits(sum(texts, []), list(map(len, texts)), odds, w) == pytest.approx(one, rel=1e-4)
+
+
 def test_spelling_is_a_distribution():
     """All words of one bit pattern tree: the probabilities of a byte's values add to one."""
     rng = np.random.default_rng(11)
