@@ -4,9 +4,12 @@ Texts and templates are reduced to words (letters and digits, lower case). Of ev
 ``WINDOW`` neighbouring word 3-grams the one with the least hash is a fingerprint, so a
 shared run of ``WINDOW + 2`` words shares one. The templates' fingerprints form an inverted
 index of bounded size that every task holds. A fingerprint of a document found there seeds
-a place of the template (position minus offset); each place not yet explained is aligned:
-a local alignment of the template with the words around the place, within a band of
-``BAND`` diagonals. It reports the share of template words matched in order and the span.
+a place of the template (position minus offset). Nearby places form a cluster, which is aligned
+once: a local alignment of the template with the words around, within a band from the
+cluster's least to its greatest place and a margin on both sides (a quarter of the
+template's words, ``BAND`` at least; places up to two margins apart are neighbours). It
+reports the share of template words matched in order and the span; the words inside are
+then done, and the fingerprints outside are clustered again.
 
 Defined cases: null or empty text has no match; a match needs ``min_coverage`` of the
 template's words; where places of one template overlap, the one with most matches is kept
@@ -66,23 +69,23 @@ class Index:
         self.keys = np.array([e[0] for e in entries], np.uint64)
         self.template, self.place = (np.array([e[i] for e in entries], np.int64) for i in (1, 2))
 
-    def seeds(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(template, start of the template in the document) of each known 3-gram."""
+    def seeds(self, h: np.ndarray) -> set[tuple[int, int, int]]:
+        """(template, start of the template in the document, place) of each known 3-gram."""
         r = rolling(h, GRAM)
         lo, hi = np.searchsorted(self.keys, r), np.searchsorted(self.keys, r, side="right")
-        return {(int(self.template[e]), int(p - self.place[e])) for p in np.flatnonzero(hi > lo) for e in range(lo[p], hi[p])}
+        return {(int(self.template[e]), int(p - self.place[e]), int(p)) for p in np.flatnonzero(hi > lo) for e in range(lo[p], hi[p])}
 
 
-def align(t: np.ndarray, h: np.ndarray, start: int, band: int) -> tuple[int, int, int]:
+def align(t: np.ndarray, h: np.ndarray, lo: int, hi: int) -> tuple[int, int, int]:
     """(matches, first, last) of the best in-order matching of template ``t`` with ``h`` inside
-    the band around ``start``; of equal ones that with the shortest span."""
+    the band of starts from ``lo`` to ``hi``; of equal ones that with the shortest span."""
     none = (0, 0, 0)  # matches, -span, first
-    row = [none] * (2 * band + 3)
+    row = [none] * (hi - lo + 3)
     best = (0, 0, 0, 0)
     for i, w in enumerate(t):
-        new = [none] * (2 * band + 3)
-        for d in range(1, 2 * band + 2):
-            j = start + i + d - 1 - band
+        new = [none] * (hi - lo + 3)
+        for d in range(1, hi - lo + 2):
+            j = lo + i + d - 1
             up, left, diag = row[d + 1], new[d - 1], row[d]
             got = max(up, left)
             if 0 <= j < len(h) and h[j] == w:
@@ -97,15 +100,31 @@ def align(t: np.ndarray, h: np.ndarray, start: int, band: int) -> tuple[int, int
 def matches(h: np.ndarray, index: Index, band: int, min_coverage: float) -> list[tuple[int, float, int, int, int]]:
     """(template, coverage, first word, last word, matched words) of the places in a document."""
     found = []
-    explained: dict[int, list[tuple[int, int]]] = {}
-    for t, start in sorted(index.seeds(h)):
+    seeds: dict[int, list[tuple[int, int]]] = {}
+    for t, start, p in index.seeds(h):
+        seeds.setdefault(t, []).append((start, p))
+    for t, left in seeds.items():
         words = index.words[t]
-        if any(abs(start - s) <= band for s, _ in explained.get(t, ())):
-            continue
-        n, first, last = align(words, h, start, band)
-        explained.setdefault(t, []).append((start, n))
-        if n >= min_coverage * len(words):
-            found.append((t, n / len(words), first, last, n))
+        margin, need = max(band, len(words) // 4), min_coverage * len(words)
+        reach = len(words) + 2 * margin  # of one band; a longer cluster is aligned in overlapping bands
+        left.sort()
+        free = h.copy()  # without the words of places found
+        while left:
+            k, a = 1, left[0][0]
+            while k < len(left) and left[k][0] - left[k - 1][0] <= 2 * margin and left[k][0] - a <= reach:
+                k += 1
+            whole = k == len(left) or left[k][0] - left[k - 1][0] > 2 * margin
+            lo, hi = a - margin, left[k - 1][0] + margin
+            if np.isin(words, free[max(lo, 0):max(hi + len(words), 0)]).sum() >= need:
+                n, first, last = align(words, free, lo, hi)
+                if n >= need:
+                    found.append((t, n / len(words), first, last, n))
+                    free[first:last + 1] = 0
+                    rest = [x for x in left[:k] if not first <= x[1] <= last]
+                    if len(rest) < k:
+                        left = rest + left[k:]
+                        continue
+            left = left[k if whole else max(1, sum(x[0] <= a + reach // 2 for x in left[:k])):]
     out = []
     for f in sorted(found, key=lambda f: (f[0], -f[4], f[2])):
         if not any(f[0] == g[0] and f[2] <= g[3] and g[2] <= f[3] for g in out):

@@ -400,6 +400,21 @@ def test_license_scan_finds_edited_templates(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+def test_license_with_inserted_clauses_is_found():
+    rng = random.Random(18)
+    index, other = licenses.Index(licenses.TEMPLATES), lambda n: words(rng, n)
+    mit = licenses.TEMPLATES["mit"].split()
+    third = len(mit) // 3
+    shifted = mit[:third] + other(5) + mit[third:2 * third] + other(5) + mit[2 * third:]
+    clause = mit[:third] + other(20) + mit[third:]
+    chance = mit[10:13] + other(2) + mit
+    twice = licenses.TEMPLATES["mit-line"].split() * 3
+    for text, want in ((shifted, ["mit"]), (clause, ["mit"]), (chance, ["mit"]), (twice, ["mit-line"] * 3), (mit[:third], [])):
+        h = licenses._hashes([" ".join(other(30) + text + other(30))])[0]
+        got = licenses.matches(h, index, licenses.BAND, 0.8)
+        assert [index.names[g[0]] for g in got] == want and all(g[1] == 1 for g in got)
+
+
 # --- pipeline -----------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_dir):
