@@ -4,9 +4,13 @@ One pass counts each document's words, symbols, repeated lines and repeated 8-wo
 windows. The rates of the documents that pass the base rules go into logarithmic quantile
 sketches (bucket counts; two sketches merge by adding counts, each quantile is within
 ``REL`` of its value). Sketches are kept per (lang, source); a group of fewer than
-``min_docs`` documents takes the merged sketch of its language, or of all documents. A rate
-outside the fence [q1 - k*s, q3 + k*s] of its group, s being the larger of q3 - q1 and a
-least spread, fails the document.
+``min_docs`` documents takes the merged sketch of its language, or of all documents. A
+group's fence is the tighter one of two. The tail fence is the 1st or 99th percentile (one
+document at least lies outside, so a lone outlier can't set it) and a margin: ``TAIL`` of
+the distance from the median to it, or ``k`` steps of the sketch, if more. The quartile
+fence, q1 - k*s or q3 + k*s with s the larger of q3 - q1 and a least spread, holds where
+junk is more than a hundredth of a group and has moved its tail. A rate outside its group's
+fence fails the document.
 
 Defined cases: null or empty text has no words and fails the base rules; null lang or
 source is a group of its own; every input row gives one output row, repeated ids
@@ -28,10 +32,11 @@ from tabvet.llm.common import cut, only_ids, rolling, word_hashes
 REL = 0.01
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
+TAIL, MARKS = 0.5, ("q01", "q1", "q50", "q3", "q99")
 #: rate -> (numerator, denominator, least spread, whether low values fail too)
 RATES = {
     "symbols": ("n_symbols", "n_words", 0.05, False),
-    "word_length": ("word_chars", "n_words", 1.0, True),
+    "word_length": ("word_chars", "n_words", 0.05, True),
     "dup_lines": ("n_dup_lines", "n_lines", 0.1, False),
     "repeats": ("n_repeat_words", "n_words", 0.1, False),
 }
@@ -94,14 +99,17 @@ def merge(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """(keys, rate, docs, q1, q3) of merged sketches. A group has at most a few thousand buckets."""
+    """(keys, rate, docs, q1, q3, q01, q50, q99) of merged sketches. A group has at most a few thousand buckets."""
     by = Window.partitionBy(*keys, "rate")
     upto = by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     gamma = (1 + REL) / (1 - REL)
     middle = F.when(F.col("bucket") == 0, 0.0).otherwise(F.pow(F.lit(gamma), F.col("bucket")) * 2e-6 / (1 + gamma))
     ranked = sketch.select(*keys, "rate", middle.alias("v"), F.sum("n").over(upto).alias("upto"), F.sum("n").over(by).alias("docs"))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("docs") * q), F.col("v")))
-    return ranked.groupBy(*keys, "rate").agg(F.first("docs").alias("docs"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    inner = F.greatest(F.floor(F.col("docs") * 0.99), F.lit(1))  # of the tails, so that one document at least is outside
+    rank = lambda r: F.min(F.when(F.col("upto") >= r, F.col("v")))
+    return ranked.groupBy(*keys, "rate").agg(F.first("docs").alias("docs"), at(0.25).alias("q1"), at(0.75).alias("q3"),
+                                             rank(F.col("docs") + 1 - inner).alias("q01"), at(0.5).alias("q50"), rank(inner).alias("q99"))
 
 
 def fences(sketch: DataFrame, k: float, min_docs: int) -> DataFrame:
@@ -110,16 +118,17 @@ def fences(sketch: DataFrame, k: float, min_docs: int) -> DataFrame:
     sketch = cut(sketch, "sketch")
     level = lambda *keys: quantiles(merge(sketch, *keys), *keys)
     own, lang, every = level("lang", "source"), level("lang"), level()
-    name = lambda d, p, *keys: d.select(*[F.col(c).alias(f"{p}_{c}") for c in (*keys, "rate", "docs", "q1", "q3")])
+    name = lambda d, p, *keys: d.select(*[F.col(c).alias(f"{p}_{c}") for c in (*keys, "rate", "docs", *MARKS)])
     all_levels = (own.join(name(lang, "l", "lang"), F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rate") == F.col("l_rate")))
                   .join(name(every, "e"), F.col("rate") == F.col("e_rate")))
     pick = lambda q: F.when(F.col("docs") >= min_docs, F.col(q)).when(F.col("l_docs") >= min_docs, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}"))
     out = []
     for rate, (_, _, least, low) in RATES.items():
-        spread = F.greatest(F.col("b") - F.col("a"), F.lit(least)) * k
+        margin = lambda q: F.greatest(F.abs(F.col(q) - F.col("q50")) * TAIL, F.col(q) * (k * REL))
+        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * k
         of = lambda c: F.max(F.when(F.col("rate") == rate, c))  # noqa: B023, E731
-        out += [of(F.col("a") - spread if low else F.lit(float("-inf"))).alias(f"{rate}_lo"), of(F.col("b") + spread).alias(f"{rate}_hi")]
-    return all_levels.select("lang", "source", "rate", pick("q1").alias("a"), pick("q3").alias("b")).groupBy("lang", "source").agg(*out)
+        out += [of(F.greatest(F.col("q01") - margin("q01"), F.col("q1") - spread) if low else F.lit(float("-inf"))).alias(f"{rate}_lo"), of(F.least(F.col("q99") + margin("q99"), F.col("q3") + spread)).alias(f"{rate}_hi")]
+    return all_levels.select("lang", "source", "rate", *[pick(q).alias(q) for q in MARKS]).groupBy("lang", "source").agg(*out)
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *,

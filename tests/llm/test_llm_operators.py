@@ -268,6 +268,18 @@ def test_quality_counts_and_adaptive_fence(spark):
     assert quality.judge(table(spark, [])).count() == 0
 
 
+def test_quality_fence_follows_the_groups_spread(spark):
+    """Outliers of a narrow group fail, the same rates in a wide group pass."""
+    rng = random.Random(19)
+    text = lambda n: " ".join(words(rng, 80 - n) + ["wide#"] * n)
+    texts = [text(k % 3) for k in range(100)] + [text(k % 20) for k in range(100)] + [text(12), text(12)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(table(spark, texts, ["aa"] * 100 + ["bb"] * 100 + ["aa", "bb"])).collect()}
+    assert not got[201] and got[202]
+    assert sum(got[i] for i in range(1, 201)) >= 196
+    junk = [text(k % 3) for k in range(100)] + [text(60) for _ in range(10)]  # more than the tail holds
+    assert not any(r["kept"] for r in quality.judge(table(spark, junk)).collect() if r["doc_id"] > 100)
+
+
 def test_sketches_merge_to_the_whole(spark):
     df = table(spark, [" ".join(["w" * (1 + k % 9)] * (20 + k)) for k in range(200)])
     rows = quality.measure(df)
