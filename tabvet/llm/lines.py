@@ -1,9 +1,10 @@
 """Line dedup by winnowing over line hashes.
 
 A document is its sequence of non-blank lines (stripped, hashed). Its fingerprints are
-2-line grams that are the minimum of a window of ``WINDOW`` neighbouring grams, and every
-line or 2-line gram of ``LONG`` words or more. So two documents that share a run of three
-lines, or a long line, share a fingerprint. Each fingerprint's first occurrence (smallest
+2-line grams that are the minimum of a window of ``WINDOW`` neighbouring grams, every
+2-line gram of ``LONG`` words or more, and every line of ``LINE`` words or more; shorter lines
+repeat by chance and go only as part of a run. So two documents that share a run of three
+lines, or a line of ``LINE`` words, share a fingerprint. Each fingerprint's first occurrence (smallest
 doc_id, then position) is the source of all its later ones; a match is extended line by
 line in both directions and the later run is deleted. Every deleted line equals one at an
 earlier place, so the first copy of any line stays.
@@ -26,13 +27,14 @@ from tabvet.llm.common import cut, free_name, list_array, mix, rows_of, signed,
 
 WINDOW = 2
 LONG = 50
+LINE = 9
 BROADCAST_LINES = 2_000_000  # line numbers; more are joined by shuffling
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
-def fingerprints(h: np.ndarray, words: np.ndarray, window: int = WINDOW, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(h: np.ndarray, words: np.ndarray, window: int = WINDOW, long: int = LONG, line: int = LINE) -> tuple[np.ndarray, np.ndarray]:
     """(hash, position) of the chosen grams of a document's lines."""
-    one = np.flatnonzero(words >= long)
+    one = np.flatnonzero(words >= min(line, long))
     grams = mix(h[:-1] * np.uint64(3) + mix(h[1:]))
     keep = words[:-1] + words[1:] >= long
     if 0 < len(grams) < window:

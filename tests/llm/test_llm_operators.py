@@ -243,6 +243,15 @@ def test_line_dedup_removes_later_runs_only(spark):
     assert lines.dedup_lines(table(spark, [])).columns == table(spark, []).columns
 
 
+def test_single_repeated_lines_go(spark):
+    rng = random.Random(20)
+    line = lambda n=8: " ".join(words(rng, n))
+    common_line = line(9)
+    texts = ["\n".join([line(), common_line, line()]) for _ in range(30)]
+    got = {r["doc_id"]: r["removed"] for r in lines.dedup_lines(table(spark, texts), report=True).collect()}
+    assert got == {1: [], **{i: [1] for i in range(2, 31)}}
+
+
 # --- 10: quality --------------------------------------------------------------------------
 
 def test_quality_counts_and_adaptive_fence(spark):
