@@ -128,6 +128,18 @@ def word_hashes(texts: list[str] | list[bytes], lower: bool = True) -> tuple[np.
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(([0], np.searchsorted(start, ends)))
 
 
+def split_words(texts: list[bytes], gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """For texts cut at the bytes that ``gap`` (256 flags, line feed among them) marks: all bytes behind a line feed, the place of each word
+    among them, and the words as an exact dictionary."""
+    a = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    out = gap[a]
+    edge = np.flatnonzero(out[1:] != out[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    offsets = np.concatenate(([0], np.cumsum(end - start)))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(a[~out])])
+    return a, start, words.dictionary_encode()
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """One hash for each window of ``k`` successive hashes (none for fewer)."""
     n = max(0, len(h) - k + 1)

@@ -117,6 +117,58 @@ FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score
 QUALIFY rank <= 3"""
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabvet.llm.collocations import collocations
+    return collocations(documents(spark, sf_dir))
+
+
+OP12_SQL = """
+WITH piece AS (
+  SELECT row_number() OVER () AS id, lang, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL)),
+word AS (
+  SELECT id, lang, unnest(w) AS w, unnest(range(len(w))) AS k FROM (
+    SELECT id, lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM piece)),
+gram AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM word WINDOW p AS (PARTITION BY id ORDER BY k)),
+f AS (
+  SELECT lang, w1 AS phrase, 1 AS size, count(*) AS a, any_value(w1) AS w1, '' AS w2, '' AS w3 FROM gram GROUP BY lang, w1
+  UNION ALL
+  SELECT lang, w1 || ' ' || w2, 2, count(*), w1, w2, '' FROM gram WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 10
+  UNION ALL
+  SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3, count(*), w1, w2, w3 FROM gram WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 10),
+key AS (SELECT lang || chr(1) || phrase AS key, a FROM f),
+parts AS (
+  SELECT lang, phrase, size, a, 1 AS k, w1 AS first, CASE size WHEN 2 THEN w2 ELSE w2 || ' ' || w3 END AS rest FROM f WHERE size > 1
+  UNION ALL
+  SELECT lang, phrase, size, a, 2, w1 || ' ' || w2, w3 FROM f WHERE size = 3),
+cuts AS (
+  SELECT c.lang, c.phrase, c.size, c.a, k, x.a AS l, y.a AS r,
+         CAST((CAST(c.a AS HUGEINT) * c.a * 1000000) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM parts c JOIN key x ON x.key = c.lang || chr(1) || first JOIN key y ON y.key = c.lang || chr(1) || rest),
+best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, w1 || ' ' || w2 AS phrase, a FROM f WHERE size = 3 UNION ALL SELECT lang, w2 || ' ' || w3, a FROM f WHERE size = 3)
+  GROUP BY lang, phrase),
+total AS (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) AS rank,
+       b.phrase, b.a, l, r, CAST(n AS BIGINT) AS n, score
+FROM best b JOIN total ON total.lang = b.lang LEFT JOIN longer x ON x.lang = b.lang AND x.phrase = b.phrase
+WHERE coalesce(100 * x.a < 50 * b.a, true)
+QUALIFY rank <= 2000"""
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabvet.llm.toxicity import score
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    out = score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
@@ -129,8 +181,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_toxicity": op13_toxicity,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_fixity": OP4_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op4_warc_fixity": OP4_SQL, "op11_hard_negatives": OP11_SQL, "op12_collocations": OP12_SQL}
