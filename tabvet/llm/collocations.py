@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tabvet.llm.common import cut, mix, split_words, word_hashes
 
 SLOTS = 26  # 2^26 bits (8 MB) for each phrase length
-CHUNK = 1 << 24  # bytes of text counted at once
+CHUNK = 1 << 22  # bytes of text counted at once: some 100 MB of a worker
 SALTS = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _KIND = np.zeros(256, np.int8)
