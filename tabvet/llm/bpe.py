@@ -2,7 +2,8 @@
 
 Exactness rests on three facts. (1) No pre-token holds white space behind another
 character, so the place before a white-space character that follows another character
-always separates pre-tokens: texts are cut there and pieces are encoded once and cached.
+always separates pre-tokens: texts are cut there, the pieces of a batch are numbered by an exact
+dictionary, and each distinct piece is encoded once; a worker keeps a bounded number of them.
 (2) Inside a pre-token an encoding is the one sequence whose neighbouring tokens are all
 stable as pairs. (3) So two encoded halves may be joined by re-encoding a window around
 the join that starts and ends at token borders: if its first token is the left half's and
@@ -21,12 +22,14 @@ library with ``add_special_tokens=False``.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +37,29 @@ from tabvet.llm.common import rows_of, texts_of
 
 LEAF = 4096  # bytes of a pre-token that are encoded at once
 SEGMENT = 1 << 16  # characters of a text above which it is encoded as several rows
-CACHE = 300_000  # entries of a cache generation; a worker holds four (about 200 MB)
+CACHE = 20_000  # entries of a cache generation; a worker holds a few (some 10 MB)
+KNOWN = 1 << 18  # short pieces that a worker keeps with their ids, in flat arrays (some 20 MB)
+BYTES = 1 << 22  # of text encoded at once
+BLOCK = 1 << 11  # bytes of distinct pieces given to the library at once
 _TOUCH = re.compile(r"\s[ \n]|[ \n]\s")
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LIKE_SPACE = np.zeros(256, bool)  # last bytes of characters that may be white space
+_LIKE_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
 _encoders: dict[str, Encoder] = {}
 
 
+def behind_space(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the characters before the places ``at`` of some UTF-8 bytes are white space, Unicode's included."""
+    out = _LIKE_SPACE[a[at - 1]]
+    some = np.flatnonzero(out & (a[at - 1] >= 0x80))
+    for k in some.tolist():
+        out[k] = a[max(0, at[k] - 4):at[k]].tobytes().decode("utf-8", "ignore")[-1:].isspace()
+    return out
+
+
 def default_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +90,7 @@ class Encoder:
     def __init__(self, path: str, leaf: int = LEAF):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         self.tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
@@ -87,6 +107,9 @@ class Encoder:
         self.added = re.compile("(" + "|".join(sorted(map(re.escape, added.values()), key=len, reverse=True)) + ")") if added else None
         self.strings = {i: s for s, i in t.get_vocab().items()}
         self.bytes = {i: added[i].encode() if i in added else bytes(to_byte[c] for c in s) for i, s in self.strings.items()}
+        self.size_of = np.zeros(max(self.bytes, default=0) + 1, np.int64)
+        self.size_of[list(self.bytes)] = [len(b) for b in self.bytes.values()]
+        self.known = pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
         self.pieces, self.tokens, self.other = Cache(CACHE), Cache(CACHE), Cache(CACHE // 10)
 
     def encode(self, text: str) -> bytes:
@@ -100,6 +123,79 @@ class Encoder:
         out = [known(k) or self._cached(k, self.pieces, self._behind_space) for k in rest]
         return (self._ids(first) if first else b"") + b"".join(out)
 
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin, with the end."""
+        raw = [t.encode() for t in texts]
+        begin = np.concatenate(([0], np.cumsum([len(b) for b in raw], dtype=np.int64)))
+        a = np.frombuffer(b"".join(raw), np.uint8)
+        if not len(a):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        space = _SPACE[a]
+        safe = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        cuts = np.zeros(len(a) + 1, bool)
+        cuts[safe[~behind_space(a, safe)]] = True
+        cuts[begin] = True
+        at = np.flatnonzero(cuts)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(a)]).dictionary_encode()
+        first, counts, pool = self._known(pieces.dictionary)
+        which = pieces.indices.to_numpy()
+        sizes = counts[which]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = pool[np.repeat(first[which] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(at, begin)]
+
+    def _known(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_distinct``; pieces of the batches before, short ones and at most ``KNOWN``, are looked up."""
+        old, old_first, old_counts, old_pool = self.known
+        place = pc.index_in(pieces, value_set=old)
+        new = pieces.filter(place.is_null())
+        new_first, new_counts, new_pool = self._distinct(new)
+        pool = np.concatenate((old_pool, new_pool))
+        place = place.fill_null(-1).to_numpy()
+        first, counts = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        hit = place >= 0
+        first[hit], counts[hit] = old_first[place[hit]], old_counts[place[hit]]
+        first[~hit], counts[~hit] = new_first + len(old_pool), new_counts
+        keep = pc.less_equal(pc.binary_length(pieces), 64).to_numpy(zero_copy_only=False)
+        if len(old) + (keep & ~hit).sum() <= KNOWN:
+            extra = keep & ~hit
+            self.known = pa.concat_arrays([old, pieces.filter(pa.array(extra))]), np.concatenate((old_first, first[extra])), np.concatenate((old_counts, counts[extra])), pool
+        else:
+            keep &= np.cumsum(keep) <= KNOWN
+            ends = np.cumsum(counts[keep])
+            begins = ends - counts[keep]
+            ids = pool[np.repeat(first[keep] - begins, counts[keep]) + np.arange(ends[-1] if len(ends) else 0)]
+            self.known = pieces.filter(pa.array(keep)), begins, counts[keep], ids
+        return first, counts, pool
+
+    def _distinct(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each piece's ids begin in a pool of ids, how many they are, and the pool. Pieces that start with white space and end
+        without are put together, encoded at once and told apart by the byte lengths of the tokens."""
+        if not len(pieces):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        at = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:pieces.offset + len(pieces) + 1]
+        a = np.frombuffer(pieces.buffers()[2], np.uint8)
+        plain = _SPACE[a[at[:-1]]] & ~behind_space(a, at[1:]) & (np.diff(at) <= self.leaf)
+        first, counts, pool, held = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [], 0
+        for k in np.flatnonzero(~plain).tolist():
+            ids = np.frombuffer(self._ids(a[at[k]:at[k + 1]].tobytes().decode()), "<u4")
+            first[k], counts[k] = held, len(ids)
+            pool.append(ids)
+            held += len(ids)
+        plain = np.flatnonzero(plain)
+        ends = np.cumsum(np.diff(at)[plain])
+        blocks = [x for x in np.split(plain, np.searchsorted(ends, np.arange(BLOCK, ends[-1] if len(ends) else 0, BLOCK))) if len(x)]
+        texts = [b"".join([a[x:y].tobytes() for x, y in zip(at[some].tolist(), at[some + 1].tolist())]).decode() for some in blocks]
+        if texts:
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            last = np.searchsorted(reached := np.cumsum(self.size_of[ids]), ends)
+            if len(reached) <= last[-1] or not np.array_equal(reached[last], ends):
+                raise ValueError("a token crosses a safe place of the text")
+            counts[plain] = np.diff(last + 1, prepend=0)
+            first[plain] = held + last + 1 - counts[plain]
+            pool.append(ids)
+        return first, counts, np.concatenate(pool) if pool else np.zeros(0, "<u4")
+
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -183,6 +279,18 @@ def segments(text: str, size: int) -> list[str]:
     return [*out, text[at:]]
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) lists of about ``BYTES`` characters, or one longer text."""
+    for ids, texts in rows_of(batches, 1024):
+        a = held = 0
+        for k, text in enumerate(texts):
+            if held and held + len(text) > BYTES:
+                yield ids[a:k], texts[a:k]
+                a, held = k, 0
+            held += len(text)
+        yield ids[a:], texts[a:]
+
+
 Finish = Callable[[bytes], tuple]
 
 
@@ -200,8 +308,9 @@ def encode_with(df: DataFrame, finish: Finish, schema: str, path: str | None = N
 
     def short(batches):
         enc = encoder(path)
-        for ids, texts in rows_of(batches, 256):
-            yield batch_of(ids, [finish(enc.encode(t)) for t in texts])
+        for ids, texts in groups(batches):
+            flat, at = enc.encode_many(texts)
+            yield batch_of(ids, [finish(flat[x:y].tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist())])
 
     def cut_up(batches):
         enc = encoder(path)

@@ -86,7 +86,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _M1)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _powers: list[np.ndarray] = []
 
 

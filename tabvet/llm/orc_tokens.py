@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabvet.llm.bpe import default_path, encoder
-from tabvet.llm.common import cut, list_array, rows_of, texts_of
+from tabvet.llm.bpe import default_path, encoder, groups
+from tabvet.llm.common import cut, list_array, texts_of
 
 END_ID = 0
 STRIPE_BYTES = 64 << 20
@@ -35,11 +35,11 @@ def write_tokens(df: DataFrame, out: str, path: str | None = None, id_col: str =
     path = path or default_path()
 
     def run(batches):
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        for ids, texts in rows_of(batches, 256):
-            got = [enc.encode(t) + end for t in texts]
-            flat = np.frombuffer(b"".join(got), "<i4")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), list_array(flat, [len(b) // 4 for b in got], pa.int32())], names=["doc_id", "ids"])
+        enc = encoder(path)
+        for ids, texts in groups(batches):
+            flat, at = enc.encode_many(texts)
+            closed = np.insert(flat, at[1:], end_id).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), list_array(closed, np.diff(at) + 1, pa.int32())], names=["doc_id", "ids"])
 
     docs = texts_of(df, id_col, text_col).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
     (docs.mapInArrow(run, "doc_id long, ids array<int>").write
