@@ -7,18 +7,18 @@ it does not consume the whole string. The captured fields are assembled with
 ``try_make_timestamp_ntz``, which rejects impossible dates (30 February) the way
 ``datetime()`` does. No exception is thrown per row, unlike pattern-based casts.
 
-The reference falls back to a free-form parser when no format matches. Here that is a
-fixed *ladder* of complete date shapes (``LADDER_*``), month-first like the free-form
-parser's default; partial dates ("10", "March") are not accepted.
+The reference falls back to a free-form parser when no format matches: ``freeform.py``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tabvet.functions.freeform import freeform_sql, offset_text
 from tabvet.functions.text import PY_WHITESPACE
 
 
@@ -47,21 +47,6 @@ MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july",
 # Default formats of the date validator when a rule lists none.
 DEFAULT_VALIDATION_FORMATS = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d %H:%M:%S"]
 
-# The free-form ladder: generic shapes tried in this order. Numeric day/month forms
-# are read month-first, then day-first when that is no valid date (the free-form
-# parser's default). Each shape is one regex; captured fields build the timestamp.
-_T = r"(?:(?:\s+|[Tt])(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:[.,](\d{1,6}))?)?)?"
-LADDER_ISO = r"^(\d{4})-(\d{1,2})-(\d{1,2})" + _T + "$"
-LADDER_YMD = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})" + _T + "$"
-LADDER_COMPACT = r"^(\d{4})(\d{2})(\d{2})(?:[Tt]?(\d{2})(\d{2})(\d{2})?)?$"
-LADDER_NUMERIC = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})" + _T + "$"
-LADDER_DAY_NAME = r"^(\d{1,2})(?:st|nd|rd|th)?[\s-]+([A-Za-z]{3,9})\.?[\s,-]+(\d{4})" + _T + "$"
-LADDER_NAME_DAY = r"^([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})" + _T + "$"
-
-# A trailing UTC offset after a clock time; the free-form parser accepts it and the
-# checks drop it without converting (the reference calls ``replace(tzinfo=None)``).
-_OFFSET_SPLIT = r"(?i)^(.*\d:\d\d(?::\d\d(?:\.\d{1,6})?)?)[ ]?(z|[+-]\d\d:?\d\d)$"
-
 _SPACE_CLASS = "[" + "".join("\\x{%x}" % ord(c) for c in PY_WHITESPACE) + "]"
 _REGEX_SPECIALS = set("\\.^$*+?(){}[]|")
 
@@ -258,43 +243,6 @@ def first_sql(x: str, formats) -> str:
     return parts[0] if len(parts) == 1 else "coalesce(" + ", ".join(parts) + ")"
 
 
-def offset_sql(x: str) -> tuple[str, str]:
-    """(local part, offset text or null) for values ending in ``Z`` / ``±HH:MM``."""
-    rx = lit_rx(_OFFSET_SPLIT)
-    return (f"CASE WHEN {x} RLIKE {rx} THEN regexp_extract({x}, {rx}, 1) ELSE {x} END",
-            f"CASE WHEN {x} RLIKE {rx} THEN regexp_extract({x}, {rx}, 2) END")
-
-
-def _shape(x: str, rx: str, year: str, month: str, day: str, k: int) -> str:
-    g = lambda i: f"regexp_extract({x}, {lit_rx(rx)}, {i})"
-    opt = lambda e: f"coalesce({_int(e)}, 0)"
-    return _timestamp(year, month, day, opt(g(k)), opt(g(k + 1)), opt(g(k + 2)), opt(f"rpad({g(k + 3)}, 6, '0')"))
-
-
-def freeform_sql(x: str) -> str:
-    """Free-form fallback over text with any UTC offset already removed."""
-    g = lambda rx, i: f"regexp_extract({x}, {lit_rx(rx)}, {i})"
-    iso = _shape(x, LADDER_ISO, _int(g(LADDER_ISO, 1)), _int(g(LADDER_ISO, 2)), _int(g(LADDER_ISO, 3)), 4)
-    ymd = _shape(x, LADDER_YMD, _int(g(LADDER_YMD, 1)), _int(g(LADDER_YMD, 2)), _int(g(LADDER_YMD, 3)), 4)
-    c = LADDER_COMPACT
-    compact = _timestamp(_int(g(c, 1)), _int(g(c, 2)), _int(g(c, 3)), f"coalesce({_int(g(c, 4))}, 0)",
-                         f"coalesce({_int(g(c, 5))}, 0)", f"coalesce({_int(g(c, 6))}, 0)", "0")
-    n = LADDER_NUMERIC
-    a, b, y = _int(g(n, 1)), _int(g(n, 3)), _int(g(n, 4))
-    month_first = _shape(x, n, y, a, b, 5)
-    day_first = _shape(x, n, y, b, a, 5)
-    dn = _shape(x, LADDER_DAY_NAME, _int(g(LADDER_DAY_NAME, 3)), _month_of(g(LADDER_DAY_NAME, 2), True, True),
-                _int(g(LADDER_DAY_NAME, 1)), 4)
-    nd = _shape(x, LADDER_NAME_DAY, _int(g(LADDER_NAME_DAY, 3)), _month_of(g(LADDER_NAME_DAY, 1), True, True),
-                _int(g(LADDER_NAME_DAY, 2)), 4)
-    return (f"CASE WHEN {x} RLIKE {lit_rx(LADDER_ISO)} THEN {iso} "
-            f"WHEN {x} RLIKE {lit_rx(LADDER_YMD)} THEN {ymd} "
-            f"WHEN {x} RLIKE {lit_rx(c)} THEN {compact} "
-            f"WHEN {x} RLIKE {lit_rx(n)} THEN coalesce({month_first}, {day_first}) "
-            f"WHEN {x} RLIKE {lit_rx(LADDER_DAY_NAME)} THEN {dn} "
-            f"WHEN {x} RLIKE {lit_rx(LADDER_NAME_DAY)} THEN {nd} END")
-
-
 def _name(c) -> str:
     if isinstance(c, str):
         return ident(c)
@@ -310,18 +258,17 @@ def parse_first(name: str, formats) -> Column:
     return F.expr(first_sql(_name(name), formats))
 
 
-def parse_freeform(name: str) -> Column:
-    """Free-form ladder over column ``name``, any trailing UTC offset dropped."""
-    local, _ = offset_sql(_name(name))
-    return F.expr(freeform_sql(f"({local})"))
+def parse_freeform(name: str, year: int | None = None) -> Column:
+    """Free-form parse of column ``name``, any UTC offset dropped; ``year`` places two-digit years (default: now)."""
+    return F.expr(freeform_sql(_name(name), year or datetime.now().year))
 
 
-def parse_datetime(name: str, formats=None, freeform: bool = True) -> Column:
-    """Strip, then formats first (strptime, in order), then the free-form ladder."""
-    t = f"trim({_name(name)}, {_ws_literal()})"
+def parse_datetime(name: str, formats=None, freeform: bool = True, year: int | None = None) -> Column:
+    """Strip, then formats first (strptime, in order), then the free-form parse."""
+    t = f"trim(BOTH {_ws_literal()} FROM {_name(name)})"
     parts = [strptime_sql(t, f) for f in (formats or [])]
     if freeform:
-        parts.append(freeform_sql(f"({offset_sql(t)[0]})"))
+        parts.append(freeform_sql(t, year or datetime.now().year))
     if not parts:
         return F.lit(None).cast("timestamp_ntz")
     return F.expr(parts[0] if len(parts) == 1 else "coalesce(" + ", ".join(parts) + ")")
@@ -345,19 +292,12 @@ def iso_text(ts: Column) -> Column:
         F.length(text) > 19, F.concat(base, F.rpad(frac, 7, "0"))).otherwise(base)
 
 
-def iso_offset_text(off: Column) -> Column:
-    """``Z`` → ``+00:00``; ``+0530`` → ``+05:30``."""
-    digits = F.regexp_replace(off, "[^0-9]", "")
-    return F.when(F.upper(off) == "Z", F.lit("+00:00")).otherwise(
-        F.concat(F.substring(off, 1, 1), F.substring(digits, 1, 2), F.lit(":"), F.substring(digits, 3, 2)))
-
-
 def normalize_date_text(value: Column, trimmed: Column, by_format: Column, free: Column, offset: Column) -> Column:
-    """ISO text of a date cell: formats first, then the ladder; raw text when unparseable.
+    """ISO text of a date cell: formats first, then the free-form parse; raw text when unparseable.
 
     Null stays null and blank becomes ``""``, as in the reference's normalizer.
     """
-    free_text = F.when(offset.isNull(), iso_text(free)).otherwise(F.concat(iso_text(free), iso_offset_text(offset)))
+    free_text = F.when(offset.isNull(), iso_text(free)).otherwise(F.concat(iso_text(free), offset_text(offset)))
     return (F.when(value.isNull(), F.lit(None).cast("string"))
             .when(trimmed == "", F.lit(""))
             .when(by_format.isNotNull(), iso_text(by_format))

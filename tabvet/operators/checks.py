@@ -10,13 +10,15 @@ candidates into error structs.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime
 from typing import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabvet.functions.dates import (DEFAULT_VALIDATION_FORMATS, freeform_sql, ident, offset_sql, skeleton_sql,
-                                   strptime_from_parts_sql, strptime_parts_sql)
+from tabvet.functions.dates import (DEFAULT_VALIDATION_FORMATS, ident, skeleton_sql, strptime_from_parts_sql,
+                                   strptime_parts_sql)
+from tabvet.functions.freeform import FreeForm, offset_minutes, stage
 from tabvet.functions.numeric import is_finite, parse_py_float, trunc_toward_zero
 from tabvet.functions.phone import DEFAULT_PLAN, PhoneParse, parse_phone, row_region
 from tabvet.functions.text import py_trim, python_list_text, python_number_text
@@ -40,6 +42,7 @@ class CheckContext:
     as_of: Column
     phone_plan: tuple = DEFAULT_PLAN
     date_policy: str = "formats"
+    year: int = field(default_factory=lambda: datetime.now().year)  # places two-digit years
     stager: Stager = field(default_factory=lambda: Stager("_s"))
     _values: dict = field(default_factory=dict)
 
@@ -94,25 +97,21 @@ class FieldValues:
             return prev
         return self._get(("fmt", formats), make)
 
-    def offset_split(self, after: tuple[str, ...] | None = None) -> tuple[str, str]:
-        """(text without a trailing UTC offset, the offset); with ``after`` only for
-        rows where those formats did not parse."""
+    def _freeform(self, after: tuple[str, ...] | None) -> FreeForm:
+        """The free-form parse; with ``after`` only where those formats did not parse
+        (its regex is the expensive part, so it runs only when needed)."""
         def make():
-            local, off = offset_sql(ident(self.trimmed))
-            st = self.ctx.stager
             if not after:
-                return st.add(F.expr(local), [self.trimmed]), st.add(F.expr(off), [self.trimmed])
+                return stage(self.ctx.stager, self.trimmed, self.ctx.year)
             fmt = self.by_formats(after)
-            need = f"{ident(fmt)} IS NULL"
-            return (st.add(F.expr(f"CASE WHEN {need} THEN {local} END"), [self.trimmed, fmt]),
-                    st.add(F.expr(f"CASE WHEN {need} THEN {off} END"), [self.trimmed, fmt]))
-        return self._get(("split", after), make)
+            return stage(self.ctx.stager, self.trimmed, self.ctx.year, f"{ident(fmt)} IS NULL", (fmt,))
+        return self._get(("free", after), make)
 
     def freeform(self, after: tuple[str, ...] | None = None) -> str:
-        """Free-form parse; with ``after`` only where those formats did not parse
-        (the ladder is the expensive part, so it runs only when needed)."""
-        local, _ = self.offset_split(after)
-        return self._get(("free", after), lambda: self.ctx.stager.add(F.expr(freeform_sql(ident(local))), [local]))
+        return self._freeform(after).local
+
+    def offset(self, after: tuple[str, ...] | None = None) -> str:
+        return self._freeform(after).offset
 
     def region(self, region_column: str | None, default: str) -> str:
         return self._get(("region", region_column, default),
@@ -254,15 +253,26 @@ def custom_checks(rule: FieldRule, fv: FieldValues, ctx: CheckContext) -> list[C
     return out
 
 
+def _cross_formats(field_name: str, ctx: CheckContext) -> tuple[str, ...] | None:
+    rule = ctx.rules.field(field_name)
+    return tuple(rule.formats) if ctx.date_policy == "formats" and rule is not None and rule.formats else None
+
+
 def cross_parse(field_name: str, ctx: CheckContext) -> Column:
-    """A date cell parsed for a cross check under the chosen policy.
+    """A date cell parsed for a cross check under the chosen policy, any offset dropped.
 
-    ``formats`` (default): the field's own formats, then the free-form ladder.
-    ``month_first``: the free-form ladder only, as the reference's cross checks do.
+    ``formats`` (default): the field's own formats, then the free-form parse.
+    ``month_first``: the free-form parse only, as the reference's cross checks do.
     """
-    fv = ctx.values(field_name)
-    rule = ctx.rules.field(field_name)
-    if ctx.date_policy == "formats" and rule is not None and rule.formats:
-        formats = tuple(rule.formats)
+    fv, formats = ctx.values(field_name), _cross_formats(field_name, ctx)
+    if formats:
         return F.coalesce(col(fv.by_formats(formats)), col(fv.freeform(formats)))
     return col(fv.freeform())
+
+
+def cross_later(left: str, right: str, ctx: CheckContext) -> Column:
+    """Whether ``left`` lies after ``right``. Two cells with offsets are compared as instants, two without as local times; a
+    pair of one with and one without can't be compared and is no error."""
+    offsets = [col(ctx.values(f).offset(_cross_formats(f, ctx))) for f in (left, right)]
+    instants = [F.coalesce(cross_parse(f, ctx) - F.make_interval(mins=offset_minutes(o)), cross_parse(f, ctx)) for f, o in zip((left, right), offsets)]
+    return (offsets[0].isNull() == offsets[1].isNull()) & (instants[0] > instants[1])

@@ -17,8 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabvet.functions.dates import normalize_date_text
-from tabvet.operators.checks import (TYPE_CHECKS, Candidate, CheckContext, FieldValues, cross_parse, custom_checks,
-                                     region_of)
+from tabvet.operators.checks import (TYPE_CHECKS, Candidate, CheckContext, FieldValues, cross_later, cross_parse,
+                                     custom_checks, region_of)
 from tabvet.plans.rules import FieldRule
 
 CORRUPT_COLUMN = "_corrupt_record"
@@ -127,9 +127,8 @@ def compile_rules(ctx: CheckContext, flags: dict[str, KeyFlags], phone_region: s
             left, right = chk.get("left"), chk.get("right")
             if left not in cols or right not in cols:
                 continue
-            lp, rp = cross_parse(left, ctx), cross_parse(right, ctx)
             both = ~ctx.values(left).missing & ~ctx.values(right).missing
-            emit(both & (lp > rp), ordinal, 0, left, "DATE_ORDER",
+            emit(both & cross_later(left, right, ctx), ordinal, 0, left, "DATE_ORDER",
                  chk.get("message", f"{left} must be before {right}"))
         elif chk.type == "future_tolerance":
             fld = chk.get("field")
@@ -160,7 +159,7 @@ def compile_rules(ctx: CheckContext, flags: dict[str, KeyFlags], phone_region: s
                 by_format, free = col(fv.by_formats(formats)), col(fv.freeform(formats))
             else:
                 by_format, free = F.lit(None).cast("timestamp_ntz"), col(fv.freeform())
-            _, off = fv.offset_split(formats)
+            off = fv.offset(formats)
             normalized.append((f"{rule.name}_normalized",
                                normalize_date_text(col(rule.name).cast("string"), fv.t, by_format, free, col(off))))
     return Compiled(slots, masks, dynamic, normalized)

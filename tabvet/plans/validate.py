@@ -219,7 +219,7 @@ def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number
         if uq or rf:
             flags[rule.name] = KeyFlags(uq, rf, target)
 
-    ctx = CheckContext(rules, tuple(input_columns), as_of_literal(as_of), phone_plan, date_policy)
+    ctx = CheckContext(rules, tuple(input_columns), as_of_literal(as_of), phone_plan, date_policy, year=int(str(as_of)[:4]))
     compiled = compile_rules(ctx, flags, phone_region)
     df = ctx.stager.apply(df)
     frame = df.select(*input_columns, F.col(ROW), *[c.alias(n) for n, c in compiled.masks],

@@ -86,15 +86,68 @@ def test_strptime_random(spark, values):
             assert g == py_parse(s, fmt), (fmt, s, g)
 
 
-def test_freeform_ladder(spark):
-    values = ["2024-01-05", "05/01/2024", "15/01/2024", "13/13/2024", "Jan 5, 2024", "5 January 2024",
-              "2024/01/05 10:30:00", "20240105", "not a date", "10", "2024-01-05T10:30:00.250"]
-    want = [datetime(2024, 1, 5), datetime(2024, 5, 1), datetime(2024, 1, 15), None, datetime(2024, 1, 5),
-            datetime(2024, 1, 5), datetime(2024, 1, 5, 10, 30), datetime(2024, 1, 5), None, None,
-            datetime(2024, 1, 5, 10, 30, 0, 250000)]
-    df = spark.createDataFrame([(v,) for v in values], "s string")
-    got = [r[0] for r in df.select(parse_freeform("s")).collect()]
-    assert got == want
+FREE_FORM = {
+    "2024-01-05": (2024, 1, 5), "2024-1-5": (2024, 1, 5), "2024/01/05": (2024, 1, 5), "2024.01.05": (2024, 1, 5), "20240105": (2024, 1, 5),
+    "05/01/2024": (2024, 5, 1), "15/01/2024": (2024, 1, 15), "1.2.2024": (2024, 1, 2), "01 02 2024": (2024, 1, 2),
+    "Jan 5, 2024": (2024, 1, 5), "January 5th, 2024": (2024, 1, 5), "5 January 2024": (2024, 1, 5), "5th of January 2024": (2024, 1, 5),
+    "05-Jan-2024": (2024, 1, 5), "5jan2024": (2024, 1, 5), "Sept. 3 2023": (2023, 9, 3), "2024 Feb 29": (2024, 2, 29), "MAY 7 2021": (2021, 5, 7),
+    # two-digit years, as seen from 2024
+    "01/02/03": (2003, 1, 2), "13/02/03": (2003, 2, 13), "99-01-02": (1999, 1, 2), "5 Jan 73": (2073, 1, 5), "5 Jan 74": (1974, 1, 5),
+    "Jan 5, 70": (2070, 1, 5), "01/02/75": (1975, 1, 2), "240105": (2005, 1, 24), "Dec 31 24": (2024, 12, 31),
+    # weekday names
+    "Fri, 05 Jan 2024": (2024, 1, 5), "Monday, January 8, 2024": (2024, 1, 8), "wed 2024-01-10": (2024, 1, 10), "Thu. 11 Jan 2024": (2024, 1, 11),
+    # times
+    "2024/01/05 10:30:00": (2024, 1, 5, 10, 30), "2024-01-05T10:30:00.250": (2024, 1, 5, 10, 30, 0, 250000), "20240105T103000": (2024, 1, 5, 10, 30),
+    "202401051030": (2024, 1, 5, 10, 30), "Jan 5 2024 at 9:05": (2024, 1, 5, 9, 5), "Jan 5, 2024, 9:05": (2024, 1, 5, 9, 5),
+    "Fri Jan  5 10:30:01 2024": (2024, 1, 5, 10, 30, 1), "2024-01-05 10:30:00,5": (2024, 1, 5, 10, 30, 0, 500000),
+    # AM and PM
+    "2024-01-05 10:30 PM": (2024, 1, 5, 22, 30), "2024-01-05 12:00 am": (2024, 1, 5), "2024-01-05 12:15pm": (2024, 1, 5, 12, 15),
+    "Jan 5 2024 7 PM": (2024, 1, 5, 19), "01/02/2024 07:08:09 AM": (2024, 1, 2, 7, 8, 9),
+    # long fractions are cut
+    "2024-01-05T10:30:00.123456789": (2024, 1, 5, 10, 30, 0, 123456), "2024-01-05T10:30:00.9999999": (2024, 1, 5, 10, 30, 0, 999999),
+    # offsets are dropped
+    "2024-01-05T10:30:00Z": (2024, 1, 5, 10, 30), "2024-01-05 10:30 +05:30": (2024, 1, 5, 10, 30), "Fri, 05 Jan 2024 10:30:00 GMT": (2024, 1, 5, 10, 30),
+    "2024-01-05 10:30:00-0800": (2024, 1, 5, 10, 30), "2024-01-05T10:30:00+05": (2024, 1, 5, 10, 30),
+    # not complete dates, or none
+    "13/13/2024": None, "02/30/2024": None, "not a date": None, "10": None, "March": None, "March 2024": None, "10:30": None, "2024-01-05 10": None,
+    "2024-01-05 13:00 PM": None, "2024-13-05": None, "2024-01-05 25:00": None, "2024-01-05 10:61": None, "2024-01-05 10:30:61": None, "": None,
+    "0000-01-05": None, "2024-01/05": None, "1234567": None, "2024-01-05 10:30 foo": None, "Foo 5 2024": None, "2024-01-05 am": None, "12345678901234567890": None,
+}
+
+
+def test_freeform_shapes(spark):
+    from tabvet.functions.dates import parse_datetime
+    df = spark.createDataFrame([(v,) for v in FREE_FORM], "s string")
+    got = {r[0]: r[1:] for r in df.select("s", parse_freeform("s", 2024), parse_datetime("s", ["%Y"], year=2024)).collect()}
+    for text, want in FREE_FORM.items():
+        assert got[text][0] == (datetime(*want) if want else None), text
+        assert got[text][1] == got[text][0], text
+
+
+def test_freeform_shapes_staged(spark):
+    """The staged path of a rule: local time, offset, and the formats first."""
+    from tabvet.operators.checks import CheckContext
+    from tabvet.plans.rules import load_rules
+    from tabvet.plans.validate import as_of_literal
+    rules = load_rules({"datasets": {"t": {"fields": [{"name": "s", "type": "date"}]}}}, "t")
+    df = spark.createDataFrame([(v,) for v in FREE_FORM] + [(None,)], "s string")
+    ctx = CheckContext(rules, ("s",), as_of_literal("2024-06-01"), year=2024)
+    fv = ctx.values("s")
+    local, offset, rest = fv.freeform(), fv.offset(), fv.freeform(("%Y-%m-%d",))
+    got = {r[0]: r[1:] for r in ctx.stager.apply(df).select("s", local, offset, rest).collect()}
+    for text, want in FREE_FORM.items():
+        assert got[text][0] == (datetime(*want) if want else None), text
+        assert got[text][2] == (None if py_parse(text, "%Y-%m-%d") else got[text][0]), text
+    assert got[None] == (None, None, None)
+    assert got["2024-01-05T10:30:00Z"][1] == "z" and got["2024-01-05 10:30 +05:30"][1] == "+05:30" and got["2024-01-05"][1] is None
+
+
+def test_offsets(spark):
+    from pyspark.sql import functions as F
+    from tabvet.functions.freeform import offset_minutes, offset_text
+    df = spark.createDataFrame([("Z",), ("gmt",), ("+0530",), ("-08:00",), ("+05",), (None,)], "o string")
+    got = [tuple(r) for r in df.select(offset_minutes(F.col("o")), offset_text(F.col("o"))).collect()]
+    assert got == [(0, "+00:00"), (0, "+00:00"), (330, "+05:30"), (-480, "-08:00"), (300, "+05:00"), (None, None)]
 
 
 def test_compile_rejects_unknown_directive():
