@@ -8,7 +8,7 @@ are provided by the caller.
 
 from __future__ import annotations
 
-from tabvet.fixtures import (AS_OF, DIRTY_ORDERS_SQL, FILES_SQL, JOBS_SQL, PARENT_ORDERS_SQL, PAYMENTS_SQL,
+from tabvet.fixtures import (AS_OF, DATE_SHAPES_SQL, DIRTY_ORDERS_SQL, FILES_SQL, JOBS_SQL, OFFSET_DATES_SQL, PARENT_ORDERS_SQL, PAYMENTS_SQL,
                              PIECES_SQL, PRODUCTS_SQL, REQUESTS_SQL, SESSIONS_SQL, duck_sql)
 
 WS = "(" + "||".join(f"chr({ord(c)})" for c in "".join(chr(c) for c in range(0x110000) if chr(c).isspace())) + ")"
@@ -307,6 +307,9 @@ def layout_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     dirty_str = ", ".join(f"CAST({c.strip()} AS VARCHAR) AS {c.strip()}" for c in ORDER_COLS.split(","))
     valid_rows = f"""WITH a AS ({annotated()}), v AS (SELECT row_number FROM a WHERE is_valid)"""
+    in_files = (f"f AS (SELECT row_number, src_key, part, row_number() OVER (PARTITION BY part ORDER BY src_key) + 1 AS n FROM "
+                f"(SELECT row_number, src_key, lpad(CAST(src_key // 5000 AS VARCHAR), 6, '0') AS part FROM ({duck_sql(DIRTY_ORDERS_SQL, 'k')})))")
+    files_cte = f"WITH {in_files}"
     jobs = f"({JOBS_SQL})"
     files = f"({FILES_SQL})"
     recent = (f"SELECT user_id, id, status, CAST(created_at AS VARCHAR) AS created_at, rank FROM "
@@ -349,6 +352,21 @@ FROM s LEFT JOIN u USING (session_id)"""
                              f"customer_phone_normalized FROM x"),
         "normalize_dates": (f"WITH x AS ({annotated()}) SELECT row_number, order_date, order_date_normalized, "
                             f"delivery_date, delivery_date_normalized FROM x"),
+        "normalize_date_shapes": (
+            f"SELECT row_number, event_date, k % 14 NOT IN (10, 11) AS is_valid, CASE k % 14 "
+            f"WHEN 0 THEN y || '-' || m || '-' || d || 'T' || hh || ':' || mi || ':00' WHEN 1 THEN y || '-' || m || '-' || d || 'T00:00:00' "
+            f"WHEN 2 THEN y || '-' || m || '-' || d || 'T' || hh || ':' || mi || ':' || ss || '+00:00' "
+            f"WHEN 3 THEN y || '-' || m || '-' || d || 'T' || hh || ':' || mi || ':' || ss || '.123456' "
+            f"WHEN 5 THEN y || '-' || m || '-' || d || 'T' || hh || ':' || mi || ':' || ss || '+05:30' "
+            f"WHEN 7 THEN y || '-' || m || '-' || d || 'T' || hh || ':' || mi || ':00' WHEN 8 THEN y || '-' || m || '-' || d || 'T00:00:00' "
+            f"WHEN 9 THEN CASE WHEN d > '12' THEN y || '-' || m || '-' || d ELSE y || '-' || d || '-' || m END || 'T00:00:00' "
+            f"WHEN 10 THEN event_date WHEN 11 THEN event_date WHEN 12 THEN y || '-' || m || '-' || d || 'T' || hh || ':' || mi || ':00' "
+            f"WHEN 13 THEN y || '-' || m || '-' || d || 'T00:00:00' "
+            f"ELSE y || '-' || m || '-' || d || 'T' || hh || ':' || mi || ':' || ss END AS event_date_normalized "
+            f"FROM ({duck_sql(DATE_SHAPES_SQL, 'k')})"),
+        "check_date_order_offsets": (
+            f"SELECT row_number, 'sent' AS field_name, 'DATE_ORDER' AS error_code, 'sent must be before received' AS error_message "
+            f"FROM ({duck_sql(OFFSET_DATES_SQL, 'k')}) WHERE (row_number - 2) % 5 IN (1, 3, 4)"),
         "check_unique": f"{orders_base()} {codes('UNIQUE')}",
         "check_unique_products": f"{products_base()} {codes('UNIQUE')}",
         "check_reference": f"{payments_base(reference=True)} {codes('REFERENCE')}",
@@ -365,8 +383,18 @@ FROM s LEFT JOIN u USING (session_id)"""
                            f"CAST((row_number() OVER (ORDER BY row_number) - 1) // 1000 AS INTEGER) AS chunk_index FROM v"),
         "output_manifest": (f"{valid_rows}, c AS (SELECT CAST((row_number() OVER (ORDER BY row_number) - 1) // 1000 AS INTEGER) AS ci FROM v) "
                             f"SELECT 'cleaned_chunk' AS file_type, 'cleaned_part_' || lpad(CAST(ci AS VARCHAR), 4, '0') || '.csv' AS filename, "
-                            f"'outputs/job/cleaned_part_' || lpad(CAST(ci AS VARCHAR), 4, '0') || '.csv' AS storage_key, "
-                            f"ci AS chunk_index, CAST(count(*) AS INTEGER) AS row_count, true AS is_valid_only FROM c GROUP BY ci"),
+                            f"'cleaned/chunk_index=' || ci || '/*.csv' AS storage_key, true AS written, "
+                            f"ci AS chunk_index, CAST(count(*) AS INTEGER) AS row_count, true AS is_valid_only FROM c GROUP BY ci "
+                            f"UNION ALL SELECT 'errors', 'errors.csv', 'errors', true, NULL, CAST(count(*) AS INTEGER), false "
+                            f"FROM ({orders_base()} SELECT * FROM e)"),
+        "row_numbering_multi_file": f"{files_cte} SELECT part, src_key, n AS row_number FROM f",
+        "chunked_output_multi_file": (
+            f"{orders_base()}, bad AS (SELECT DISTINCT row_number FROM e WHERE error_code <> 'UNIQUE'), {in_files}, "
+            f"v AS (SELECT part, n, row_number() OVER (ORDER BY part, n) AS out_pos FROM f WHERE row_number NOT IN (SELECT row_number FROM bad)) "
+            f"SELECT part, n AS row_number, out_pos, CAST((out_pos - 1) // 1000 AS INTEGER) AS chunk_index FROM v"),
+        "error_report_multi_file": (
+            f"{orders_base()}, {in_files} SELECT row_number() OVER (ORDER BY part, ordinal, n, seq) AS position, part, n AS row_number, "
+            f"field_name, error_code, error_message FROM e JOIN f USING (row_number)"),
         "file_lookup": (f"SELECT r.file_id, r.user_id, f.file_type, f.filename, f.file_size, f.chunk_index, f.row_count, "
                         f"f.is_valid_only FROM ({REQUESTS_SQL}) r JOIN {files} f ON r.file_id = f.id "
                         f"JOIN {jobs} j ON f.validation_job_id = j.id AND j.user_id = r.user_id"),

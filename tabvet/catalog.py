@@ -17,8 +17,9 @@ from tabvet.operators import ledger
 from tabvet.operators.checks import FieldValues
 from tabvet.plans.default_rules import DEFAULT_RULES
 from tabvet.plans.rules import load_rules
-from tabvet.plans.validate import Validated, validate
-from tabvet.session import checkpoint_dir
+from tabvet.operators.positions import with_positions
+from tabvet.plans.validate import SOURCE, Validated, validate
+from tabvet.session import checkpoint_dir, stored
 from tabvet.sources import readers, sinks
 from tabvet.streaming import stream as streaming
 
@@ -116,6 +117,23 @@ def normalize_dates(spark, sf):
                                                        "delivery_date", "delivery_date_normalized")
 
 
+def normalize_date_shapes(spark, sf):
+    """Dates with AM/PM, two-digit years, weekday names, long fractions, offsets; partial and impossible ones."""
+    rules = load_rules({"datasets": {"t": {"fields": [{"name": "event_date", "type": "datetime"}]}}}, "t")
+    v = validate(fx.order_dates(spark, sf, fx.DATE_SHAPES_SQL).select("row_number", "event_date"), rules, as_of=fx.AS_OF, row_number="row_number",
+                 partitions=_cores(spark))
+    return v.with_row_number().select("row_number", "event_date", "event_date_normalized", "is_valid")
+
+
+def check_date_order_offsets(spark, sf):
+    """X1 on dates with UTC offsets: instants are compared, pairs of which only one has an offset are not."""
+    rules = load_rules({"datasets": {"t": {
+        "fields": [{"name": "sent", "type": "datetime"}, {"name": "received", "type": "datetime"}],
+        "cross_field_checks": [{"type": "date_order", "left": "sent", "right": "received"}]}}}, "t")
+    v = validate(fx.order_dates(spark, sf, fx.OFFSET_DATES_SQL), rules, as_of=fx.AS_OF, row_number="row_number", partitions=_cores(spark))
+    return v.errors()
+
+
 def errors_by_code(spark, sf):
     parts = [(_orders(spark, sf), "orders"), (_products(spark, sf), "products"), (_payments(spark, sf), "payments")]
     out = None
@@ -136,13 +154,51 @@ def run_stats(spark, sf):
 
 
 def chunked_output(spark, sf):
-    layout = sinks.chunk_layout(_orders(spark, sf), chunk_rows=1000, valid_only=True, materialize=True)
+    layout = sinks.chunk_layout(_orders(spark, sf), chunk_rows=1000, valid_only=True)
     return layout.select("row_number", "out_pos", "chunk_index")
 
 
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def output_manifest(spark, sf):
-    layout = sinks.chunk_layout(_orders(spark, sf), chunk_rows=1000, valid_only=True)
-    return sinks.chunk_manifest(layout, valid_only=True, job_id="job")
+    """The outputs written, and the manifest of the written files. Spark names the files inside
+    a chunk's folder, so that part of the key and the size aren't compared."""
+    manifest = sinks.write_outputs(_orders(spark, sf), _scratch(spark, "outputs"), chunk_rows=1000, valid_only=True)
+    key = F.regexp_replace("storage_key", r"/part-.*\.csv$", "/*.csv")
+    return manifest.select("file_type", "filename", key.alias("storage_key"), (F.col("file_size") > 0).alias("written"), "chunk_index",
+                           "row_count", "is_valid_only")
+
+
+def _order_files(spark, sf) -> DataFrame:
+    """The dirty orders written as many CSV files (one for each 5000 keys) and read back as one input."""
+    path = _scratch(spark, "order-files")
+    rows = fx.dirty_orders(spark, sf).withColumn("part", F.format_string("%06d", F.floor(F.col("src_key") / 5000)))
+    (rows.drop("row_number").repartition("part").sortWithinPartitions("part", "src_key").write.partitionBy("part").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return readers.read_delimited(spark, f"{path}/part=*", flag_malformed=False)
+
+
+def row_numbering_multi_file(spark, sf):
+    """P1 over many files: each row's file and its number in it."""
+    from tabvet.operators.rownum import with_row_numbers
+    rows = with_row_numbers(_order_files(spark, sf), "row_number", "source_file")
+    return rows.select(F.regexp_extract("source_file", "part=([0-9]+)/", 1).alias("part"), F.col("src_key").cast("long").alias("src_key"), "row_number")
+
+
+def chunked_output_multi_file(spark, sf):
+    """S6, L4 over many files: valid rows of all files in file order, 1000 a chunk."""
+    rules = orders_rules().with_constraint("order_id", "unique", False)
+    layout = sinks.chunk_layout(validate(_order_files(spark, sf), rules, as_of=fx.AS_OF), chunk_rows=1000, valid_only=True)
+    return layout.select(F.regexp_extract(SOURCE, "part=([0-9]+)/", 1).alias("part"), "row_number", "out_pos", "chunk_index")
+
+
+def error_report_multi_file(spark, sf):
+    """E2, L3 over many files: each error's file, and its place in report order."""
+    v = validate(_order_files(spark, sf), orders_rules(), as_of=fx.AS_OF)
+    errors = with_positions(stored(v.errors(with_order=True), "errors"), ["source_file", "ordinal", "row_number", "seq"], "position")
+    return errors.select("position", F.regexp_extract("source_file", "part=([0-9]+)/", 1).alias("part"), *REPORT)
 
 
 def _jobs(spark, sf):
@@ -256,6 +312,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "phone_region": phone_region,
     "normalize_phones": normalize_phones,
     "normalize_dates": normalize_dates,
+    "normalize_date_shapes": normalize_date_shapes,
+    "check_date_order_offsets": check_date_order_offsets,
     "check_unique": lambda s, sf: _subset(s, sf, ["order_id"], "UNIQUE"),
     "check_unique_products": lambda s, sf: _codes(_products(s, sf), "UNIQUE"),
     "check_reference": lambda s, sf: _codes(_payments(s, sf, reference=True), "REFERENCE"),
@@ -266,6 +324,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_stats": run_stats,
     "chunked_output": chunked_output,
     "output_manifest": output_manifest,
+    "row_numbering_multi_file": row_numbering_multi_file,
+    "chunked_output_multi_file": chunked_output_multi_file,
+    "error_report_multi_file": error_report_multi_file,
     "file_lookup": file_lookup,
     "job_with_files": job_with_files,
     "recent_jobs": recent_jobs,

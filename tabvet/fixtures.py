@@ -42,6 +42,42 @@ SELECT {row} AS row_number, k AS src_key,
 FROM (SELECT o_orderkey AS k, o_custkey AS c, o_totalprice AS p, cast(cast(o_orderdate AS date) AS string) AS d, o_orderstatus{rowsrc} FROM orders) t
 """
 
+# Order dates in the shapes that people and programs write; each expected ISO text is known from the parts.
+# Runs in both engines: {row} as above.
+DATE_SHAPES_SQL = """
+SELECT row_number, k, y, m, d, hh, mi, ss,
+  CASE k % 14
+    WHEN 0 THEN concat(mon, ' ', d, ', ', y, ' ', h12, ':', mi, ' ', half)
+    WHEN 1 THEN concat(d, ' ', mon, ' ', substr(y, 3, 2))
+    WHEN 2 THEN concat('Fri, ', d, ' ', mon, ' ', y, ' ', hh, ':', mi, ':', ss, ' GMT')
+    WHEN 3 THEN concat(y, '-', m, '-', d, 'T', hh, ':', mi, ':', ss, '.123456789')
+    WHEN 4 THEN concat(y, m, d, 'T', hh, mi, ss)
+    WHEN 5 THEN concat(y, '-', m, '-', d, ' ', hh, ':', mi, ':', ss, '+0530')
+    WHEN 6 THEN concat('Mon ', mon, ' ', d, ' ', hh, ':', mi, ':', ss, ' ', y)
+    WHEN 7 THEN concat(m, '/', d, '/', substr(y, 3, 2), ' ', h12, ':', mi, lower(half))
+    WHEN 8 THEN concat('Wednesday, ', upper(mon), '. ', d, 'th, ', y)
+    WHEN 9 THEN concat(d, '.', m, '.', y)
+    WHEN 10 THEN concat(mon, ' ', y)
+    WHEN 11 THEN concat(y, '/', m, '/', d, ' 13:', mi, ' PM')
+    WHEN 12 THEN concat(d, '-', mon, '-', y, ' ', hh, ':', mi)
+    ELSE concat(y, ' ', mon, ' ', d) END AS event_date
+FROM (SELECT {row} AS row_number, k, substr(dt, 1, 4) AS y, substr(dt, 6, 2) AS m, substr(dt, 9, 2) AS d,
+    substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * cast(substr(dt, 6, 2) AS int) - 2, 3) AS mon,
+    lpad(cast(k % 24 AS string), 2, '0') AS hh, lpad(cast(k % 60 AS string), 2, '0') AS mi, lpad(cast(k * 7 % 60 AS string), 2, '0') AS ss,
+    cast((k + 11) % 12 + 1 AS string) AS h12, CASE WHEN k % 24 < 12 THEN 'AM' ELSE 'PM' END AS half
+  FROM (SELECT o_orderkey AS k, cast(cast(o_orderdate AS date) AS string) AS dt{rowsrc} FROM orders) t) t
+"""
+
+# Pairs of times with offsets: equal instants, later ones, pairs that can't be compared, and local pairs.
+OFFSET_DATES_SQL = """
+SELECT {row} AS row_number,
+  CASE k % 5 WHEN 0 THEN concat(dt, 'T10:00:00+05:30') WHEN 1 THEN concat(dt, 'T10:00:00-08:00') WHEN 2 THEN concat(dt, 'T10:00:00')
+             WHEN 3 THEN concat(dt, ' 10:00:01') ELSE concat(dt, 'T23:30:00-01:00') END AS sent,
+  CASE k % 5 WHEN 0 THEN concat(dt, 'T04:30:00Z') WHEN 1 THEN concat(dt, 'T17:00:00Z') WHEN 2 THEN concat(dt, 'T09:00:00Z')
+             WHEN 3 THEN concat(dt, ' 10:00:00') ELSE concat(dt, ' 23:59:59 UTC') END AS received
+FROM (SELECT o_orderkey AS k, cast(cast(o_orderdate AS date) AS string) AS dt{rowsrc} FROM orders) t
+"""
+
 PRODUCTS_SQL = """
 SELECT l_orderkey * 8 + l_linenumber AS row_number, l_orderkey AS src_order, l_linenumber AS src_line,
   concat('P-', cast(l_orderkey AS string), '-', cast(l_linenumber AS string)) AS product_id,
@@ -100,6 +136,11 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(spark_sql(DIRTY_ORDERS_SQL))
 
 
+def order_dates(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    register_sources(spark, sf_dir, ("orders",))
+    return spark.sql(spark_sql(sql))
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_sources(spark, sf_dir, ("lineitem", "part"))
     return spark.sql(PRODUCTS_SQL)

@@ -35,13 +35,15 @@ def with_block_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame
         "_fp", "_fb", "_mid", "_bmin", "_base")
 
 
-def with_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
-    """Parquet position when the scan offers it, else the block-based plan.
+def with_row_numbers(df: DataFrame, name: str = "row_number", source: str | None = None) -> DataFrame:
+    """Parquet position when the scan offers it, else the block-based plan; with ``source``, also the row's file under that name.
 
     Both need a file scan under ``df``; for other DataFrames (joins, aggregates,
     in-memory data) pass the row identity explicitly (``validate(row_number=...)``).
     """
     try:
+        if source:
+            df = df.withColumn(source, F.col("_metadata.file_path"))
         return with_parquet_row_numbers(df, name)
     except AnalysisException:
         pass

@@ -12,7 +12,7 @@ import uuid
 from datetime import datetime
 from typing import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabvet.functions.phone import DEFAULT_PLAN
@@ -24,6 +24,7 @@ from tabvet.plans.rules import RuleError, RuleSet
 from tabvet.sources.readers import balanced
 
 ROW = "row_number"
+SOURCE = "_source"  # the row's file inside a validated frame; reports call it source_file
 
 
 def as_of_literal(as_of: datetime | str) -> Column:
@@ -43,6 +44,15 @@ class Validated:
         self.normalized_columns = [name for name, _ in compiled.normalized]
         self.overwrite = overwrite
 
+    @property
+    def identity(self) -> list[str]:
+        """The columns that identify and order rows: the source file, if known, and the row number."""
+        return [SOURCE, ROW] if SOURCE in self.frame.columns else [ROW]
+
+    def on(self, frame: DataFrame) -> Validated:
+        """The same results over a stored copy of the frame."""
+        return Validated(frame, self.rules, self.input_columns, self.compiled, self.overwrite)
+
     # P2
     def is_valid(self) -> Column:
         masks = [F.col(name) == 0 for name, _ in self.compiled.masks]
@@ -73,24 +83,25 @@ class Validated:
         out = self.frame.select(*self._cleaned_columns())
         return out.where("is_valid") if valid_only else out
 
-    def with_row_number(self, valid_only: bool = False) -> DataFrame:
-        """Cleaned rows plus ``row_number`` (needed to lay rows out in input order)."""
-        out = self.frame.select(F.col(ROW), *self._cleaned_columns())
+    def with_row_number(self, valid_only: bool = False, source: bool = False) -> DataFrame:
+        """Cleaned rows plus ``row_number`` and, with ``source``, all identity columns (needed to lay rows out in input order)."""
+        out = self.frame.select(*(self.identity if source else [ROW]), *self._cleaned_columns())
         return out.where("is_valid") if valid_only else out
 
     # E2
     def errors(self, with_order: bool = False) -> DataFrame:
-        """Long error table, one row per error. ``with_order`` keeps ``ordinal``/``seq``."""
+        """Long error table, one row per error, with its ``source_file`` if rows come from files. ``with_order`` keeps ``ordinal``/``seq``."""
         slots = self.compiled.slots
         cols = ["row_number", "ordinal", "seq", "field_name", "error_code", "error_message"]
+        files = [F.col(SOURCE).alias("source_file")] if SOURCE in self.frame.columns else []
         if not slots:
             empty = self.frame.sparkSession.createDataFrame(
-                [], "row_number bigint, ordinal int, seq int, field_name string, error_code string, "
-                    "error_message string")
+                [], ("source_file string, " if files else "") + "row_number bigint, ordinal int, seq int, field_name string, "
+                    "error_code string, error_message string")
             return empty if with_order else empty.drop("ordinal", "seq")
         ids = F.explode(F.array(*[F.when(s.failed(), F.lit(s.k)) for s in slots])).alias("_k")
         hit = (self.frame.where(~self.is_valid())
-               .select(F.col(ROW).cast("long").alias(ROW), ids, *[s.dynamic for s in slots if s.dynamic])
+               .select(*files, F.col(ROW).cast("long").alias(ROW), ids, *[s.dynamic for s in slots if s.dynamic])
                .where(F.col("_k").isNotNull()))
         pos = F.col("_k") + 1
         lit_array = lambda vals: F.array(*[F.lit(v) for v in vals])
@@ -98,20 +109,30 @@ class Validated:
         for s in slots:
             if s.dynamic:
                 message = F.when(F.col("_k") == s.k, F.col(s.dynamic)).otherwise(message)
+        files = ["source_file"] if files else []
         out = hit.select(
-            ROW,
+            *files, ROW,
             F.element_at(lit_array([s.ordinal for s in slots]), pos).cast("int").alias("ordinal"),
             F.element_at(lit_array([s.seq for s in slots]), pos).cast("int").alias("seq"),
             F.element_at(lit_array([s.field for s in slots]), pos).alias("field_name"),
             F.element_at(lit_array([s.code for s in slots]), pos).alias("error_code"),
             message.alias("error_message"))
-        return out.select(*cols) if with_order else out.select(ROW, *cols[3:])
+        return out.select(*files, *cols) if with_order else out.select(*files, ROW, *cols[3:])
 
     # L3
     def error_report(self) -> DataFrame:
-        """Errors in report order: rule order, then row, then order inside the cell."""
-        return (self.errors(with_order=True).orderBy("ordinal", ROW, "seq")
-                .select(ROW, "field_name", "error_code", "error_message"))
+        """Errors in report order: source file, rule order, then row, then order inside the cell."""
+        errors = self.errors(with_order=True)
+        files = [c for c in ("source_file",) if c in errors.columns]
+        return errors.orderBy(*files, "ordinal", ROW, "seq").select(*files, ROW, "field_name", "error_code", "error_message")
+
+    # A1, A2, A3 as metrics of a pass that is made anyway
+    def observed(self, observation: Observation) -> DataFrame:
+        """The frame with its statistics counted by whichever job reads it whole."""
+        return self.frame.observe(
+            observation, F.count(F.lit(1)).alias("total_rows"), F.count_if(self.is_valid()).alias("valid_rows"),
+            F.coalesce(F.sum(self._error_count()), F.lit(0)).alias("error_count"),
+            *[F.coalesce(F.sum(self._code_count(c)), F.lit(0)).alias(f"code_{c}") for c in self.compiled.codes])
 
     def _code_count(self, code: str) -> Column:
         terms = [s.failed().cast("long") for s in self.compiled.slots if s.code == code]
@@ -170,11 +191,13 @@ class Validated:
 def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number: str | None = None,
              refs: Mapping[str, DataFrame] | None = None, date_policy: str = "formats",
              phone_region: str = "row", phone_plan=DEFAULT_PLAN, overwrite: bool = False,
-             salt_buckets: int | None = None, partitions: int | None = None) -> Validated:
+             salt_buckets: int | None = None, partitions: int | None = None, source_file: str | None = None) -> Validated:
     """Compile ``rules`` against ``df`` (all columns treated as text).
 
     ``row_number``: name of a column holding the row identity to report; by default
     the file position + 2 (parquet row index, or the block-based plan for CSV).
+    ``source_file``: name of a column that tells the rows' files apart, with ``row_number``; rows
+    numbered here carry their file's path.
     ``refs``: parent tables for fields with a ``references`` constraint, by dataset.
     ``date_policy``: ``formats`` (cross checks parse with the field's formats first)
     or ``month_first`` (free-form only, the reference's cross-check behaviour).
@@ -189,8 +212,10 @@ def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number
         raise RuleError(f"unknown phone_region {phone_region!r}")
     spark = df.sparkSession
     input_columns = [c for c in df.columns if c != row_number]
+    if source_file is not None:
+        df = df.withColumn(SOURCE, F.col(source_file).cast("string"))
     if row_number is None:
-        df = with_row_numbers(df, ROW)
+        df = with_row_numbers(df, ROW, None if source_file else SOURCE)
     elif row_number != ROW:
         if ROW in df.columns:
             raise RuleError(f"input has a column named {ROW!r}; pass row_number={ROW!r} to use it")
@@ -222,7 +247,7 @@ def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number
     ctx = CheckContext(rules, tuple(input_columns), as_of_literal(as_of), phone_plan, date_policy, year=int(str(as_of)[:4]))
     compiled = compile_rules(ctx, flags, phone_region)
     df = ctx.stager.apply(df)
-    frame = df.select(*input_columns, F.col(ROW), *[c.alias(n) for n, c in compiled.masks],
+    frame = df.select(*input_columns, *[c for c in (SOURCE,) if c in df.columns], F.col(ROW), *[c.alias(n) for n, c in compiled.masks],
                       *[c.alias(n) for n, c in compiled.dynamic], *[c.alias(n) for n, c in compiled.normalized])
     # The observation doubles as an optimizer barrier: a filter over the results (valid
     # rows, rows with errors) is not pushed below it, so it cannot re-inline the staged

@@ -1,68 +1,40 @@
 """Sinks: cleaned rows in exact-size chunks, the error report, and the output manifest.
 
-Chunk layout without a global sort or a single-partition window (§ S6): rows are
-bucketed by ``(row_number - 2) div chunk_rows``; the kept rows per bucket (one row per
-bucket) give each bucket's starting position by a running sum; a window *per bucket*
-(never more than ``chunk_rows`` rows) numbers the rows inside it. The position then
-decides the chunk, so every chunk holds exactly ``chunk_rows`` rows in input order,
-also when ``valid_only`` drops rows.
+The validated frame is stored once, in a pass that also counts its statistics; chunks, error report and
+manifest start from the stored rows. Chunk layout without a global sort or a window (S6): the kept rows
+get their positions over all files from ``with_positions``; the position decides the chunk, so every chunk holds exactly
+``chunk_rows`` rows in input order, also when ``valid_only`` drops rows.
+
+Outputs are written to a staging folder below the target, moved into place, and only then does the manifest follow: a run that
+dies leaves no manifest, and the manifest names the files that were written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tabvet.operators.positions import with_positions
 from tabvet.plans.rules import RuleError
-from tabvet.plans.validate import ROW, Validated
-from tabvet.session import checkpoint_dir
-
-
-FANOUT = 4096
-
-
-def running_bases(per_bucket: DataFrame) -> DataFrame:
-    """Exclusive running sum of ``_bn`` over ``_b`` without a window that grows with
-    the data: buckets are grouped ``FANOUT`` at a time; the group totals (buckets /
-    FANOUT rows) get a running sum, and each group's buckets are summed inside the
-    group. No window sees more than ``FANOUT`` rows until the table holds more than
-    ``FANOUT**2`` buckets (1.6e12 rows at the default chunk size)."""
-    grouped = per_bucket.withColumn("_g", F.floor(F.col("_b") / F.lit(FANOUT)))
-    group_tot = grouped.groupBy("_g").agg(F.sum("_bn").alias("_gn"))
-    before_g = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    group_base = group_tot.select("_g", F.coalesce(F.sum("_gn").over(before_g), F.lit(0)).alias("_gbase"))
-    before_b = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    inside = grouped.select("_g", "_b", F.coalesce(F.sum("_bn").over(before_b), F.lit(0)).alias("_inner"))
-    return inside.join(group_base, "_g").select("_b", (F.col("_gbase") + F.col("_inner")).alias("_base"))
+from tabvet.plans.validate import ROW, SOURCE, Validated
+from tabvet.session import move_folder, remove_folder, run_folder, stored
 
 
-def chunk_layout(validated: Validated, chunk_rows: int = 100_000, valid_only: bool = False,
-                 materialize: bool = False) -> DataFrame:
-    """Cleaned rows with ``out_pos`` (1-based position among output rows) and ``chunk_index``.
-
-    The rows are read twice (bucket counts, then the rows themselves). With
-    ``materialize`` they are validated once and written to the session's checkpoint
-    folder first (reliable storage, lineage cut), instead of validating twice.
-    """
+def chunk_layout(validated: Validated, chunk_rows: int = 100_000, valid_only: bool = False, folder: str | None = None) -> DataFrame:
+    """Cleaned rows with ``out_pos`` (1-based position among output rows, over all files) and ``chunk_index``. The rows are
+    validated once and stored in ``folder`` (default: a new run folder in the checkpoint folder)."""
     if chunk_rows <= 0:
         raise RuleError("chunk_rows must be positive")
-    rows = validated.with_row_number(valid_only)
-    if materialize:
-        checkpoint_dir(rows.sparkSession)
-        rows = rows.checkpoint(eager=True)
-    rows = rows.withColumn("_b", F.floor((F.col(ROW) - F.lit(2)) / F.lit(chunk_rows)))
-    bases = running_bases(rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn")))
-    inside = Window.partitionBy("_b").orderBy(ROW)
-    out = (rows.join(bases, "_b")
-           .withColumn("out_pos", F.col("_base") + F.row_number().over(inside))
-           .withColumn("chunk_index", ((F.col("out_pos") - 1) / F.lit(chunk_rows)).cast("int")))
-    return out.drop("_b", "_base")
+    folder = folder or run_folder(validated.frame.sparkSession)
+    rows = stored(validated.with_row_number(valid_only, source=True), "rows", folder)
+    return with_positions(rows, validated.identity, "out_pos", folder).withColumn("chunk_index", F.floor((F.col("out_pos") - 1) / chunk_rows).cast("int"))
 
 
 def write_chunks(layout: DataFrame, path: str, fmt: str = "csv") -> None:
     """One directory ``chunk_index=i`` per chunk holding exactly one file, rows in order."""
-    data = (layout.repartition("chunk_index").sortWithinPartitions("chunk_index", ROW)
-            .drop(ROW, "out_pos"))
+    data = layout.repartition("chunk_index").sortWithinPartitions("chunk_index", "out_pos").drop(SOURCE, ROW, "out_pos")
     writer = data.write.mode("overwrite").partitionBy("chunk_index")
     if fmt == "csv":
         writer.option("header", True).csv(path)
@@ -73,57 +45,69 @@ def write_chunks(layout: DataFrame, path: str, fmt: str = "csv") -> None:
 def write_error_report(validated: Validated, path: str) -> None:
     """Errors in report order (S8); no file is written when there are none."""
     report = validated.error_report()
-    if report.limit(1).count():
+    if not validated.errors().isEmpty():
         report.write.mode("overwrite").option("header", True).csv(path)
 
 
-def chunk_manifest(layout: DataFrame, valid_only: bool = False, job_id: str = "job") -> DataFrame:
-    """Manifest rows of the cleaned chunks (S9): names, keys and row counts."""
-    counts = layout.groupBy("chunk_index").agg(F.count(F.lit(1)).alias("row_count"))
-    filename = F.format_string("cleaned_part_%04d.csv", F.col("chunk_index"))
-    return counts.select(
-        F.lit("cleaned_chunk").alias("file_type"), filename.alias("filename"),
-        F.concat(F.lit(f"outputs/{job_id}/"), filename).alias("storage_key"),
-        F.col("chunk_index").cast("int").alias("chunk_index"), F.col("row_count").cast("int").alias("row_count"),
-        F.lit(valid_only).alias("is_valid_only"))
+_MANIFEST = "file_type, filename, storage_key, file_size, chunk_index, row_count, is_valid_only".split(", ")
 
 
-def file_sizes(spark, path: str) -> DataFrame:
-    """(chunk_index, file_size) of written chunk files; reads the listing, not the content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(f"{path}/chunk_index=*/*.csv")
-    return files.select(F.regexp_extract("path", r"chunk_index=(\d+)", 1).cast("int").alias("chunk_index"),
-                        F.col("length").alias("file_size"))
+def written_files(spark, path: str, pattern: str) -> DataFrame:
+    """(storage_key relative to ``path``, file_size) of the files written there; reads the listing, not the content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(f"{path}/{pattern}")
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    return files.select(F.substring_index("path", f"/{root}/", -1).alias("storage_key"), F.col("length").alias("file_size"))
 
 
 def write_outputs(validated: Validated, path: str, chunk_rows: int = 100_000, valid_only: bool = False,
                   job_id: str = "job") -> DataFrame:
-    """Write chunks and the error report under ``path``; return the full manifest.
+    """Write chunks, error report and manifest under ``path``; return the stored manifest.
 
-    Validation runs once (materialized in the checkpoint folder). Chunk row counts
-    follow from the total (every chunk is full but the last), so the manifest needs
-    no pass over the written files beyond listing their sizes. An empty output is one
-    header-only chunk, as in the reference.
+    One pass over the validated rows stores them and counts total, valid rows and errors by code (also kept in
+    ``path/stats``). Every chunk is full but the last, so its row count follows from its number; sizes and paths are those of
+    the written files. An empty output is one header-only chunk; the error report has a manifest row if there are errors.
     """
+    if chunk_rows <= 0:
+        raise RuleError("chunk_rows must be positive")
     spark = validated.frame.sparkSession
-    layout = chunk_layout(validated, chunk_rows, valid_only, materialize=True)
-    total = layout.count()
-    cleaned = f"{path}/cleaned"
+    scratch, staging = run_folder(spark), f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    remove_folder(spark, f"{path}/manifest")
+    counted = Observation()
+    kept = validated.on(stored(validated.observed(counted), "frame", scratch))
+    stats = counted.get
+    total = stats["valid_rows"] if valid_only else stats["total_rows"]
     if total == 0:
-        empty = layout.drop(ROW, "out_pos", "chunk_index").limit(0)
-        empty.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{cleaned}/chunk_index=0")
+        empty = kept.with_row_number(valid_only).drop(ROW).limit(0)
+        empty.coalesce(1).write.option("header", True).csv(f"{staging}/cleaned/chunk_index=0")
     else:
-        write_chunks(layout, cleaned)
-    n_chunks = max(1, -(-total // chunk_rows))
-    idx = F.col("id").cast("int")
-    filename = F.format_string("cleaned_part_%04d.csv", idx)
-    manifest = spark.range(n_chunks).select(
-        F.lit("cleaned_chunk").alias("file_type"), filename.alias("filename"),
-        F.concat(F.lit(f"outputs/{job_id}/"), filename).alias("storage_key"), idx.alias("chunk_index"),
-        F.least(F.lit(chunk_rows), F.lit(total) - F.col("id") * F.lit(chunk_rows)).cast("int").alias("row_count"),
+        rows = kept.with_row_number(valid_only, source=True)
+        layout = with_positions(rows, kept.identity, "out_pos", scratch).withColumn("chunk_index", F.floor((F.col("out_pos") - 1) / chunk_rows).cast("int"))
+        write_chunks(layout, f"{staging}/cleaned")
+    if stats["error_count"]:
+        kept.error_report().write.option("header", True).csv(f"{staging}/errors")
+    move_folder(spark, f"{staging}/cleaned", f"{path}/cleaned")
+    remove_folder(spark, f"{path}/errors")
+    if stats["error_count"]:
+        move_folder(spark, f"{staging}/errors", f"{path}/errors")
+    remove_folder(spark, staging)
+
+    index = F.regexp_extract("storage_key", r"chunk_index=(\d+)/", 1).cast("int")
+    manifest = written_files(spark, path, "cleaned/chunk_index=*/*.csv").select(
+        F.lit("cleaned_chunk").alias("file_type"), F.format_string("cleaned_part_%04d.csv", index).alias("filename"), "storage_key", "file_size",
+        index.alias("chunk_index"), F.least(F.lit(chunk_rows), F.lit(total) - index * F.lit(chunk_rows)).cast("int").alias("row_count"),
         F.lit(valid_only).alias("is_valid_only"))
-    manifest = manifest.join(file_sizes(spark, cleaned), "chunk_index", "left")
-    write_error_report(validated, f"{path}/errors")
-    return manifest
+    if stats["error_count"]:
+        size = written_files(spark, path, "errors/*.csv").agg(F.sum("file_size").alias("file_size"))
+        manifest = manifest.unionByName(size.select(
+            F.lit("errors").alias("file_type"), F.lit("errors.csv").alias("filename"), F.lit("errors").alias("storage_key"), "file_size",
+            F.lit(None).cast("int").alias("chunk_index"), F.lit(stats["error_count"]).cast("int").alias("row_count"), F.lit(False).alias("is_valid_only")))
+    codes = [F.struct(F.lit(c).alias("key"), F.lit(stats[f"code_{c}"]).alias("value")) for c in validated.compiled.codes if stats[f"code_{c}"]]
+    by_code = F.map_from_entries(F.array(*codes)) if codes else F.create_map().cast("map<string,bigint>")
+    spark.range(1).select(F.lit(job_id).alias("job_id"), *[F.lit(stats[c]).cast("long").alias(c) for c in ("total_rows", "valid_rows", "error_count")],
+                          by_code.alias("errors_by_code")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    manifest.select(F.lit(job_id).alias("job_id"), *_MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+    remove_folder(spark, scratch)
+    return spark.read.parquet(f"{path}/manifest").select(*_MANIFEST)
 
 
 def append_run(validated: Validated, path: str, job_id: str, dataset_type: str, rule_set: str,

@@ -91,7 +91,15 @@ def test_chunks_exact_and_in_order(spark, tmp_dir):
     assert all(r.chunk_index == (r.out_pos - 1) // 300 for r in rows)
     out = os.path.join(tmp_dir, "out")
     manifest = sinks.write_outputs(v, out, chunk_rows=300, valid_only=True)
-    m = sorted(manifest.collect(), key=lambda r: r.chunk_index)
+    everything = manifest.collect()
+    errors = [r for r in everything if r.file_type == "errors"]
+    assert [(r.filename, r.storage_key, r.chunk_index, r.row_count, r.is_valid_only) for r in errors] == [("errors.csv", "errors", None, n - len(kept), False)]
+    assert errors[0].file_size == sum(os.path.getsize(os.path.join(out, "errors", f)) for f in os.listdir(os.path.join(out, "errors")) if f.endswith(".csv"))
+    m = sorted((r for r in everything if r.file_type != "errors"), key=lambda r: r.chunk_index)
+    assert all(os.path.getsize(os.path.join(out, r.storage_key)) == r.file_size for r in m)
+    assert not [f for f in os.listdir(out) if f.startswith("_staging")]
+    stats = spark.read.parquet(os.path.join(out, "stats")).first()
+    assert (stats.total_rows, stats.valid_rows, stats.error_count, stats.errors_by_code) == (n, len(kept), n - len(kept), {"REQUIRED": n - len(kept)})
     assert [r.row_count for r in m] == [300] * (len(kept) // 300) + ([len(kept) % 300] if len(kept) % 300 else [])
     assert m[0].filename == "cleaned_part_0000.csv" and all(r.file_size > 0 for r in m)
     for r in m:
@@ -100,17 +108,75 @@ def test_chunks_exact_and_in_order(spark, tmp_dir):
         assert len(files) == 1
 
 
-def test_running_bases_across_groups(spark):
-    from tabvet.sources.sinks import FANOUT, running_bases
-    n = FANOUT * 2 + 17
-    counts = [(b, (b * 7919) % 13) for b in range(n)]
-    df = spark.createDataFrame(counts, "_b long, _bn long")
-    got = dict(running_bases(df).collect())
-    acc, want = 0, {}
-    for b, c in counts:
-        want[b] = acc
-        acc += c
-    assert got == want
+def _required(name="v"):
+    return load_rules({"datasets": {"t": {"fields": [{"name": name, "type": "string", "required": True}]}}}, "t")
+
+
+def test_positions_of_sparse_and_uneven_keys(spark):
+    from tabvet.operators.positions import with_positions
+    rows = [("b", 10**12), ("a", 5), ("a", 3), ("b", 7), ("c", -1), ("a", 2**40)] + [("d", i * i * 1000) for i in range(5000)]
+    df = spark.createDataFrame(rows, "f string, k long").repartition(7)
+    got = sorted(tuple(r) for r in with_positions(df, ["f", "k"], "pos").select("pos", "f", "k").collect())
+    assert got == [(i + 1, *r) for i, r in enumerate(sorted(rows))]
+    assert with_positions(df.limit(0), ["f", "k"], "pos").collect() == []
+
+
+def test_rows_of_several_files_keep_their_file(spark, tmp_dir):
+    """Four files of 1000 rows: 4000 identities, positions in file order, errors with their file."""
+    for k in range(4):
+        with open(os.path.join(tmp_dir, f"f{k}.csv"), "w") as fh:
+            fh.write("v,w\n" + "".join(f"{'' if i % 10 == k else f'{k}-{i}'},x\n" for i in range(1000)))
+    v = validate(read_delimited(spark, os.path.join(tmp_dir, "*.csv"), flag_malformed=False), _required(), as_of="2024-01-01")
+    name = lambda path: path.rsplit("/", 1)[-1]
+    want = [(f"f{k}.csv", i + 2) for k in range(4) for i in range(1000)]
+    layout = sinks.chunk_layout(v, chunk_rows=300)
+    got = sorted((r.out_pos, name(r._source), r.row_number, r.chunk_index) for r in layout.collect())
+    assert got == [(p + 1, *x, p // 300) for p, x in enumerate(want)]
+    errors = [(name(r.source_file), r.row_number) for r in v.error_report().collect()]
+    assert errors == [(f, n) for f, n in want if (n - 2) % 10 == int(f[1])]
+    kept = [x for x in want if x not in set(errors)]
+    out = os.path.join(tmp_dir, "out")
+    m = sinks.write_outputs(v, out, chunk_rows=1000, valid_only=True).where("file_type = 'cleaned_chunk'").orderBy("chunk_index").collect()
+    assert [r.row_count for r in m] == [1000, 1000, 1000, 600]
+    rows = [r.v for c in m for r in spark.read.option("header", True).csv(os.path.join(out, c.storage_key)).coalesce(1).collect()]
+    assert rows == [f"{f[1]}-{n - 2}" for f, n in kept]
+
+
+def test_no_window_and_given_source(spark):
+    df = spark.createDataFrame([("x", 2, ""), ("y", 2, "a"), ("y", 3, "")], "file string, row_number long, v string")
+    v = validate(df, _required(), as_of="2024-01-01", row_number="row_number", source_file="file")
+    assert sorted(tuple(r)[:2] for r in v.errors().collect()) == [("x", 2), ("y", 3)]
+    layout = sinks.chunk_layout(v, chunk_rows=2)
+    assert "Window" not in layout._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r._source, r.row_number, r.out_pos) for r in layout.collect()) == [("x", 2, 1), ("y", 2, 2), ("y", 3, 3)]
+
+
+def test_outputs_evaluate_the_rows_once(spark, tmp_dir):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(0, 5000, 1, 8).select((F.col("id") + 2).alias("row_number"), F.when(F.col("id") % 9 > 0, "x").alias("v"))
+    v = validate(df.mapInArrow(look, df.schema), _required(), as_of="2024-01-01", row_number="row_number")
+    m = sinks.write_outputs(v, os.path.join(tmp_dir, "out"), chunk_rows=700)
+    assert m.agg(F.sum("row_count")).first()[0] == 5000 + 556 and seen.value == 5000
+
+
+def test_a_killed_write_leaves_no_manifest(spark, tmp_dir, monkeypatch):
+    df = spark.createDataFrame([(2, "x"), (3, "")], "row_number long, v string")
+    v, out = validate(df, _required(), as_of="2024-01-01", row_number="row_number"), os.path.join(tmp_dir, "out")
+    sinks.write_outputs(v, out)
+    assert os.path.isdir(os.path.join(out, "manifest"))
+
+    def fail(*args, **kw):
+        raise OSError("lost")
+    monkeypatch.setattr(sinks, "write_chunks", fail)
+    with pytest.raises(OSError):
+        sinks.write_outputs(v, out)
+    assert not os.path.exists(os.path.join(out, "manifest"))
 
 
 def test_append_run(spark, tmp_dir):
@@ -131,7 +197,7 @@ def test_empty_output_is_one_header_only_chunk(spark, tmp_dir):
     v = validate(df, rules, as_of="2024-01-01", row_number="row_number")
     out = os.path.join(tmp_dir, "out")
     m = sinks.write_outputs(v, out, chunk_rows=10, valid_only=True).collect()
-    assert [(r.chunk_index, r.row_count, r.filename) for r in m] == [(0, 0, "cleaned_part_0000.csv")]
+    assert [(r.chunk_index, r.row_count, r.filename) for r in m if r.chunk_index is not None] == [(0, 0, "cleaned_part_0000.csv")]
     files = [f for f in os.listdir(os.path.join(out, "cleaned", "chunk_index=0")) if f.endswith(".csv")]
     assert len(files) == 1
     with open(os.path.join(out, "cleaned", "chunk_index=0", files[0])) as fh:
