@@ -318,14 +318,16 @@ def oracle_sql() -> dict[str, str]:
     sessions = f"""WITH s AS (SELECT session_id, file_size, greatest(1, ceil(file_size / chunk_size))::BIGINT AS n
    FROM ({SESSIONS_SQL})),
 p AS (SELECT p.session_id, p.chunk_index, s.n FROM ({PIECES_SQL}) p JOIN s USING (session_id)),
-u AS (SELECT session_id, list_sort(list_distinct(list(chunk_index::BIGINT) FILTER (WHERE chunk_index >= 0 AND chunk_index < n))) AS up,
-   count(*) FILTER (WHERE NOT (chunk_index >= 0 AND chunk_index < n)) AS bad FROM p GROUP BY 1)
-SELECT s.session_id, s.n AS chunk_count, len(coalesce(up, []))::BIGINT AS uploaded_count,
-  s.n - len(coalesce(up, [])) AS missing_count,
-  array_to_string(list_filter(range(0, s.n), lambda x: NOT list_contains(coalesce(up, []), x)), ',') AS missing,
-  len(coalesce(up, [])) = s.n AS complete, coalesce(bad, 0)::BIGINT AS invalid_pieces,
-  s.file_size > {10 * 1024 ** 3} AS over_limit
-FROM s LEFT JOIN u USING (session_id)"""
+u AS (SELECT session_id, count(DISTINCT chunk_index) FILTER (WHERE chunk_index >= 0 AND chunk_index < n) AS up,
+   count(*) FILTER (WHERE NOT (chunk_index >= 0 AND chunk_index < n)) AS bad FROM p GROUP BY 1),
+one AS (SELECT session_id, n, unnest(range(0, n)) AS i FROM s),
+gone AS (SELECT session_id, i, i - row_number() OVER (PARTITION BY session_id ORDER BY i) AS island FROM one
+   WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.session_id = one.session_id AND p.chunk_index = one.i)),
+gaps AS (SELECT session_id, min(i) AS first_missing, max(i) AS last_missing FROM gone GROUP BY session_id, island)
+SELECT s.session_id, s.n AS chunk_count, coalesce(up, 0)::BIGINT AS uploaded_count, s.n - coalesce(up, 0) AS missing_count,
+  coalesce(up, 0) = s.n AS complete, coalesce(bad, 0)::BIGINT AS invalid_pieces, s.file_size > {10 * 1024 ** 3} AS over_limit,
+  first_missing, last_missing
+FROM s LEFT JOIN u USING (session_id) LEFT JOIN gaps USING (session_id)"""
     out = {
         "scan_raw": f"SELECT {dirty_str} FROM ({duck_sql(DIRTY_ORDERS_SQL, 'k')})",
         "coerce_inferred": (f"SELECT row_number, src_order, src_line, product_id, order_id, product_name, quantity, "
@@ -406,8 +408,9 @@ FROM s LEFT JOIN u USING (session_id)"""
                               f"count(*) FILTER (WHERE status IN ('RUNNING', 'PENDING')) AS running, "
                               f"count(*) FILTER (WHERE status = 'FAILED') AS failed FROM {jobs} GROUP BY user_id"),
         "missing_chunks": sessions,
-        "merge_chunks": (f"WITH p AS ({PIECES_SQL}) SELECT session_id, array_to_string(list_sort(list_distinct(list(chunk_index::BIGINT))), ',') AS merged, "
-                         f"len(list_distinct(list(chunk_index::BIGINT)))::BIGINT AS merged_count FROM p GROUP BY session_id"),
+        "merge_chunks": (f"WITH p AS (SELECT DISTINCT session_id, chunk_index::BIGINT AS i FROM ({PIECES_SQL})), "
+                         f"g AS (SELECT *, i - row_number() OVER (PARTITION BY session_id ORDER BY i) AS island FROM p) "
+                         f"SELECT session_id, min(i) AS first_piece, max(i) AS last_piece FROM g GROUP BY session_id, island"),
         "stream_validate": (f"{payments_base(unique=False)}, agg AS (SELECT row_number AS rn, string_agg(error_message, '; ' "
                             f"ORDER BY ordinal, seq) AS summary FROM e GROUP BY 1) SELECT row_number, agg.rn IS NULL AS is_valid, "
                             f"coalesce(agg.summary, '') AS error_summary FROM d LEFT JOIN agg ON agg.rn = d.row_number"),

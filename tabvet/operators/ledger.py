@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabvet.operators.pieces import merged_ranges, missing_ranges
+
 MAX_UPLOAD_BYTES = 10 * 1024 * 1024 * 1024   # fixed value: upload limit (10 GB)
 DEFAULT_CHUNK_BYTES = 5 * 1024 * 1024        # fixed value: upload piece size (5 MB)
 
@@ -75,42 +77,27 @@ def job_status_counts(recent: DataFrame) -> DataFrame:
 
 
 def missing_chunks(sessions: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Per upload session, the pieces still missing.
+    """Per upload session its status, and a row for each range of missing pieces.
 
     ``sessions``: session_id, file_size, chunk_size. ``pieces``: session_id, chunk_index
     (one row per reported piece). Pieces outside ``[0, chunk_count)`` are counted as
-    invalid (T4) and never complete a session. Per-session piece sets are bounded by
-    the session's piece count and built with partial aggregation. Every session's list is
-    complete; those over the upload limit are flagged as well (T4).
+    invalid (T4) and never complete a session. A complete session has one row without a range.
+    Sessions over the upload limit are flagged (T4).
     """
-    s = sessions.select("session_id", "file_size", "chunk_size",
-                        chunk_count(F.col("file_size"), F.col("chunk_size")).alias("chunk_count"))
+    s = sessions.select("session_id", "file_size", chunk_count(F.col("file_size"), F.col("chunk_size")).alias("chunk_count"))
     p = pieces.join(s.select("session_id", "chunk_count"), "session_id")
-    valid = (F.col("chunk_index") >= 0) & (F.col("chunk_index") < F.col("chunk_count"))
-    per = p.groupBy("session_id").agg(
-        F.array_sort(F.collect_set(F.when(valid, F.col("chunk_index").cast("long")))).alias("uploaded"),
-        F.sum((~valid).cast("int")).cast("long").alias("invalid_pieces"))
-    out = s.join(per, "session_id", "left").select(
-        "session_id", "chunk_count",
-        F.coalesce(F.col("uploaded"), F.array().cast("array<bigint>")).alias("uploaded"),
-        F.coalesce(F.col("invalid_pieces"), F.lit(0).cast("long")).alias("invalid_pieces"),
+    valid = F.coalesce((F.col("chunk_index") >= 0) & (F.col("chunk_index") < F.col("chunk_count")), F.lit(False))
+    reported = p.groupBy("session_id", "chunk_index").agg(F.count_if(~valid).alias("invalid"), F.max(valid.cast("long")).alias("valid"))
+    per = reported.groupBy("session_id").agg(F.sum("valid").alias("uploaded_count"), F.sum("invalid").alias("invalid_pieces"))
+    zero = F.lit(0).cast("long")
+    status = s.join(per, "session_id", "left").select(
+        "session_id", "chunk_count", F.coalesce("uploaded_count", zero).alias("uploaded_count"),
+        (F.col("chunk_count") - F.coalesce("uploaded_count", zero)).alias("missing_count"),
+        (F.coalesce("uploaded_count", zero) == F.col("chunk_count")).alias("complete"), F.coalesce("invalid_pieces", zero).alias("invalid_pieces"),
         (F.col("file_size") > F.lit(MAX_UPLOAD_BYTES)).alias("over_limit"))
-    n_up = F.size("uploaded").cast("long")
-    expected = F.sequence(F.lit(0).cast("long"), F.col("chunk_count") - 1)
-    missing = F.array_except(expected, F.col("uploaded"))
-    return out.select(
-        "session_id", "chunk_count", n_up.alias("uploaded_count"),
-        (F.col("chunk_count") - n_up).alias("missing_count"),
-        F.array_join(missing, ",").alias("missing"),
-        (n_up == F.col("chunk_count")).alias("complete"),
-        "invalid_pieces", "over_limit")
+    return status.join(missing_ranges(s, pieces), "session_id", "left")
 
 
 def merge_chunks(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Union of two piece lists per session, sorted and de-duplicated."""
-    a = first.groupBy("session_id").agg(F.collect_set(F.col("chunk_index").cast("long")).alias("a"))
-    b = second.groupBy("session_id").agg(F.collect_set(F.col("chunk_index").cast("long")).alias("b"))
-    e = F.array().cast("array<bigint>")
-    merged = F.array_sort(F.array_union(F.coalesce(F.col("a"), e), F.coalesce(F.col("b"), e)))
-    return a.join(b, "session_id", "full").select(
-        "session_id", F.array_join(merged, ",").alias("merged"), F.size(merged).cast("long").alias("merged_count"))
+    """Union of two piece lists per session, as ranges of successive pieces."""
+    return merged_ranges(first, second)
