@@ -9,7 +9,7 @@ are provided by the caller.
 from __future__ import annotations
 
 from tabvet.fixtures import (AS_OF, DATE_SHAPES_SQL, DIRTY_ORDERS_SQL, FILES_SQL, JOBS_SQL, OFFSET_DATES_SQL, PARENT_ORDERS_SQL, PAYMENTS_SQL,
-                             PIECES_SQL, PRODUCTS_SQL, REQUESTS_SQL, SESSIONS_SQL, duck_sql)
+                             PIECES_SQL, PRODUCTS_SQL, REQUESTS_SQL, SESSIONS_SQL, WORLD_PHONES_SQL, duck_sql, world_plan_sql)
 
 WS = "(" + "||".join(f"chr({ord(c)})" for c in "".join(chr(c) for c in range(0x110000) if chr(c).isspace())) + ")"
 TS = f"TIMESTAMP '{AS_OF}'"
@@ -349,6 +349,27 @@ FROM s LEFT JOIN u USING (session_id) LEFT JOIN gaps USING (session_id)"""
         "check_future_tolerance": f"{orders_base()} {REPORT} WHERE error_code = 'FUTURE_DATE' AND ordinal = 10",
         "check_phone": f"{orders_base()} {codes('PHONE_PARSE', 'PHONE_POSSIBLE', 'PHONE_INVALID')}",
         "check_phone_length": f"{orders_base()} {codes('PHONE_LENGTH')}",
+        "check_phone_plan": f"""WITH plan AS {world_plan_sql()},
+code AS (SELECT calling_code, string_agg(lengths, ',') AS lengths, string_agg(pattern, '|') AS pattern FROM plan GROUP BY calling_code),
+x AS ({WORLD_PHONES_SQL.format(row='k + 2', rowsrc='', plan='plan')}),
+a AS (SELECT x.*, own.*, regexp_replace(regexp_extract(phone, '[+0-9].*', 0), '[^0-9]+$', '') AS body
+  FROM x LEFT JOIN plan own ON own.region = substr(upper(country), 1, 2)),
+b AS (SELECT *, regexp_replace(body, '[^0-9]', '', 'g') AS digits FROM a),
+c AS (SELECT *, CASE WHEN starts_with(body, '+') THEN digits WHEN starts_with(digits, idd) THEN substr(digits, length(idd) + 1) END AS intl FROM b),
+d AS (SELECT c.*, (SELECT max_by(q.calling_code, length(q.calling_code)) FROM code q WHERE starts_with(c.intl, q.calling_code)) AS cc FROM c),
+e AS (SELECT *, CASE WHEN intl IS NOT NULL THEN substr(intl, length(cc) + 1)
+    WHEN trunk IS NOT NULL AND starts_with(digits, trunk) AND list_contains(string_split(lengths, ','), CAST(length(digits) - length(trunk) AS VARCHAR))
+      THEN substr(digits, length(trunk) + 1) ELSE digits END AS nat, CASE WHEN intl IS NOT NULL THEN cc ELSE calling_code END AS num FROM d),
+f AS (SELECT e.row_number, e.country, e.phone, nat, num,
+    coalesce(length(digits) >= 2 AND regexp_full_match(body, '\\+?[0-9 \\t\\-.()/\\[\\]~]*') AND num IS NOT NULL AND length(nat) BETWEEN 2 AND 17, false) AS parsed,
+    coalesce(list_contains(string_split(code.lengths, ','), CAST(length(nat) AS VARCHAR)), false) AS possible,
+    coalesce(regexp_full_match(nat, code.pattern), false) AS valid
+  FROM e LEFT JOIN code ON code.calling_code = e.num)
+SELECT row_number, country, phone, CASE WHEN parsed AND valid THEN '+' || num || nat ELSE phone END AS phone_normalized,
+  CASE WHEN NOT parsed THEN 'Cannot parse phone number for region ' || substr(upper(country), 1, 2)
+       ELSE concat_ws('; ', CASE WHEN NOT possible THEN 'Phone number length/format is not possible' END,
+                      CASE WHEN NOT valid THEN 'Phone number is not valid for the region' END) END AS error_summary
+FROM f""",
         "phone_region": f"WITH x AS ({duck_sql(DIRTY_ORDERS_SQL, 'k')}) SELECT row_number, country_code, {ORDERS_REGION} AS region FROM x",
         "normalize_phones": (f"WITH x AS ({annotated()}) SELECT row_number, customer_phone, "
                              f"customer_phone_normalized FROM x"),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabvet import fixtures as fx
+from tabvet.functions.phone import plan_from_table
 from tabvet.operators import ledger
 from tabvet.operators.checks import FieldValues
 from tabvet.plans.default_rules import DEFAULT_RULES
@@ -108,6 +109,16 @@ def phone_region(spark, sf):
     return ctx.stager.apply(d).select("row_number", "country_code", F.col(region).alias("region"))
 
 
+def check_phone_plan(spark, sf):
+    """V12–V14, N1 against a plan of 25 regions given as a table."""
+    table = spark.sql(fx.world_plan_sql()[1:-1]).select(
+        "region", "calling_code", "idd", "trunk", F.split("lengths", ",").cast("array<int>").alias("lengths"),
+        F.array().cast("array<int>").alias("local_lengths"), "pattern")
+    rules = load_rules({"datasets": {"t": {"fields": [{"name": "phone", "type": "phone", "region_column": "country"}]}}}, "t")
+    v = validate(fx.world_phones(spark, sf), rules, as_of=fx.AS_OF, row_number="row_number", phone_plan=plan_from_table(table), partitions=_cores(spark))
+    return v.with_row_number().select("row_number", "country", "phone", "phone_normalized", "error_summary")
+
+
 def normalize_phones(spark, sf):
     return _orders(spark, sf, keys=False).with_row_number().select("row_number", "customer_phone", "customer_phone_normalized")
 
@@ -309,6 +320,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "check_phone": lambda s, sf: _subset(s, sf, ["customer_phone", "country_code"], "PHONE_PARSE", "PHONE_POSSIBLE",
                                          "PHONE_INVALID"),
     "check_phone_length": lambda s, sf: _subset(s, sf, ["customer_phone", "country_code"], "PHONE_LENGTH"),
+    "check_phone_plan": check_phone_plan,
     "phone_region": phone_region,
     "normalize_phones": normalize_phones,
     "normalize_dates": normalize_dates,

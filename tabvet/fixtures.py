@@ -136,6 +136,50 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(spark_sql(DIRTY_ORDERS_SQL))
 
 
+# An approximate numbering plan of 25 regions (public regulator data): region, calling code, international and trunk
+# prefix, national lengths, pattern of national numbers. Row k belongs to nation k.
+WORLD_PLAN = [
+    ("DZ", "213", "00", "0", (8, 9), "[5-7][0-9]{8}|[1-4][0-9]{7}"), ("AR", "54", "00", "0", (10, 11), "9?[1-3][0-9]{9}"),
+    ("BR", "55", "00", "0", (10, 11), "[1-9]{2}9[0-9]{8}|[1-9]{2}[2-5][0-9]{7}"), ("CA", "1", "011", "1", (10,), "(?:204|416|514|604)[2-9][0-9]{6}"),
+    ("EG", "20", "00", "0", (8, 9, 10), "1[0-9]{9}|[2-9][0-9]{7,8}"), ("ET", "251", "00", "0", (9,), "[1-59][0-9]{8}"),
+    ("FR", "33", "00", "0", (9,), "[1-9][0-9]{8}"), ("DE", "49", "00", "0", (7, 8, 9, 10, 11), "[2-9][0-9]{6,10}|1[5-7][0-9]{8,9}"),
+    ("IN", "91", "00", "0", (10,), "[1-9][0-9]{9}"), ("ID", "62", "001", "0", (9, 10, 11), "8[0-9]{8,10}|[2-7][0-9]{8}"),
+    ("IR", "98", "00", "0", (10,), "[1-9][0-9]{9}"), ("IQ", "964", "00", "0", (8, 9, 10), "7[0-9]{9}|[1-6][0-9]{7,8}"),
+    ("JP", "81", "010", "0", (9, 10), "[789]0[0-9]{8}|[1-9][0-9]{8}"), ("JO", "962", "00", "0", (8, 9), "7[0-9]{8}|[2-6][0-9]{7}"),
+    ("KE", "254", "000", "0", (9,), "[17][0-9]{8}|[2-6][0-9]{8}"), ("MA", "212", "00", "0", (9,), "[5-8][0-9]{8}"),
+    ("MZ", "258", "00", None, (8, 9), "8[2-7][0-9]{7}|2[0-9]{7}"), ("PE", "51", "00", "0", (8, 9), "9[0-9]{8}|[14-8][0-9]{7}"),
+    ("CN", "86", "00", "0", (10, 11), "1[3-9][0-9]{9}|[2-9][0-9]{9}"), ("RO", "40", "00", "0", (9,), "[237][0-9]{8}"),
+    ("SA", "966", "00", "0", (8, 9), "5[0-9]{8}|1[0-9]{7,8}"), ("VN", "84", "00", "0", (9, 10), "[35789][0-9]{8}|2[0-9]{9}"),
+    ("RU", "7", "810", "8", (10,), "[3489][0-9]{9}"), ("GB", "44", "00", "0", (9, 10), "[1-35789][0-9]{8,9}"), ("US", "1", "011", "1", (10,), "[2-9][0-9]{2}[2-9][0-9]{6}"),
+]
+
+
+def world_plan_sql() -> str:
+    """The plan as a table, in the SQL of both engines."""
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    rows = " UNION ALL ".join(f"SELECT {k} AS nation, '{r}' AS region, '{c}' AS calling_code, {text(i)} AS idd, {text(t)} AS trunk, "
+                              f"'{','.join(map(str, n))}' AS lengths, '{p}' AS pattern" for k, (r, c, i, t, n, p) in enumerate(WORLD_PLAN))
+    return f"({rows})"
+
+
+# Numbers of many countries as customers of 25 nations write them, dialled from their own or a neighbour's region.
+WORLD_PHONES_SQL = f"""
+SELECT {{row}} AS row_number, concat(lower(substr(home.region, 1, 1)), substr(home.region, 2, 1), '-x') AS country,
+  CASE k % 9 WHEN 0 THEN concat('+', p.calling_code, ' ', nat) WHEN 1 THEN concat(home.idd, ' ', p.calling_code, nat) WHEN 2 THEN concat(coalesce(home.trunk, ''), nat)
+             WHEN 3 THEN nat WHEN 4 THEN concat('+', p.calling_code, '-', substr(nat, 1, 5)) WHEN 5 THEN concat('(0) ', nat, ' ext 5')
+             WHEN 6 THEN concat('+999', nat) WHEN 7 THEN concat('tel: +', p.calling_code, '.', nat) ELSE concat('+', p.calling_code, '0', nat) END AS phone
+FROM (SELECT o_orderkey AS k, c_nationkey AS n, (c_nationkey + o_orderkey % 3) % 25 AS far,
+        substr(concat(cast(o_orderkey % 7 + 2 AS string), lpad(cast(o_orderkey * 7919 % 10000000000 AS string), 11, '3')), 1, cast(8 + o_orderkey % 4 AS int)) AS nat{{rowsrc}}
+      FROM orders JOIN customer ON o_custkey = c_custkey) t
+JOIN {{plan}} home ON home.nation = n JOIN {{plan}} p ON p.nation = far
+"""
+
+
+def world_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_sources(spark, sf_dir, ("orders", "customer"))
+    return spark.sql(WORLD_PHONES_SQL.format(row="o_row + 2", rowsrc=", orders._row_index AS o_row", plan=world_plan_sql()))
+
+
 def order_dates(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     register_sources(spark, sf_dir, ("orders",))
     return spark.sql(spark_sql(sql))

@@ -1,10 +1,10 @@
 """Phone numbers checked against a numbering-plan table, with native string expressions.
 
-The reference calls a per-row phone library. Here a small plan table (one row per
+The reference calls a per-row phone library. Here a plan table (one row per
 region: calling code, international and trunk prefixes, possible national lengths and
-a national-number pattern) is compiled into CASE expressions on the driver, so every
-check stays inside whole-stage codegen. The plan is bounded by the rule set, not by
-the data, and can be replaced by the user.
+a national-number pattern) is joined to the numbers: by the region they are dialled from, and by the
+longest calling code they start with. The plan is bounded by the rule set, not by
+the data, and can be replaced by the user, also from a table of many regions.
 
 Known differences from a full phone library, by design: only regions in the plan are
 known (a ``+`` number with another calling code cannot be parsed); area-code
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,24 +41,76 @@ DEFAULT_PLAN: tuple[PlanEntry, ...] = (
     PlanEntry("AU", "61", "0011", "0", (9,), (), r"[2-478]\d{8}"),
 )
 
+MOST_PLAN_ROWS = 10_000  # a plan is broadcast; larger ones are refused
+_ENTRY = "region string, calling_code string, idd string, trunk string, lengths array<int>, local_lengths array<int>, pattern string"
+
 # Characters a dialable number may contain after its first digit or '+'.
 _DIALABLE = r"^\+?[0-9 \t\-.()/\[\]~]*$"
 
 
-def _case(key: str, values: dict[str, str], default: str = "NULL") -> str:
-    """SQL ``CASE key WHEN 'a' THEN .. END`` over literal keys."""
-    if not values:
-        return default
-    whens = " ".join(f"WHEN {key} = '{k}' THEN {v}" for k, v in values.items())
-    return f"(CASE {whens} ELSE {default} END)"
+def plan_from_table(df: DataFrame) -> tuple[PlanEntry, ...]:
+    """A plan from a table of ``PlanEntry`` columns, e.g. read from Parquet or JSON."""
+    rows = df.select(*[F.col(c.split()[0]).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in _ENTRY.split(", ")]).limit(MOST_PLAN_ROWS + 1).collect()
+    return checked_plan(tuple(PlanEntry(r.region, r.calling_code, r.idd, r.trunk, tuple(r.lengths or ()), tuple(r.local_lengths or ()), r.pattern)
+                              for r in sorted(rows, key=lambda r: r.region or "")))
+
+
+def checked_plan(plan) -> tuple[PlanEntry, ...]:
+    """The plan, if it is usable: bounded, one entry a region, digits where digits belong."""
+    if len(plan) > MOST_PLAN_ROWS:
+        raise ValueError(f"a numbering plan may have {MOST_PLAN_ROWS} entries at most")
+    if len({p.region for p in plan}) < len(plan):
+        raise ValueError("a numbering plan has one entry a region")
+    for p in plan:
+        if not p.region or not (p.calling_code or "").isdigit() or not p.pattern or "'" in p.region + p.pattern or not all((x or "0").isdigit() for x in (p.idd, p.trunk)):
+            raise ValueError(f"bad numbering-plan entry {p!r}")
+    return tuple(plan)
+
+
+def _text(value: str | None) -> str:
+    return "CAST(NULL AS STRING)" if value is None else f"r'{value}'"
+
 
+def _ints(values) -> str:
+    return "array(" + ", ".join(map(str, values)) + ")" if values else "CAST(array() AS array<int>)"
 
-def _sq(s: str) -> str:
-    return "'" + s + "'"
 
+def _tables(plan) -> tuple[str, str]:
+    """SQL of two tables: a region's dialling habits, and a calling code's numbers. Regions that share a code
+    share its numbers: a number is valid if one of them has it."""
+    codes: dict[str, list[PlanEntry]] = {}
+    for p in plan:
+        codes.setdefault(p.calling_code, []).append(p)
+    numbers = {c: (_ints(sorted({n for p in ps for n in p.lengths + p.local_lengths})), _text("^(?:" + "|".join(p.pattern for p in ps) + ")$")) for c, ps in codes.items()}
+    own = ", ".join(f"({_text(p.region)}, named_struct('code', {_text(p.calling_code)}, 'idd', {_text(p.idd)}, 'trunk', {_text(p.trunk)}, "
+                    f"'dialled', {_ints(p.lengths + p.local_lengths)}, 'lengths', {numbers[p.calling_code][0]}, 'pattern', {numbers[p.calling_code][1]}))" for p in plan)
+    code = ", ".join(f"({_text(c)}, named_struct('code', {_text(c)}, 'lengths', {n[0]}, 'pattern', {n[1]}))" for c, n in numbers.items())
+    return f"SELECT * FROM VALUES {own} AS t(region, own)", f"SELECT * FROM VALUES {code} AS t(prefix, code)"
 
-def _arr(ns) -> str:
-    return "array(" + ", ".join(str(n) for n in ns) + ")" if ns else "CAST(array() AS array<int>)"
+
+def join_plan(df: DataFrame, column: str, region: Column, plan, prefix: str) -> DataFrame:
+    """``df`` with the plan's rows for the number in ``column`` dialled from ``region``: ``<prefix>_own`` by region, and
+    ``<prefix>_code`` by the longest calling code that an international number starts with. The plan is a
+    small table; there is one join for each length of calling code, the longest match wins."""
+    from tabvet.functions.text import py_trim
+
+    spark = df.sparkSession
+    own, codes = (spark.sql(sql) for sql in _tables(checked_plan(plan)))
+    c = lambda name: f"{prefix}_{name}"
+    # from the first digit or '+' to the last digit, in one match
+    body = F.regexp_extract(py_trim(F.col(column)), r"(?s)([+0-9](?:.*[0-9])?)", 1)
+    df = df.withColumns({c("region"): region, c("body"): body}).withColumn(c("digits"), F.regexp_replace(c("body"), "[^0-9]", ""))
+    own = own.select(F.col("region").alias(c("r")), F.col("own").alias(c("own")))
+    df = df.join(F.broadcast(own), F.col(c("region")) == F.col(c("r")), "left").drop(c("r"))
+    idd = F.col(c("own"))["idd"]
+    df = df.withColumn(c("intl"), F.when(F.col(c("body")).startswith("+"), F.col(c("digits")))
+                       .when(F.col(c("digits")).startswith(idd), F.expr(f"substr(`{c('digits')}`, length(`{c('own')}`.idd) + 1)")))
+    found = []
+    for n in sorted({len(p.calling_code) for p in plan}, reverse=True):
+        some = codes.where(F.length("prefix") == n).select(F.col("prefix").alias(c(f"p{n}")), F.col("code").alias(c(f"c{n}")))
+        df = df.join(F.broadcast(some), F.substring(c("intl"), 1, n) == F.col(c(f"p{n}")), "left").drop(c(f"p{n}"))
+        found.append(c(f"c{n}"))
+    return df.withColumn(c("code"), F.coalesce(*found)).drop(*found)
 
 
 @dataclass(frozen=True)
@@ -71,8 +123,8 @@ class PhoneParse:
     digits: str     # every digit of the value
 
 
-def parse_phone(st, trimmed: str, region: str, plan=DEFAULT_PLAN) -> PhoneParse:
-    """Parse staged column ``trimmed`` as a number dialled from staged ``region``.
+def parse_phone(st, prefix: str) -> PhoneParse:
+    """Parse the number whose plan rows ``join_plan`` has added under ``prefix``.
 
     Steps: keep the text from the first digit or '+', drop trailing non-digits; a
     leading '+' or the region's international prefix makes it international (longest
@@ -82,50 +134,22 @@ def parse_phone(st, trimmed: str, region: str, plan=DEFAULT_PLAN) -> PhoneParse:
     """
     from tabvet.functions.dates import ident, lit_rx
 
-    def add(sql: str, deps) -> str:
-        return st.add(F.expr(sql), deps)
-
-    t, r = ident(trimmed), ident(region)
-    # from the first digit or '+' to the last digit, in one match
-    body = add(f"regexp_extract({t}, {lit_rx('(?s)([+0-9](?:.*[0-9])?)')}, 1)", [trimmed])
-    b = ident(body)
-    digits = add(f"regexp_replace({b}, {lit_rx('[^0-9]')}, '')", [body])
-    plus = add(f"startswith({b}, '+')", [body])
-    dialable = add(f"{b} RLIKE {lit_rx(_DIALABLE)}", [body])
-    d, pl = ident(digits), ident(plus)
-    idd = _case(r, {p.region: _sq(p.idd) for p in plan if p.idd})
-    via_idd = add(f"NOT {pl} AND coalesce(startswith({d}, {idd}), false)", [plus, digits, region])
-    vi = ident(via_idd)
-    international = add(f"{pl} OR {vi}", [plus, via_idd])
-    intl = add(f"CASE WHEN {pl} THEN {d} WHEN {vi} THEN substr({d}, length({idd}) + 1) END",
-               [plus, via_idd, digits, region])
-    i = ident(intl)
-    ccs = sorted(plan, key=lambda p: -len(p.calling_code))
-    cc = add("CASE " + " ".join(f"WHEN startswith({i}, '{p.calling_code}') THEN '{p.calling_code}'" for p in ccs)
-             + " END", [intl])
-    trunk = _case(r, {p.region: _sq(p.trunk) for p in plan if p.trunk})
-    lens = {p.region: _arr(p.lengths + p.local_lengths) for p in plan}
-    local = add(f"CASE WHEN {trunk} IS NOT NULL AND startswith({d}, {trunk}) AND "
-                f"array_contains({_case(r, lens, _arr(()))}, length({d}) - length({trunk})) "
-                f"THEN substr({d}, length({trunk}) + 1) ELSE {d} END", [digits, region])
-    x, c, lo = ident(international), ident(cc), ident(local)
-    national = add(f"CASE WHEN {x} THEN substr({i}, length({c}) + 1) ELSE {lo} END",
-                   [international, intl, cc, local])
-    num_region = add(f"CASE WHEN {x} THEN {_case(c, {p.calling_code: _sq(p.region) for p in plan})} ELSE {r} END",
-                     [international, cc, region])
-    n, nr = ident(national), ident(num_region)
-    known = ", ".join(_sq(p.region) for p in plan)
-    parsed = add(f"coalesce(length({d}) >= 2 AND {ident(dialable)} AND "
-                 f"(CASE WHEN {x} THEN {c} IS NOT NULL ELSE {r} IN ({known}) END) AND "
-                 f"length({n}) BETWEEN 2 AND 17, false)",
-                 [digits, dialable, international, cc, region, national])
-    possible = add(f"coalesce(array_contains({_case(nr, lens, _arr(()))}, length({n})), false)",
-                   [num_region, national])
-    valid = add("coalesce(" + _case(nr, {p.region: f"{n} RLIKE {lit_rx('^(?:' + p.pattern + ')$')}" for p in plan},
-                                    "false") + ", false)", [num_region, national])
-    e164 = add(f"concat('+', {_case(nr, {p.region: _sq(p.calling_code) for p in plan})}, {n})",
-               [num_region, national])
-    return PhoneParse(parsed, possible, valid, e164, digits)
+    def add(sql: str, *deps: str) -> str:
+        return st.add(F.expr(sql), [d for d in deps if d in st.level_of])
+
+    body, digits, intl, own, code = (ident(f"{prefix}_{n}") for n in ("body", "digits", "intl", "own", "code"))
+    local = add(f"CASE WHEN startswith({digits}, {own}.trunk) AND array_contains({own}.dialled, length({digits}) - length({own}.trunk)) "
+                f"THEN substr({digits}, length({own}.trunk) + 1) ELSE {digits} END")
+    international = f"{intl} IS NOT NULL"
+    national = add(f"CASE WHEN {international} THEN substr({intl}, length({code}.code) + 1) ELSE {ident(local)} END", local)
+    number = add(f"CASE WHEN {international} THEN {code} ELSE named_struct('code', {own}.code, 'lengths', {own}.lengths, 'pattern', {own}.pattern) END")
+    n, x = ident(national), ident(number)
+    parsed = add(f"coalesce(length({digits}) >= 2 AND {body} RLIKE {lit_rx(_DIALABLE)} AND {x}.code IS NOT NULL AND length({n}) BETWEEN 2 AND 17, false)",
+                 national, number)
+    possible = add(f"coalesce(array_contains({x}.lengths, length({n})), false)", national, number)
+    valid = add(f"coalesce({n} RLIKE {x}.pattern, false)", national, number)
+    e164 = add(f"concat('+', {x}.code, {n})", national, number)
+    return PhoneParse(parsed, possible, valid, e164, f"{prefix}_digits")
 
 
 def row_region(columns, region_column: str | None, default_region: str) -> Column:

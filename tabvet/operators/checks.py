@@ -20,7 +20,7 @@ from tabvet.functions.dates import (DEFAULT_VALIDATION_FORMATS, ident, skeleton_
                                    strptime_parts_sql)
 from tabvet.functions.freeform import FreeForm, offset_minutes, stage
 from tabvet.functions.numeric import is_finite, parse_py_float, trunc_toward_zero
-from tabvet.functions.phone import DEFAULT_PLAN, PhoneParse, parse_phone, row_region
+from tabvet.functions.phone import PhoneParse, parse_phone, row_region
 from tabvet.functions.text import py_trim, python_list_text, python_number_text
 from tabvet.plans.rules import FieldRule, RuleSet, python_regex_to_java
 from tabvet.plans.stager import Stager
@@ -40,7 +40,7 @@ class CheckContext:
     rules: RuleSet
     columns: tuple[str, ...]
     as_of: Column
-    phone_plan: tuple = DEFAULT_PLAN
+    phones: dict = field(default_factory=dict)  # (field, region column, default region) -> prefix of the plan's columns
     date_policy: str = "formats"
     year: int = field(default_factory=lambda: datetime.now().year)  # places two-digit years
     stager: Stager = field(default_factory=lambda: Stager("_s"))
@@ -117,9 +117,14 @@ class FieldValues:
         return self._get(("region", region_column, default),
                          lambda: self.ctx.stager.add(row_region(self.ctx.columns, region_column, default)))
 
-    def phone(self, region: str) -> PhoneParse:
-        return self._get(("phone", region),
-                         lambda: parse_phone(self.ctx.stager, self.trimmed, region, self.ctx.phone_plan))
+    def phone(self, region_column: str | None, default: str) -> PhoneParse:
+        prefix = phone_prefix(self.ctx, self.name, region_column, default)
+        return self._get(("phone", prefix), lambda: parse_phone(self.ctx.stager, prefix))
+
+
+def phone_prefix(ctx: CheckContext, name: str, region_column: str | None, default: str) -> str:
+    """The prefix of the plan's columns for a phone field dialled from a region; the validator joins the plan for every prefix asked for."""
+    return ctx.phones.setdefault((name, region_column, default), f"_p{len(ctx.phones)}")
 
 
 def _range(name: str, cons, v: Column) -> list[Candidate]:
@@ -169,17 +174,19 @@ def string_checks(rule: FieldRule, fv: FieldValues, ctx: CheckContext) -> list[C
     return out
 
 
-def region_of(rule: FieldRule, fv: FieldValues, ctx: CheckContext) -> str:
+def region_args(rule: FieldRule, ctx: CheckContext) -> tuple[str | None, str]:
     g = ctx.rules.globals
-    region_col = rule.region_column or g.default_country_column
-    default = rule.default_region or g.default_country or "US"
-    return fv.region(region_col, default)
+    return rule.region_column or g.default_country_column, rule.default_region or g.default_country or "US"
+
+
+def region_of(rule: FieldRule, fv: FieldValues, ctx: CheckContext) -> str:
+    return fv.region(*region_args(rule, ctx))
 
 
 def phone_checks(rule: FieldRule, fv: FieldValues, ctx: CheckContext) -> list[Candidate]:
     region = region_of(rule, fv, ctx)
     r = col(region)
-    p = fv.phone(region)
+    p = fv.phone(*region_args(rule, ctx))
     parsed = col(p.parsed)
     out = [
         Candidate("PHONE_PARSE", ~parsed, F.concat(F.lit("Cannot parse phone number for region "), r)),

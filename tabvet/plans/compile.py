@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tabvet.functions.dates import normalize_date_text
 from tabvet.operators.checks import (TYPE_CHECKS, Candidate, CheckContext, FieldValues, cross_later, cross_parse,
-                                     custom_checks, region_of)
+                                     custom_checks, region_args)
 from tabvet.plans.rules import FieldRule
 
 CORRUPT_COLUMN = "_corrupt_record"
@@ -168,12 +168,10 @@ def compile_rules(ctx: CheckContext, flags: dict[str, KeyFlags], phone_region: s
 def _normalize_phone(rule: FieldRule, ctx: CheckContext, phone_region: str) -> Column:
     fv: FieldValues = ctx.values(rule.name)
     if phone_region == "row":
-        region = region_of(rule, fv, ctx)
+        p = fv.phone(*region_args(rule, ctx))
     else:
         g = ctx.rules.globals
-        default = rule.default_region if rule.default_region is not None else (g.default_country or "US")
-        region = fv.region(None, default)
-    p = fv.phone(region)
+        p = fv.phone(None, rule.default_region if rule.default_region is not None else (g.default_country or "US"))
     raw = col(rule.name).cast("string")
     return (F.when(raw.isNull(), F.lit(None).cast("string"))
             .when(fv.t == "", F.lit(""))

@@ -15,7 +15,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tabvet.functions.phone import DEFAULT_PLAN
+from tabvet.functions.phone import DEFAULT_PLAN, join_plan, row_region
 from tabvet.operators.checks import CheckContext
 from tabvet.operators.keys import with_reference_flag, with_unique_flag
 from tabvet.operators.rownum import with_row_numbers
@@ -202,6 +202,7 @@ def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number
     ``date_policy``: ``formats`` (cross checks parse with the field's formats first)
     or ``month_first`` (free-form only, the reference's cross-check behaviour).
     ``phone_region``: ``row`` (normalize with the row's region) or ``default``.
+    ``phone_plan``: the numbering plan, ``PlanEntry`` rows (``plan_from_table`` reads them from a table).
     ``partitions``: deal the rows over so many partitions after row numbering, for an input
     that is known to come in too few splits (a single unsplittable file). Off by default.
     No job runs before an action on the result.
@@ -244,8 +245,10 @@ def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number
         if uq or rf:
             flags[rule.name] = KeyFlags(uq, rf, target)
 
-    ctx = CheckContext(rules, tuple(input_columns), as_of_literal(as_of), phone_plan, date_policy, year=int(str(as_of)[:4]))
+    ctx = CheckContext(rules, tuple(input_columns), as_of_literal(as_of), date_policy=date_policy, year=int(str(as_of)[:4]))
     compiled = compile_rules(ctx, flags, phone_region)
+    for (name, region_column, default), prefix in ctx.phones.items():
+        df = join_plan(df, name, row_region(input_columns, region_column, default), phone_plan, prefix)
     df = ctx.stager.apply(df)
     frame = df.select(*input_columns, *[c for c in (SOURCE,) if c in df.columns], F.col(ROW), *[c.alias(n) for n, c in compiled.masks],
                       *[c.alias(n) for n, c in compiled.dynamic], *[c.alias(n) for n, c in compiled.normalized])
