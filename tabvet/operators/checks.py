@@ -22,7 +22,8 @@ from tabvet.functions.freeform import FreeForm, offset_minutes, stage
 from tabvet.functions.numeric import is_finite, parse_py_float, trunc_toward_zero
 from tabvet.functions.phone import PhoneParse, parse_phone, row_region
 from tabvet.functions.text import py_trim, python_list_text, python_number_text
-from tabvet.plans.rules import FieldRule, RuleSet, python_regex_to_java
+from tabvet.plans.regex import python_regex_to_java
+from tabvet.plans.rules import FieldRule, RuleSet
 from tabvet.plans.stager import Stager
 
 col = F.col

@@ -9,12 +9,12 @@ rejected here, when the rules are loaded.
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any, Mapping
 
 from tabvet.functions.dates import FormatError, compile_strptime
+from tabvet.plans.regex import PatternError, python_regex_to_java
 
 
 class RuleError(ValueError):
@@ -99,24 +99,6 @@ class RuleSet:
         return RuleSet(self.dataset, fields, self.cross_checks, self.globals, self.name)
 
 
-def python_regex_to_java(pattern: str) -> str:
-    """Translate the parts of Python regex syntax Java spells differently.
-
-    Named groups ``(?P<name>...)`` / ``(?P=name)`` become Java's ``(?<gN>...)`` / ``\\k<gN>``
-    (Java group names allow no underscores) and ``\\Z`` becomes ``\\z``. Character
-    classes such as ``\\d`` match ASCII only in Java.
-    """
-    names: dict[str, str] = {}
-
-    def named(m):
-        names[m.group(1)] = f"g{len(names) + 1}"
-        return f"(?<{names[m.group(1)]}>"
-
-    out = re.sub(r"\(\?P<([A-Za-z_]\w*)>", named, pattern)
-    out = re.sub(r"\(\?P=([A-Za-z_]\w*)\)", lambda m: rf"\k<{names.get(m.group(1), m.group(1))}>", out)
-    return out.replace(r"\Z", r"\z")
-
-
 def _field(raw: Mapping[str, Any], dataset: str) -> FieldRule:
     if "name" not in raw:
         raise RuleError(f"{dataset}: a field rule has no name")
@@ -127,8 +109,8 @@ def _field(raw: Mapping[str, Any], dataset: str) -> FieldRule:
     cons = dict(raw.get("constraints") or {})
     if "regex" in cons:
         try:
-            re.compile(cons["regex"])
-        except re.error as exc:
+            python_regex_to_java(cons["regex"])
+        except PatternError as exc:
             raise RuleError(f"{dataset}.{name}: bad regex {cons['regex']!r}: {exc}") from exc
     for key in ("min", "max", "min_length", "max_length"):
         if key in cons and (isinstance(cons[key], bool) or not isinstance(cons[key], (int, float))):
