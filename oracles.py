@@ -444,5 +444,9 @@ FROM f""",
         "stream_unique": (f"WITH x AS ({duck_sql(DIRTY_ORDERS_SQL, 'k')}), y AS (SELECT row_number, {t('order_id')} AS key "
                           f"FROM x WHERE order_id IS NOT NULL AND {t('order_id')} <> '') SELECT row_number, key, "
                           f"row_number() OVER (PARTITION BY key ORDER BY row_number) > 1 AS duplicate FROM y"),
+        "stream_unique_window": (
+            f"WITH x AS ({DIRTY_ORDERS_SQL.format(row='o_orderdate AS od, k + 2', rowsrc=', o_orderdate')}), y AS (SELECT row_number, od, {t('order_id')} AS key "
+            f"FROM x WHERE order_id IS NOT NULL AND {t('order_id')} <> '') SELECT row_number, key, coalesce(od - lag(od) OVER "
+            f"(PARTITION BY key ORDER BY od, row_number) <= INTERVAL 365 DAY, false) AS duplicate FROM y"),
     }
     return out

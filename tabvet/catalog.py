@@ -253,10 +253,11 @@ def merge_chunks(spark, sf):
     return ledger.merge_chunks(pieces.where("l_linestatus = 'O'"), pieces.where("l_linestatus <> 'O'"))
 
 
-def _payment_stream(spark, sf):
-    schema = fx.read_table(spark, sf, "events").schema
-    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf))
+def _table_stream(spark, sf, name: str) -> DataFrame:
+    return streaming.read_table_stream(spark, fx.table_path(sf, name), fx.read_table(spark, sf, name).schema)
+
+
+def _payment_stream(spark, events: DataFrame):
     events.createOrReplaceTempView("events_stream")
     sql = fx.PAYMENTS_SQL.format(row="cast(ts AS timestamp) AS event_ts, event_id + 2").replace("FROM events", "FROM events_stream")
     return spark.sql(sql)
@@ -268,32 +269,41 @@ def _payment_stream_rules():
 
 
 def stream_validate(spark, sf):
-    v = streaming.validate_stream(_payment_stream(spark, sf), _payment_stream_rules(), as_of=fx.AS_OF,
+    v = streaming.validate_stream(_payment_stream(spark, _table_stream(spark, sf, "events")), _payment_stream_rules(), as_of=fx.AS_OF,
                                   row_number="row_number")
     out = v.with_row_number().select("row_number", "is_valid", "error_summary")
     return streaming.run_available_now(out, "stream-validate")
 
 
 def stream_error_rate(spark, sf):
-    v = streaming.validate_stream(_payment_stream(spark, sf), _payment_stream_rules(), as_of=fx.AS_OF,
-                                  row_number="row_number")
-    rate = streaming.error_rate(v, "event_ts", "1 day")
-    out = streaming.run_available_now(rate, "stream-error-rate", output_mode="complete")
+    """ST3 in append mode. The table's files come in no order of time, so the watermark allows for its whole span; a marker at
+    the end closes the last windows."""
+    events, close = streaming.with_end_marker(_table_stream(spark, sf, "events"), "ts")
+    v = streaming.validate_stream(_payment_stream(spark, events), _payment_stream_rules(), as_of=fx.AS_OF, row_number="row_number")
+    rate = streaming.error_rate(v, "event_ts", "1 day", "36500 days")
+    out = streaming.run_available_now(rate, "stream-error-rate", close=close)
     return out.where(F.col("error_count") > 0).select(F.col("window_start").cast("string").alias("window_start"),
                                                       "rows", "error_code", "error_count")
 
 
+def _order_stream(spark, sf, row: str, rowsrc: str = "") -> DataFrame:
+    _table_stream(spark, sf, "orders").createOrReplaceTempView("orders_stream")
+    return spark.sql(fx.DIRTY_ORDERS_SQL.format(row=row, rowsrc=rowsrc).replace("FROM orders)", "FROM orders_stream)"))
+
+
 def stream_unique(spark, sf):
     """ST2 over the dirty orders read as a file stream: later copies of an order id."""
-    schema = fx.read_table(spark, sf, "orders").schema
-    orders = (spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf))
-    orders.createOrReplaceTempView("orders_stream")
-    sql = fx.DIRTY_ORDERS_SQL.format(row="k + 2", rowsrc="").replace("FROM orders)", "FROM orders_stream)")
-    flags = streaming.first_occurrence_flags(spark.sql(sql), "order_id")
+    flags = streaming.first_occurrence_flags(_order_stream(spark, sf, "k + 2"), "order_id")
     return streaming.run_available_now(flags, "stream-unique")
 
 
+def stream_unique_window(spark, sf):
+    """ST2 with expiring state: copies of an order id within 365 days before, by order date. The table's files come in no
+    order of time, so the watermark allows for its whole span."""
+    orders = _order_stream(spark, sf, "cast(o_orderdate AS timestamp) AS event_ts, k + 2", ", o_orderdate")
+    return streaming.run_available_now(streaming.unique_within(orders, "order_id", "event_ts", "365 days", "36500 days"), "stream-unique-window")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_raw": scan_raw,
     "coerce_inferred": coerce_inferred,
@@ -349,4 +359,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_validate": stream_validate,
     "stream_error_rate": stream_error_rate,
     "stream_unique": stream_unique,
+    "stream_unique_window": stream_unique_window,
 }

@@ -10,10 +10,12 @@ Outputs go to exactly-once file sinks under the session's checkpoint folder.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tabvet.plans.rules import RuleError, RuleSet
 from tabvet.plans.validate import Validated, validate
@@ -31,31 +33,64 @@ def validate_stream(stream: DataFrame, rules: RuleSet, *, as_of: datetime | str,
     return validate(stream, rules, as_of=as_of, row_number=row_number, **kwargs)
 
 
-def run_available_now(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Run a streaming query over everything available, then read its result back.
+def read_table_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
+    """A stream over the files of a Parquet table, whether its path is a folder of part files or one file."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if fs.getFileStatus(target).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", target.getName()).parquet(target.getParent().toString())
+
+
+def run_available_now(df: DataFrame, name: str, output_mode: str = "append", close: Callable[[], None] | None = None) -> DataFrame:
+    """Run a streaming query over everything available, then read its result back; a stream without
+    rows gives an empty table.
 
     Append mode writes to a file sink (exactly-once through its metadata log);
-    complete mode rewrites the whole (bounded) aggregate per micro-batch.
+    complete mode rewrites the whole (bounded) aggregate per micro-batch. ``close`` is called when
+    all is read, and the query then goes on from its checkpoint with what ``close`` has added to its sources.
     """
     spark: SparkSession = df.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     out, ckpt = f"{base}/out", f"{base}/checkpoint"
-    if output_mode == "append":
-        q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-             .outputMode("append").trigger(availableNow=True).start())
-    else:
-        def overwrite(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
-        q = (df.writeStream.foreachBatch(overwrite).option("checkpointLocation", ckpt)
-             .outputMode(output_mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-    return spark.read.parquet(out)
+
+    def overwrite(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    for step in (None, close) if close else (None,):
+        if step:
+            step()
+        writer = df.writeStream.option("checkpointLocation", ckpt).outputMode(output_mode).trigger(availableNow=True)
+        q = writer.format("parquet").option("path", out).start() if output_mode == "append" else writer.foreachBatch(overwrite).start()
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
+    target = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def with_end_marker(stream: DataFrame, event_time: str, at: str = "9999-01-01") -> tuple[DataFrame, Callable[[], None]]:
+    """``stream`` with a second source, and a function that puts one row into it: null but for an event time that lets the watermark
+    pass every window. The marker's own window stays open, so it shows in no append-mode result."""
+    spark = stream.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/end-marker-{uuid.uuid4().hex[:12]}"
+    schema = StructType([StructField(f.name, f.dataType) for f in stream.schema])
+    spark.createDataFrame([], schema).write.parquet(folder)
+    markers = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder)
+
+    def close() -> None:
+        row = [F.lit(at if f.name == event_time else None).cast(f.dataType).alias(f.name) for f in schema]
+        spark.range(1).select(*row).coalesce(1).write.mode("append").parquet(folder)
+
+    return stream.unionByName(markers), close
 
 
 def error_rate(validated: Validated, event_time: str, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
-    """ST3: per event-time window and error code, the number of errors and of rows."""
+    """ST3: per event-time window and error code, the number of errors and of rows. In append mode a window is
+    emitted, and its state dropped, when the watermark passes its end."""
     codes = validated.compiled.codes
     frame = validated.frame.withWatermark(event_time, watermark)
     sums = frame.groupBy(F.window(event_time, window).alias("w")).agg(
@@ -67,6 +102,78 @@ def error_rate(validated: Validated, event_time: str, window: str = "1 day", wat
         "window_start", "rows", "p.error_code", "p.error_count")
 
 
+def late_rows(stream: DataFrame, event_time: str, window: str = "1 day", watermark: str = "1 day", name: str = "late") -> DataFrame:
+    """The rows that ``error_rate`` leaves out: their window had ended by the watermark at the start of the batch before theirs (a
+    stateful operator takes rows until then). Every micro-batch writes its late rows and its largest event time under its number,
+    so a repeated batch replaces what it wrote; the watermark is read from the batches before. Run it with the trigger of the rates."""
+    spark = stream.sparkSession
+    base = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    schema = StructType([*stream.schema, StructField("epoch", LongType())])
+    spark.createDataFrame([], "high timestamp, epoch long").write.parquet(f"{base}/high")
+    spark.createDataFrame([], schema).write.parquet(f"{base}/late")
+
+    def split(batch: DataFrame, epoch: int) -> None:
+        high = spark.read.parquet(f"{base}/high").where(F.col("epoch") < epoch - 1).agg(F.max("high")).first()[0]
+        mark = F.lit(high).cast("timestamp") - F.expr(f"INTERVAL {watermark}")
+        late = batch.withColumn("_end", F.window(event_time, window)["end"].cast("timestamp")).where(F.col("_end") <= mark)
+        late.drop("_end").withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{base}/late/batch={epoch}")
+        batch.agg(F.max(event_time).cast("timestamp").alias("high")).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{base}/high/batch={epoch}")
+
+    q = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(split).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/late").drop("epoch")
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def unique_within(stream: DataFrame, key: str, event_time: str, horizon: str, watermark: str = "1 day", row_number: str = "row_number") -> DataFrame:
+    """ST2 with expiring state: ``(row_number, key, duplicate)`` for every row with a present key; a row is a
+    duplicate if its trimmed key occurred within ``horizon`` before it, by event time (ties by ``row_number``).
+
+    State is one number a key, its latest event time, in RocksDB. A timer at that time plus the horizon drops
+    it once the watermark has passed, so state is bounded by the keys of one horizon. Rows older than the watermark are dropped, as
+    in every event-time operator. A group holds one key's rows of one micro-batch: bounded by the trigger size.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    from tabvet.functions.text import py_trim
+
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    span = spark.range(1).select(F.expr(f"unix_millis(timestamp '2000-01-01 00:00:00' + INTERVAL {horizon}) - unix_millis(timestamp '2000-01-01 00:00:00')")).first()[0]
+
+    class Latest(StatefulProcessor):
+        def init(self, handle):
+            self.handle, self.latest = handle, handle.getValueState("latest", "at long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            pdf = pd.concat(list(rows)).sort_values(["at", "row_number"])
+            at = pdf["at"].to_numpy()
+            before = self.latest.get()[0] if self.latest.exists() else None
+            gap = np.diff(at, prepend=at[0] - span - 1 if before is None else before)
+            last = int(at[-1]) if before is None else max(before, int(at[-1]))
+            self.latest.update((last,))
+            self.handle.registerTimer(last + span)
+            yield pd.DataFrame({"row_number": pdf["row_number"].to_numpy(), "key": [key[0]] * len(pdf), "duplicate": gap <= span})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.latest.exists() and self.latest.get()[0] + span <= expiredTimerInfo.getExpiryTimeInMs():
+                self.latest.clear()
+            return iter([])
+
+        def close(self):
+            pass
+
+    keyed = (stream.select(F.col(row_number).cast("long").alias("row_number"), py_trim(F.col(key)).alias("key"), F.col(event_time).cast("timestamp").alias("event_time"))
+             .where(F.col("key").isNotNull() & (F.col("key") != "") & F.col("event_time").isNotNull())
+             .withWatermark("event_time", watermark).withColumn("at", F.unix_millis("event_time")))
+    return keyed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Latest(), outputStructType="row_number long, key string, duplicate boolean", outputMode="append", timeMode="EventTime")
+
+
 def first_occurrence_flags(stream: DataFrame, key: str, row_number: str = "row_number") -> DataFrame:
     """ST2: UNIQUE on a stream with keep-first semantics.
 
