@@ -16,7 +16,8 @@
 The benchmark side of a join is broadcast only if its counted size is within a bound.
 
 Defined cases: null or empty documents and items match nothing; an item of fewer than five
-words is one shingle; rows that repeat an id count as one document or item each; null ids
+words is one shingle; an item id with several texts is searched by each of them, and rows that repeat a
+document id count as one document; null ids
 never match; other columns are ignored; an empty table gives no rows.
 """
 
@@ -111,7 +112,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     item it leaks; ``start`` counts words from 0."""
     docs = texts_of(docs, id_col, text_col).where("doc_id is not null")
     own = items.select(F.col(item_col).cast("long").alias("item_id"), word_hashes(F.col(item_text_col).cast("string")).alias("iw")).where("item_id is not null and size(iw) > 0")
-    own = cut(own.groupBy("item_id").agg(F.max("iw").alias("iw")).withColumn("len", F.size("iw")), "items")
+    own = cut(own.distinct().withColumn("len", F.size("iw")).withColumn("tid", F.xxhash64("iw")), "items")
     stats = own.agg(F.max("len").alias("longest"), F.sum("len").alias("all"), F.collect_set(F.least("len", F.lit(SHINGLE))).alias("sizes")).first()
     small = (stats["all"] or 0) <= BROADCAST_SHINGLES
     light = F.broadcast if small else lambda d: d
@@ -137,10 +138,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     windows = cut(windows.withColumn("fp", simhash(F.col("ww"), lane)), "windows")
 
     side = lambda d, fp, *more: d.select(*more, "len", F.col(fp), F.explode(_blocks(F.col(fp), radius)).alias("b")).select(*more, "len", fp, F.col("b.no").alias("no"), F.col("b.bits").alias("bits"))
-    index = side(own.withColumn("ifp", simhash(F.col("iw"), lane)), "ifp", "item_id")
+    index = side(own.withColumn("ifp", simhash(F.col("iw"), lane)), "ifp", "item_id", "tid")
     keys = side(windows.select("len", "fp").distinct(), "fp")
-    close = keys.join(light(index), ["len", "no", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius).select("len", "fp", "item_id").distinct()
-    pairs = windows.join(close, ["len", "fp"]).join(light(own.select("item_id", "iw")), "item_id")
+    close = keys.join(light(index), ["len", "no", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius).select("len", "fp", "item_id", "tid").distinct()
+    pairs = windows.join(close, ["len", "fp"]).join(light(own.select("item_id", "tid", "iw")), ["item_id", "tid"])
     grams = lambda c: F.when(F.least("len", F.lit(SHINGLE)) == SHINGLE, shingles(F.col(c), SHINGLE)).otherwise(F.array(F.xxhash64(F.col(c))))
     scored = pairs.withColumn("similarity", similarity(grams("ww"), grams("iw"))).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("at"), F.size("ww").alias("n_words")))
