@@ -18,8 +18,9 @@
 Document copies are collapsed to one class by (size, two 64-bit set hashes).
 
 Defined cases: null or empty text and text without words have no shingle and link with
-nothing; fewer words than ``k`` are one shingle; rows that repeat a doc_id count as the
-same document; a null doc_id never names a component unless nothing else is in it; other
+nothing; fewer words than ``k`` are one shingle; rows that repeat a doc_id with
+other texts are documents of their own, each in its own text's component; a text of rows with null ids links
+like any other, and a null doc_id never names a component unless nothing else is in it; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,15 +99,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """(c1, s): the class and the shingles of each (doc_id, text, c1) row whose text is of
-    that class; an id may be repeated with other texts."""
+    that class, or of any class if c1 is null; an id may be repeated with other texts."""
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 sets = shingle_sets([t or "" for t in part.column(1).to_pylist()], k)
-                own = signed(np.array([_class_hashes(s)[0] for s in sets], np.uint64)) == part.column(2).to_numpy()
-                whole = pa.RecordBatch.from_arrays([part.column(2), list_array(signed(np.concatenate(sets)), list(map(len, sets)), pa.int64())], names=["c1", "s"])
-                yield whole.filter(pa.array(own))
+                c1 = pa.array(signed(np.array([_class_hashes(s)[0] for s in sets], np.uint64)))
+                own = pc.coalesce(pc.equal(part.column(2), c1), True)
+                yield pa.RecordBatch.from_arrays([c1, list_array(signed(np.concatenate(sets)), list(map(len, sets)), pa.int64())], names=["c1", "s"]).filter(own)
 
     return docs.mapInArrow(run, "c1 long, s array<long>")
 
@@ -174,7 +176,10 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, p: int
     wanted = pairs.select(F.col("a").alias("c1")).union(pairs.select(F.col("b").alias("c1"))).distinct()
     reps = cut(classes.join(wanted, "c1", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id"), "c1"), "reps")
     few = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-    sets = _shingle_sets(docs.join(few, "doc_id").select("doc_id", "text", "c1"), k).groupBy("c1").agg(F.first("s").alias("s"))
+    sets = _shingle_sets(docs.join(few, "doc_id").select("doc_id", "text", "c1"), k)
+    nameless = classes.join(wanted, "c1", "left_semi").where("rep is null").select("c1")  # all their rows have null ids
+    lost = _shingle_sets(docs.where("doc_id is null").withColumn("c1", F.lit(None).cast("long")), k).join(nameless, "c1", "left_semi")
+    sets = sets.union(lost).groupBy("c1").agg(F.first("s").alias("s"))
     return _verified(pairs, sets, p, q)
 
 

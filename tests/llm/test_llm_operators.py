@@ -254,6 +254,27 @@ def test_single_repeated_lines_go(spark):
 
 # --- 10: quality --------------------------------------------------------------------------
 
+def test_an_item_with_two_texts_is_searched_by_both(spark):
+    rng = random.Random(21)
+    a, b, c = (" ".join(words(rng, 40)) for _ in range(3))
+    items = spark.createDataFrame([(1, a), (1, b), (1, b), (2, c)], "item_id long, text string")
+    docs = table(spark, [a, f"{c} tail", f"head {b} tail", " ".join(words(rng, 60))])
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_texts_of_null_ids_link(spark):
+    """The case of a null-id text near to documents 5 and 9, which are not near to each other's copies otherwise."""
+    rng = random.Random(22)
+    base = words(rng, 60)
+    near = lambda n: " ".join(base[:-n] + words(rng, n))
+    far = " ".join(words(rng, 60))
+    rows = [(None, " ".join(base)), (5, near(2)), (9, near(3)), (7, far), (None, far), (None, " ".join(words(rng, 30)))]
+    df = spark.createDataFrame([(i, x, "en") for i, x in rows], "doc_id long, text string, lang string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()), key=str)
+    assert got == sorted([(None, 56, 5), (5, 56, 5), (9, 56, 5), (7, 56, 7), (None, 56, 7), (None, 26, None)], key=str)
+
+
 def test_quality_counts_and_adaptive_fence(spark):
     rng = random.Random(8)
     texts = [*EDGE, "x y z " * 30, "same line\n" * 5 + " ".join(words(rng, 30)), "# $ " + " ".join(words(rng, 25))]
@@ -289,6 +310,43 @@ def test_quality_fence_follows_the_groups_spread(spark):
     assert not any(r["kept"] for r in quality.judge(table(spark, junk)).collect() if r["doc_id"] > 100)
 
 
+def test_symbol_fences_differ_by_group_and_no_fence_is_zero(spark):
+    rng = random.Random(8)
+    text = lambda symbols, again=0: "\n".join([" ".join(words(rng, 30)) for _ in range(8)] + ["same line here"] * (again + 1 if again else 0) + ["#" * symbols])
+    texts = [text(0) for _ in range(180)] + [text(60 + k) for k in range(20)]  # aa: symbols are rare and many
+    texts += [text(k % 4) for k in range(180)] + [text(200) for _ in range(20)]  # bb: a few symbols are usual
+    texts += [text(0, 1) for _ in range(2)]  # one repeated line
+    langs = ["aa"] * 200 + ["bb"] * 200 + ["aa", "bb"]
+    df = table(spark, texts, langs)
+    rows = quality.measure(df)
+    fence = {r["lang"]: r for r in quality.fences(quality.sketches(rows), 4.0, 50).collect()}
+    assert 0 < fence["aa"]["symbols_hi"] < 60 / 241 and fence["aa"]["symbols_hi"] != fence["bb"]["symbols_hi"]
+    assert all(f[f"{r}_hi"] > 0 for f in fence.values() for r in quality.RATES)
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+    rate = {r["doc_id"]: r["n_symbols"] / r["n_words"] for r in rows.collect()}
+    assert all(not got[i] for i in rate if rate[i] > fence[langs[i - 1]]["symbols_hi"])
+    assert not any(got[i] for i in range(181, 201)) and not any(got[i] for i in range(381, 401)) and got[401] and got[402]
+    assert sum(got[i] for i in range(1, 181)) >= 176 and sum(got[i] for i in range(201, 381)) >= 176
+
+
+def test_kept_follows_the_fences(spark):
+    """``kept`` against the rates and the fences, row by row, and the fences against exact percentiles."""
+    rng = random.Random(12)
+    texts = [" ".join(words(rng, rng.randrange(20, 60))) + " " + "#" * (rng.randrange(5, 50) if rng.random() < 0.2 else 0) for _ in range(300)]
+    df = table(spark, texts, ["aa"] * 150 + ["bb"] * 150)
+    rows = {r["doc_id"]: r for r in quality.measure(df).collect()}
+    fence = {r["lang"]: r for r in quality.fences(quality.sketches(quality.measure(df)), 4.0, 50).collect()}
+    for r in quality.judge(df).collect():
+        m, f = rows[r["doc_id"]], fence["aa" if r["doc_id"] <= 150 else "bb"]
+        inside = all(f[f"{n}_lo"] <= m[a] / max(1, m[b]) <= f[f"{n}_hi"] for n, (a, b, *_) in quality.RATES.items())
+        assert r["kept"] == (not r["base_failed"] and inside)
+    for lang, ids in (("aa", range(1, 151)), ("bb", range(151, 301))):
+        v = np.array([rows[i]["n_symbols"] / rows[i]["n_words"] for i in ids])
+        q1, q3 = np.quantile(v, [0.25, 0.75], method="inverted_cdf")
+        want = max(q3 + 4 * (q3 - q1), 0.5 * np.quantile(v[v > 0], 0.05, method="inverted_cdf"))
+        assert fence[lang]["symbols_hi"] == pytest.approx(want, rel=3 * quality.REL)
+
+
 def test_sketches_merge_to_the_whole(spark):
     df = table(spark, [" ".join(["w" * (1 + k % 9)] * (20 + k)) for k in range(200)])
     rows = quality.measure(df)
