@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 from tabvet.llm.common import cut, only_ids, rows_of
 
 BITS = 16  # 2^BITS buckets a language
+SALTS = 64  # parts of a language that are ranked apart before the survivors are ranked together
 PER_LANG = 4000  # training documents a language at most
 MAX_LANGS = 256  # bounds the model: MAX_LANGS * 2^BITS floats
 TOP = 8  # languages that enter the set search
@@ -61,8 +62,10 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     rows = rows.where("lang is not null and doc_id is not null and text is not null")
     if where is not None:
         rows = rows.where(where)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = cut(rows.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= per_lang).select("doc_id"), "sample")
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    few = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).alias("salt")).withColumn("r", rank("lang", "salt")).where(F.col("r") <= per_lang)
+    chosen = cut(few.withColumn("r", rank("lang")).where(F.col("r") <= per_lang).select("doc_id"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -77,7 +80,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     def add(key, table):
         return pa.table({"lang": [key[0].as_py()], "n": pa.array([sum(x.values.to_numpy() for x in table.column("n"))], pa.list_(pa.int64()))})
 
-    part = only_ids(rows, chosen).select("lang", "text").coalesce(16).mapInArrow(count, "lang string, n array<long>")
+    part = only_ids(rows, chosen).select("lang", "text").repartition(16).mapInArrow(count, "lang string, n array<long>")
     found = sorted(part.groupBy("lang").applyInArrow(add, "lang string, n array<long>").limit(MAX_LANGS + 1).toArrow().to_pylist(), key=lambda r: r["lang"])
     if len(found) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
