@@ -33,13 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import rows_of, texts_of
+from tabvet.llm.common import frugal, rows_of, texts_of
 
 LEAF = 4096  # bytes of a pre-token that are encoded at once
 SEGMENT = 1 << 16  # characters of a text above which it is encoded as several rows
 CACHE = 20_000  # entries of a cache generation; a worker holds a few (some 10 MB)
 KNOWN = 1 << 18  # short pieces that a worker keeps with their ids, in flat arrays (some 20 MB)
-BYTES = 1 << 22  # of text encoded at once
+BYTES = 1 << 20  # of text encoded at once
 BLOCK = 1 << 11  # bytes of distinct pieces given to the library at once
 _TOUCH = re.compile(r"\s[ \n]|[ \n]\s")
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
@@ -353,9 +353,9 @@ def encode_with(df: DataFrame, finish: Finish, schema: str, path: str | None = N
 
     is_long = F.coalesce(F.length("text") > segment, F.lit(False))
     long = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").where(is_long)
-    units = long.mapInArrow(cut_up, "row long, doc_id long, unit long, tree long, raw string, ids binary").repartition("row", "unit")
-    encoded = units.mapInArrow(encode_units, "row long, doc_id long, unit long, tree long, ids binary")
-    return docs.where(~is_long).mapInArrow(short, full).union(encoded.groupBy("row").applyInArrow(put_together, full))
+    units = long.mapInArrow(frugal(cut_up), "row long, doc_id long, unit long, tree long, raw string, ids binary").repartition("row", "unit")
+    encoded = units.mapInArrow(frugal(encode_units), "row long, doc_id long, unit long, tree long, ids binary")
+    return docs.where(~is_long).mapInArrow(frugal(short), full).union(encoded.groupBy("row").applyInArrow(put_together, full))
 
 
 def _arrow_schema(spark, ddl: str) -> pa.Schema:
@@ -378,7 +378,7 @@ def decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_c
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([enc.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(frugal(run), "doc_id long, text string")
 
 
 def round_trip(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

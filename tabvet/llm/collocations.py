@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import cut, mix, split_words, word_hashes
+from tabvet.llm.common import cut, frugal, mix, split_words, word_hashes
 
 SLOTS = 26  # 2^26 bits (8 MB) for each phrase length
 CHUNK = 1 << 22  # bytes of text counted at once: some 100 MB of a worker
@@ -133,7 +133,7 @@ def counted(docs: DataFrame, n: int, seen: list, chunk: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(got[0][z], pa.string()), got[1][z].cast(pa.binary()).cast(pa.string()),
                                                   pa.array(got[2][z], pa.int64())], names=["lang", "phrase", "a"])
 
-    return docs.mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    return docs.mapInArrow(frugal(run), "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
 def bitmap(phrases: DataFrame, n: int):
@@ -149,7 +149,7 @@ def bitmap(phrases: DataFrame, n: int):
             yield pa.RecordBatch.from_arrays([pa.array(_slots(out).astype(np.int64) + 1)], names=["slot"])
 
     spark = phrases.sparkSession
-    slots = phrases.select("lang", "phrase").mapInArrow(run, "slot long")
+    slots = phrases.select("lang", "phrase").mapInArrow(frugal(run), "slot long")
     rows = slots.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
     out = np.zeros(1 << (SLOTS - 3), np.uint8)
     for b, bits in rows:

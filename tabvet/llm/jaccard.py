@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabvet.llm.common import BROADCAST_IDS, cut, list_array, mix, only_ids, rows_of, shingle_sets, signed, texts_of
+from tabvet.llm.common import BROADCAST_IDS, cut, frugal, list_array, mix, only_ids, rows_of, shingle_sets, signed, texts_of
 from tabvet.llm.graph import components
 from tabvet.llm.sketch import block_keys, dense_sketch, shared_keys
 
@@ -58,7 +58,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                 list_array(signed(np.concatenate(sk)), list(map(len, sk)), pa.int64()),
             ], names=["doc_id", "n", "c1", "c2", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>")
+    return docs.mapInArrow(frugal(run), "doc_id long, n long, c1 long, c2 long, sketch array<long>")
 
 
 def _keys(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -75,7 +75,7 @@ def _keys(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
             c1 = np.array([c for c, _ in sets], np.uint64)[row] if sets else key
             yield pa.RecordBatch.from_arrays([pa.array(signed(c1)), pa.array(signed(key))], names=["c1", "key"])
 
-    return docs.mapInArrow(run, "c1 long, key long")
+    return docs.mapInArrow(frugal(run), "c1 long, key long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -94,7 +94,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    return both.mapInArrow(run, "u long, v long").distinct()
+    return both.mapInArrow(frugal(run), "u long, v long").distinct()
 
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -109,7 +109,7 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 own = pc.coalesce(pc.equal(part.column(2), c1), True)
                 yield pa.RecordBatch.from_arrays([c1, list_array(signed(np.concatenate(sets)), list(map(len, sets)), pa.int64())], names=["c1", "s"]).filter(own)
 
-    return docs.mapInArrow(run, "c1 long, s array<long>")
+    return docs.mapInArrow(frugal(run), "c1 long, s array<long>")
 
 
 def _near(a: str, b: str, p: int, q: int) -> F.Column:

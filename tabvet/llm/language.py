@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabvet.llm.common import cut, only_ids, rows_of
+from tabvet.llm.common import cut, frugal, only_ids, rows_of
 
 BITS = 16  # 2^BITS buckets a language
 SALTS = 64  # parts of a language that are ranked apart before the survivors are ranked together
@@ -80,7 +80,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     def add(key, table):
         return pa.table({"lang": [key[0].as_py()], "n": pa.array([sum(x.values.to_numpy() for x in table.column("n"))], pa.list_(pa.int64()))})
 
-    part = only_ids(rows, chosen).select("lang", "text").repartition(16).mapInArrow(count, "lang string, n array<long>")
+    part = only_ids(rows, chosen).select("lang", "text").repartition(16).mapInArrow(frugal(count), "lang string, n array<long>")
     found = sorted(part.groupBy("lang").applyInArrow(add, "lang string, n array<long>").limit(MAX_LANGS + 1).toArrow().to_pylist(), key=lambda r: r["lang"])
     if len(found) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
@@ -147,7 +147,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
                 pa.array([min(1.0, float(p[k])) if ok else 0.0 for p, k, ok in zip(pi, top, known)], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(frugal(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, min_score: float = 0.5) -> DataFrame:

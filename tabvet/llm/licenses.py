@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabvet.llm.common import rolling, rows_of, texts_of, word_hashes
+from tabvet.llm.common import frugal, rolling, rows_of, texts_of, word_hashes
 
 GRAM, WINDOW, BAND = 3, 2, 8
 MAX_TEMPLATE_WORDS = 1_000_000  # bounds the index that tasks hold
@@ -153,4 +153,4 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templ
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
     names = ["doc_id", "template", "coverage", "n_matched", "first_word", "last_word"]
-    return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, template string, coverage double, n_matched long, first_word long, last_word long")
+    return texts_of(df, id_col, text_col).mapInArrow(frugal(run), "doc_id long, template string, coverage double, n_matched long, first_word long, last_word long")

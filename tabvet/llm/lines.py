@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tabvet.llm.common import cut, free_name, list_array, mix, rows_of, signed, texts_of
+from tabvet.llm.common import cut, free_name, frugal, list_array, mix, rows_of, signed, texts_of
 
 WINDOW = 2
 LONG = 50
@@ -62,7 +62,7 @@ def _line_table(docs: DataFrame, window: int, long: int) -> DataFrame:
                      for x, kind in ((h, pa.int64()), (at, pa.int32()), (fp, pa.int64()), (pos, pa.int32()))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(signed(np.array(whole, np.uint64))), *lists], names=["doc_id", "whole", "h", "at", "fp", "pos"])
 
-    return docs.mapInArrow(run, "doc_id long, whole long, h array<long>, at array<int>, fp array<long>, pos array<int>")
+    return docs.mapInArrow(frugal(run), "doc_id long, whole long, h array<long>, at array<int>, fp array<long>, pos array<int>")
 
 
 def _extend(matches: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def _extend(matches: DataFrame) -> DataFrame:
                 removed.append(sorted(gone))
             yield pa.RecordBatch.from_arrays([pa.array([d.as_py() for d in docs], pa.int64()), pa.array(removed, pa.list_(pa.int32()))], names=["doc_id", "removed"])
 
-    return matches.select("doc_id", "h", "at", "src_h", "p", "q").mapInArrow(run, "doc_id long, removed array<int>")
+    return matches.select("doc_id", "h", "at", "src_h", "p", "q").mapInArrow(frugal(run), "doc_id long, removed array<int>")
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, long: int = LONG) -> DataFrame:

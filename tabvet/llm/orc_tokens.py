@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabvet.llm.bpe import default_path, encoder, groups
-from tabvet.llm.common import cut, list_array, texts_of
+from tabvet.llm.common import cut, frugal, list_array, texts_of
 
 END_ID = 0
 STRIPE_BYTES = 64 << 20
@@ -42,7 +42,7 @@ def write_tokens(df: DataFrame, out: str, path: str | None = None, id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), list_array(closed, np.diff(at) + 1, pa.int32())], names=["doc_id", "ids"])
 
     docs = texts_of(df, id_col, text_col).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
-    (docs.mapInArrow(run, "doc_id long, ids array<int>").write
+    (docs.mapInArrow(frugal(run), "doc_id long, ids array<int>").write
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd").orc(out))
 
@@ -63,7 +63,7 @@ def token_index(spark: SparkSession, out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["file", "doc_id", "n_tokens", "ids_crc32"])
 
     rows = read_tokens(spark, out).select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids")
-    rows = cut(rows.mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long"), "index")
+    rows = cut(rows.mapInArrow(frugal(run), "file string, doc_id long, n_tokens long, ids_crc32 long"), "index")
     files = rows.groupBy("file").agg(F.min("doc_id").alias("first"), F.sum("n_tokens").alias("total"))
     before = Window.orderBy(F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     files = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabvet.llm.common import cut, only_ids, rolling, word_hashes
+from tabvet.llm.common import cut, frugal, only_ids, rolling, word_hashes
 
 REL = 0.01
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -81,7 +81,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     names = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
                      F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in names[3:]))
+    return rows.mapInArrow(frugal(run), "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in names[3:]))
 
 
 def sketches(measures: DataFrame) -> DataFrame:

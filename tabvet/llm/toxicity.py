@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import cut, mix, rows_of, split_words
+from tabvet.llm.common import cut, frugal, mix, rows_of, split_words
 
 PER_CLASS = 3000  # documents of a class that the network is fitted on
 BUCKETS = 1 << 16
@@ -218,7 +218,7 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = PER
         if {r[3] for r in rows} == {0, 1}:
             yield pa.RecordBatch.from_arrays([pa.array([train([r[1:] for r in rows]).dump()], pa.binary())], names=["model"])
 
-    got = sample.repartition(1).mapInArrow(run, "model binary").first()
+    got = sample.repartition(1).mapInArrow(frugal(run), "model binary").first()
     return got and bytes(got[0])
 
 
@@ -247,7 +247,7 @@ def logits(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(z.astype(float)), pa.array(langs, pa.string())], names=["doc_id", "z", "lang"])
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, z double, lang string")
+    return docs.mapInArrow(frugal(run), "doc_id long, z double, lang string")
 
 
 def best_threshold(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
