@@ -413,31 +413,50 @@ def test_lm_scores_depend_on_the_order_of_words(spark):
     assert got[61]["bits_per_byte"] < 0.5 * got[62]["bits_per_byte"]
 
 
-def test_lm_text_bits_do_not_depend_on_grouping():
-    rng, np_rng = random.Random(17), np.random.default_rng(17)
-    table = np_rng.integers(0, 9, (2, lm.ORDERS << lm.BITS)).astype(np.uint16)
-    odds, w = lm.log_odds(table), np_rng.normal(0.3, 0.1, (lm.PLACES * lm.SURE, lm.ORDERS)).astype(np.float32)
-    texts = [lm._tokens(" ".join(words(rng, n))) for n in (0, 1, 3, 9000)]
-    one = [lm.text_bits(t, [len(t)], odds, w)[0] for t in texts]
-    assert lm.text_bits(sum(texts, []), list(map(len, texts)), odds, w) == pytest.approx(one, rel=1e-4)
-
-
-def test_spelling_is_a_distribution():
-    """All words of one bit pattern tree: the probabilities of a byte's values add to one."""
-    rng = np.random.default_rng(11)
-    counts = rng.integers(0, 5, (2, lm.ORDERS * (1 << lm.BITS))).astype(np.float32)
-    w = rng.normal(0.3, 0.1, (lm.PLACES * lm.SURE, lm.ORDERS))
-    one_byte = [bytes([b]) for b in range(256)]
-    first = sum(2.0 ** -bits for bits in _first_byte_bits(one_byte, counts, w))
-    assert first == pytest.approx(1.0, abs=1e-4)
-
-
-def _first_byte_bits(ws, counts, w):
-    slots, bit, place, word = lm._bit_events(ws)
-    x, sure = lm._inputs(counts, slots)
-    z = np.clip((x * w[place * lm.SURE + sure]).sum(1), -16, 16)
-    cost = np.logaddexp(0, np.where(bit > 0, -z, z)) / np.log(2)
-    return np.bincount(word[place == 0], cost[place == 0])
+def _random_model(code):
+    rng = np.random.default_rng(17)
+    counts = rng.integers(0, 9, (lm.HASHED << lm.BITS, 2)).astype(np.uint16)
+    w = rng.normal(0.3, 0.1, (lm.DEPTHS * lm.SURE, lm.HASHED + 1))
+    return lm.Model(code, lm.BITS, lm._pack(counts), w)
+
+
+def test_lm_token_bits_do_not_depend_on_grouping():
+    rng = random.Random(17)
+    names = {w: k for k, w in enumerate([b"", *sorted({w.encode() for w in words(rng, 300)})])}
+    cost = _random_model(lm.Code.of([5 + k % 7 for k in range(len(names) + 1)])).ready()
+    texts = [" ".join([*words(rng, n), "NeverSeen"][:n]) for n in (0, 1, 3, 9000)]
+
+    def bits(group):
+        out = []
+        for part in lm.split_texts(group):
+            symbol, contexts, offsets = lm.stream(*part, names.get, len(names))
+            out += np.add.reduceat(cost(symbol, contexts), offsets[:-1]).tolist()
+        return out
+
+    assert bits(texts) == pytest.approx([bits([t])[0] for t in texts], rel=1e-5)
+
+
+def test_lm_bits_are_a_distribution():
+    """In any context the probabilities of all symbols of a code add to one, for words and for bytes."""
+    for size in (1, 2, 257, 1000):
+        code = lm.Code.of([1 + k * k % 97 for k in range(size)])
+        contexts = np.repeat(np.array([[3], [5], [7]], np.uint64), size, 1)
+        cost = _random_model(code).ready()(np.arange(size), contexts)
+        assert np.sum(2.0 ** -cost) == pytest.approx(1.0, abs=1e-4)
+
+
+def test_lm_counts_do_not_depend_on_splits(spark):
+    rng = random.Random(18)
+    texts = [" ".join(words(rng, 60, 80)) for _ in range(60)]
+    cols = ("doc_id", "n_tokens", "n_known", "train_tokens")
+    got = []
+    for splits in (1, 16):
+        out = lm.score(table(spark, texts).repartition(splits), F.col("doc_id") <= 50, top=30).collect()
+        got.append({r["doc_id"]: r for r in out})
+    for i, r in got[0].items():
+        other = got[1][i]
+        assert [r[c] for c in cols] == [other[c] for c in cols]
+        assert r["base_score"] == pytest.approx(other["base_score"]) and r["score"] == pytest.approx(other["score"], rel=0.1)
 
 
 # --- 4: WARC ------------------------------------------------------------------------------
