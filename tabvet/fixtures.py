@@ -119,16 +119,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+SPLIT_BYTES = 4 << 20  # Parquet bytes of a driver table (about 230,000 rows) that one task works on
+
+
+def splits(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Tasks to deal a driver table's rows over: its files are few splits. At least the cores, and more for a larger table,
+    so that a task's rows don't grow with the table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(spark.sparkContext.defaultParallelism, -(-size // SPLIT_BYTES))
+
+
 def register_sources(spark: SparkSession, sf_dir: str, names=("orders", "lineitem", "part", "events"),
                      rebalance: bool = False) -> None:
     """Temp views of the driver tables; file position exposed as ``_row_index``.
 
-    ``rebalance`` deals the rows over the cores: the driver's files are one split each."""
+    ``rebalance`` deals the rows over ``splits`` tasks."""
     from tabvet.sources.readers import balanced
 
     for name in names:
         df = read_table(spark, sf_dir, name).withColumn("_row_index", F.col("_metadata.row_index"))
-        balanced(df, spark.sparkContext.defaultParallelism if rebalance else None).createOrReplaceTempView(name)
+        balanced(df, splits(spark, sf_dir, name) if rebalance else None).createOrReplaceTempView(name)
 
 
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -206,7 +207,7 @@ def skeleton_sql(x: str, fmt: str) -> str | None:
     When every directive of ``fmt`` matches only digits (``%d`` also a space), a
     matching value with its digits and whitespace deleted equals the format's literal
     characters without whitespace, in order. Checking that first lets most values skip
-    the format's regex. Letters compare case-insensitively, as strptime does.
+    the format's regex. Letters compare case-insensitively (ASCII ones, as in the format's regex).
     """
     literals, i = [], 0
     while i < len(fmt):
@@ -224,7 +225,7 @@ def skeleton_sql(x: str, fmt: str) -> str | None:
         return None
     # digits and Python whitespace as one literal (SQL's char(n) works modulo 256,
     # so the characters themselves are written into the literal)
-    return f"translate(lower({x}), {_ws_literal('0123456789')}, '') = '{skel}'"
+    return f"translate({x}, {_ws_literal(ascii_uppercase + '0123456789')}, '{ascii_lowercase}') = '{skel}'"
 
 
 def strptime_from_parts_sql(parts: str, fmt: str | CompiledFormat) -> str:

@@ -16,6 +16,7 @@ microseconds are cut; AM/PM needs an hour up to 12; weekday names don't matter.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,13 +50,19 @@ def _role(array: str, role: str) -> str:
 
 
 def _int(text: str) -> str:
-    return f"try_cast({text} AS INT)"
+    """The number of a group of digits. An unused group is empty and counts as 0: a failed cast throws and catches an exception a row."""
+    return f"try_cast(concat('0', {text}) AS INT)"
+
+
+def lower_sql(x: str) -> str:
+    """ASCII letters in lower case; ``lower`` goes through ICU for every cell, and no other letter is part of a date."""
+    return f"translate({x}, '{ascii_uppercase}', '{ascii_lowercase}')"
 
 
 def parts_sql(x: str) -> str:
-    """The captured groups of a complete date as an array, null for anything else."""
+    """The captured groups of a complete date in lower case as an array, null for anything else."""
     groups = _SEP.join(f"${k + 1}" for k in range(len(_ROLES)))
-    return f"CASE WHEN lower({x}) RLIKE r'{REGEX}' THEN split(regexp_replace(lower({x}), r'{REGEX}', '{groups}'), '{_SEP}') END"
+    return f"CASE WHEN {x} RLIKE r'{REGEX}' THEN split(regexp_replace({x}, r'{REGEX}', '{groups}'), '{_SEP}') END"
 
 
 def numbers_sql(parts: str) -> dict[str, str]:
@@ -86,7 +93,7 @@ def date_sql(n: dict[str, str], year: int) -> dict[str, str]:
 
 def timestamp_sql(f: dict[str, str]) -> str:
     """The timestamp of year, month, day and the split clock (hour, minute, second, fraction, a or p)."""
-    at = lambda k: f"coalesce(try_cast(element_at({f['t']}, {k}) AS INT), 0)"
+    at = lambda k: _int(f"element_at({f['t']}, {k})")
     half = f"element_at({f['t']}, 5)"
     hour = f"(CASE WHEN {half} = '' THEN {at(1)} WHEN {at(1)} <= 12 THEN {at(1)} % 12 + CASE WHEN {half} = 'p' THEN 12 ELSE 0 END END)"
     seconds = f"cast(cast({at(3)} AS decimal(16,6)) + cast({at(4)} AS decimal(16,6)) / 1000000 AS decimal(8,6))"
@@ -109,8 +116,9 @@ def stage(st, x: str, year: int, need: str | None = None, after: tuple[str, ...]
     """Stage the parse of column ``x``, only where the condition ``need`` over the columns ``after`` holds."""
     from tabvet.functions.dates import ident
 
-    sql = parts_sql(ident(x))
-    parts = st.add(F.expr(f"CASE WHEN {need} THEN {sql} END" if need else sql), [x, *after])
+    sql = lower_sql(ident(x))
+    lower = st.add(F.expr(f"CASE WHEN {need} THEN {sql} END" if need else sql), [x, *after])
+    parts = st.add(F.expr(parts_sql(ident(lower))), [lower])
 
     def each(values: dict[str, str], deps: list[str]) -> dict[str, str]:
         return {k: st.add(F.expr(v), deps) for k, v in values.items()}
@@ -128,7 +136,7 @@ def freeform_sql(x: str, year: int) -> str:
 
     numbers, fields = numbers_sql("p0"), ("y", "mo", "d", "t")
     inner = bind(date_sql({k: f"n0.{k}" for k in numbers}, year), "d0", timestamp_sql({k: f"d0.{k}" for k in fields}))
-    return f"element_at(transform(array({parts_sql(x)}), p0 -> {bind(numbers, 'n0', inner)}), 1)"
+    return f"element_at(transform(array({parts_sql(lower_sql(x))}), p0 -> {bind(numbers, 'n0', inner)}), 1)"
 
 
 def offset_minutes(offset: Column) -> Column:

@@ -27,6 +27,16 @@ ROW = "row_number"
 SOURCE = "_source"  # the row's file inside a validated frame; reports call it source_file
 
 
+JIT_BYTES = "8000"  # HotSpot compiles no larger method, so a larger stage is interpreted row by row
+
+
+def _split_large_stages(spark) -> None:
+    """A stage whose method is too large for HotSpot runs as its operators' own, smaller methods, unless the session sets a limit."""
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(limit) == "65535":  # Spark's default
+        spark.conf.set(limit, JIT_BYTES)
+
+
 def as_of_literal(as_of: datetime | str) -> Column:
     text = as_of.isoformat(sep=" ") if isinstance(as_of, datetime) else str(as_of)
     return F.lit(text).cast("timestamp_ntz")
@@ -212,6 +222,7 @@ def validate(df: DataFrame, rules: RuleSet, *, as_of: datetime | str, row_number
     if phone_region not in ("row", "default"):
         raise RuleError(f"unknown phone_region {phone_region!r}")
     spark = df.sparkSession
+    _split_large_stages(spark)
     input_columns = [c for c in df.columns if c != row_number]
     if source_file is not None:
         df = df.withColumn(SOURCE, F.col(source_file).cast("string"))

@@ -14,3 +14,23 @@ def test_query_compiles(spark, name):
         QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
     finally:
         spark.conf.set("spark.sql.codegen.fallback", "true")
+
+
+def test_large_stages_are_split(spark):
+    """HotSpot compiles no method above 8000 bytes: a validator's stage beyond that was interpreted row by row."""
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(limit)
+    QUERIES["check_date_order_month_first"](spark, SF)
+    assert spark.conf.get(limit) == "8000"
+    spark.conf.set(limit, "9000")  # a session's own choice stays
+    QUERIES["check_date_order_month_first"](spark, SF)
+    assert spark.conf.get(limit) == "9000"
+    spark.conf.unset(limit)
+
+
+def test_a_task_has_no_more_rows_of_a_larger_table(spark, monkeypatch):
+    from tabvet import fixtures as fx
+    monkeypatch.setattr(fx, "SPLIT_BYTES", 500)
+    for query in ("check_date_order_month_first", "normalize_date_shapes", "annotate_rows"):
+        assert fx.splits(spark, SF, "orders") > spark.sparkContext.defaultParallelism
+        assert f"RoundRobinPartitioning({fx.splits(spark, SF, 'orders')})" in QUERIES[query](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -182,3 +182,14 @@ def test_multi_format_path_with_prefilter(spark):
                 return p
         return None
     assert got == [py(v) for v in values]
+
+
+def test_freeform_case_is_folded_for_ascii_only(spark):
+    """``lower`` goes through ICU for every cell; casts of unused (empty) groups threw and caught an exception each."""
+    from tabvet.functions.freeform import freeform_sql
+    sql = freeform_sql("x", 2024)
+    assert "lower(" not in sql and all("try_cast(concat('0'," in sql[k:k + 20] for k in range(len(sql)) if sql.startswith("try_cast(", k))
+    texts = ["MARCH 5, 2021 3:04 pm", "5 mar 21", "20210305T030405", "2021-03-05t10:00:00 Utc", "\u212aarch 5, 2021", "13/2/2020", "2020-02-30", "Oct 2020", "0/1/2020"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = [r[0] and str(r[0]) for r in df.select(F.expr(sql)).collect()]
+    assert got == ["2021-03-05 15:04:00", "2021-03-05 00:00:00", "2021-03-05 03:04:05", "2021-03-05 10:00:00", None, "2020-02-13 00:00:00", None, None, None]
