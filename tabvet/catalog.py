@@ -249,7 +249,7 @@ def merge_chunks(spark, sf):
 
 
 def _table_stream(spark, sf, name: str) -> DataFrame:
-    return streaming.read_table_stream(spark, fx.table_path(sf, name), fx.read_table(spark, sf, name).schema)
+    return streaming.read_table_stream(spark, fx.table_path(sf, name), fx.read_table(spark, sf, name).schema, bytes_per_trigger=256 << 20)
 
 
 def _payment_stream(spark, events: DataFrame):

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -33,11 +33,13 @@ def validate_stream(stream: DataFrame, rules: RuleSet, *, as_of: datetime | str,
     return validate(stream, rules, as_of=as_of, row_number=row_number, **kwargs)
 
 
-def read_table_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
-    """A stream over the files of a Parquet table, whether its path is a folder of part files or one file."""
+def read_table_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1, bytes_per_trigger: int | None = None) -> DataFrame:
+    """A stream over the files of a Parquet table, whether its path is a folder of part files or one file. A micro-batch is
+    ``files_per_trigger`` files or, if given, whole files of about ``bytes_per_trigger``."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    most = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(schema).option(*most)
     if fs.getFileStatus(target).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", target.getName()).parquet(target.getParent().toString())
@@ -125,82 +127,83 @@ def late_rows(stream: DataFrame, event_time: str, window: str = "1 day", waterma
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 4096  # groups that keys are dealt over; one holds some thousand keys of a stream of ten million
 
 
-def unique_within(stream: DataFrame, key: str, event_time: str, horizon: str, watermark: str = "1 day", row_number: str = "row_number") -> DataFrame:
+def _bucketed(stream: DataFrame, key: str, row_number: str, *columns: Column, buckets: int) -> DataFrame:
+    """(row_number, trimmed key, columns, bucket) of the rows with a present key. The state is kept in RocksDB, outside the JVM's heap."""
+    from tabvet.functions.text import py_trim
+
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return (stream.select(F.col(row_number).cast("long").alias("row_number"), py_trim(F.col(key)).alias("key"), *columns)
+            .where(F.col("key").isNotNull() & (F.col("key") != "")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")))
+
+
+def unique_within(stream: DataFrame, key: str, event_time: str, horizon: str, watermark: str = "1 day", row_number: str = "row_number",
+                  buckets: int = BUCKETS) -> DataFrame:
     """ST2 with expiring state: ``(row_number, key, duplicate)`` for every row with a present key; a row is a
     duplicate if its trimmed key occurred within ``horizon`` before it, by event time (ties by ``row_number``).
 
-    State is one number a key, its latest event time, in RocksDB. A timer at that time plus the horizon drops
-    it once the watermark has passed, so state is bounded by the keys of one horizon. Rows older than the watermark are dropped, as
-    in every event-time operator. A group holds one key's rows of one micro-batch: bounded by the trigger size.
+    Keys are dealt over ``buckets`` by their hash, and a group is a bucket: a call of Python a key costs more than its work. State is
+    each bucket's keys and their latest event times, in RocksDB. A key is dropped when the watermark has passed its time plus the
+    horizon (by a timer, if its bucket has no rows), so state is bounded by the keys of one horizon. Rows older than the watermark are
+    dropped, as in every event-time operator. A group holds one bucket's rows of one micro-batch: bounded by the trigger size.
     """
     import numpy as np
     import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor
-
-    from tabvet.functions.text import py_trim
+    from pyspark.sql.streaming.state import GroupStateTimeout
 
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     span = spark.range(1).select(F.expr(f"unix_millis(timestamp '2000-01-01 00:00:00' + INTERVAL {horizon}) - unix_millis(timestamp '2000-01-01 00:00:00')")).first()[0]
 
-    class Latest(StatefulProcessor):
-        def init(self, handle):
-            self.handle, self.latest = handle, handle.getValueState("latest", "at long")
-
-        def handleInputRows(self, key, rows, timerValues):
-            pdf = pd.concat(list(rows)).sort_values(["at", "row_number"])
-            at = pdf["at"].to_numpy()
-            before = self.latest.get()[0] if self.latest.exists() else None
-            gap = np.diff(at, prepend=at[0] - span - 1 if before is None else before)
-            last = int(at[-1]) if before is None else max(before, int(at[-1]))
-            self.latest.update((last,))
-            self.handle.registerTimer(last + span)
-            yield pd.DataFrame({"row_number": pdf["row_number"].to_numpy(), "key": [key[0]] * len(pdf), "duplicate": gap <= span})
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            if self.latest.exists() and self.latest.get()[0] + span <= expiredTimerInfo.getExpiryTimeInMs():
-                self.latest.clear()
-            return iter([])
-
-        def close(self):
-            pass
-
-    keyed = (stream.select(F.col(row_number).cast("long").alias("row_number"), py_trim(F.col(key)).alias("key"), F.col(event_time).cast("timestamp").alias("event_time"))
-             .where(F.col("key").isNotNull() & (F.col("key") != "") & F.col("event_time").isNotNull())
+    def flag(_bucket, batches, state):
+        latest = dict(zip(*state.get)) if state.exists else {}
+        rows = [] if state.hasTimedOut else list(batches)
+        if rows:
+            pdf = pd.concat(rows).sort_values(["key", "at", "row_number"])
+            keys, at = pdf["key"].to_numpy(), pdf["at"].to_numpy()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            last = np.append(first[1:], len(keys)) - 1
+            gap = np.diff(at, prepend=at[0])
+            gap[first] = [t - latest.get(k, t - span - 1) for k, t in zip(keys[first], at[first].tolist())]
+            latest.update([(k, max(t, latest.get(k, t))) for k, t in zip(keys[first], at[last].tolist())])
+            yield pd.DataFrame({"row_number": pdf["row_number"].to_numpy(), "key": keys, "duplicate": gap <= span})
+        mark = state.getCurrentWatermarkMs()
+        latest = {k: t for k, t in latest.items() if t + span > mark}
+        if latest:
+            state.update((list(latest), list(latest.values())))
+            state.setTimeoutTimestamp(max(min(latest.values()) + span, mark + 1, 1))
+        elif state.exists:
+            state.remove()
+
+    at = F.col(event_time).cast("timestamp")
+    keyed = (_bucketed(stream, key, row_number, at.alias("event_time"), buckets=buckets).where(F.col("event_time").isNotNull())
              .withWatermark("event_time", watermark).withColumn("at", F.unix_millis("event_time")))
-    return keyed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Latest(), outputStructType="row_number long, key string, duplicate boolean", outputMode="append", timeMode="EventTime")
+    return keyed.groupBy("bucket").applyInPandasWithState(flag, "row_number long, key string, duplicate boolean", "keys array<string>, at array<long>",
+                                                          "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def first_occurrence_flags(stream: DataFrame, key: str, row_number: str = "row_number") -> DataFrame:
+def first_occurrence_flags(stream: DataFrame, key: str, row_number: str = "row_number", buckets: int = BUCKETS) -> DataFrame:
     """ST2: UNIQUE on a stream with keep-first semantics.
 
     Emits ``(row_number, key, duplicate)`` for every row with a present key: a row is a
     duplicate when its trimmed key was seen in an earlier micro-batch, or earlier in
-    the same micro-batch (by ``row_number``). Per-key state is one boolean in the
-    state store; a group handed to pandas holds one key's rows of one micro-batch, so
-    it is bounded by the trigger size (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``),
-    not by the table. Blank keys are not checked, as in the batch UNIQUE check.
+    the same micro-batch (by ``row_number``). Keys are dealt over ``buckets`` by their hash; state is each bucket's
+    keys, and a group handed to pandas holds one bucket's rows of one micro-batch, so
+    it is bounded by the trigger size (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``),
+    not by the table. A micro-batch writes the buckets it meets anew: a stream of small micro-batches over
+    very many keys wants more buckets. Blank keys are not checked, as in the batch UNIQUE check.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    from tabvet.functions.text import py_trim
+    def flag(_bucket, batches, state):
+        seen = state.get[0] if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["key", "row_number"])
+        again = rows.duplicated("key")
+        known = rows["key"].isin(seen)
+        state.update(([*seen, *rows["key"][~(again | known)]],))
+        yield pd.DataFrame({"row_number": rows["row_number"].to_numpy(), "key": rows["key"].to_numpy(), "duplicate": (again | known).to_numpy()})
 
-    keyed = (stream.select(F.col(row_number).cast("long").alias("row_number"), py_trim(F.col(key)).alias("key"))
-             .where(F.col("key").isNotNull() & (F.col("key") != "")))
-
-    def flag(k, batches, state):
-        seen = state.exists
-        parts = [pdf[["row_number"]] for pdf in batches]
-        rows = pd.concat(parts).sort_values("row_number") if parts else pd.DataFrame({"row_number": []})
-        dup = [seen or i > 0 for i in range(len(rows))]
-        state.update((True,))
-        yield pd.DataFrame({"row_number": rows["row_number"].astype("int64").to_numpy(),
-                            "key": [k[0]] * len(rows), "duplicate": dup})
-
-    return keyed.groupBy("key").applyInPandasWithState(
-        flag, "row_number long, key string, duplicate boolean", "seen boolean", "append",
-        GroupStateTimeout.NoTimeout)
+    return _bucketed(stream, key, row_number, buckets=buckets).groupBy("bucket").applyInPandasWithState(
+        flag, "row_number long, key string, duplicate boolean", "keys array<string>", "append", GroupStateTimeout.NoTimeout)

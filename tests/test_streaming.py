@@ -90,3 +90,27 @@ def test_rates_in_append_mode_and_late_rows(spark, tmp_dir):
     assert got == [("2024-01-01", 3, "REQUIRED", 2), ("2024-01-03", 1, "REQUIRED", 1), ("2024-01-04", 2, "REQUIRED", 2)]
     late = late_rows(read_table_stream(spark, os.path.join(tmp_dir, "t"), v.frame.select("row_number", "k", "at").schema), "at", "1 day", "1 day")
     assert sorted(r.row_number for r in late.collect()) == [6]
+
+
+def test_keys_share_groups_and_their_states(spark, tmp_dir):
+    """A call of Python a key took longer than the job's limit; a bucket holds many keys, whatever their number."""
+    batches = [[(i, f"k{i % 60}", "2024-01-01 00:00:00") for i in range(100)], [(100 + i, f"k{i}", "2024-01-01 12:00:00") for i in range(80)]]
+    flags = {"first": lambda s: first_occurrence_flags(s, "k", buckets=3), "within": lambda s: unique_within(s, "k", "at", "1 day", buckets=3)}
+    for name, flag in flags.items():
+        ckpt, out = os.path.join(tmp_dir, f"{name}-c"), os.path.join(tmp_dir, f"{name}-o")
+        q = (flag(_events(spark, os.path.join(tmp_dir, name), batches)).writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 3, name
+        got = {r.row_number: r.duplicate for r in spark.read.parquet(out).collect()}
+        assert got == {i: i >= 60 if i < 100 else i < 160 for i in range(180)}, name
+
+
+def test_small_files_share_a_micro_batch(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "t.parquet")
+    spark.range(60).repartition(6).write.parquet(path)
+    for most, batches in (({}, 6), ({"bytes_per_trigger": 1 << 20}, 1)):
+        stream = read_table_stream(spark, path, spark.range(1).schema, **most)
+        q = stream.writeStream.format("noop").option("checkpointLocation", os.path.join(tmp_dir, f"c{batches}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert len([p for p in q.recentProgress if p["numInputRows"]]) == batches
