@@ -240,12 +240,12 @@ def job_status_counts(spark, sf):
 
 
 def missing_chunks(spark, sf):
-    return ledger.missing_chunks(fx.ledger(spark, sf, fx.SESSIONS_SQL), fx.ledger(spark, sf, fx.PIECES_SQL))
+    return ledger.missing_chunks(fx.ledger(spark, sf, fx.SESSIONS_SQL), fx.ledger(spark, sf, fx.PIECES_SQL), fx.splits(spark, sf, "lineitem"))
 
 
 def merge_chunks(spark, sf):
     pieces = fx.ledger(spark, sf, fx.PIECES_SQL)
-    return ledger.merge_chunks(pieces.where("l_linestatus = 'O'"), pieces.where("l_linestatus <> 'O'"))
+    return ledger.merge_chunks(pieces.where("l_linestatus = 'O'"), pieces.where("l_linestatus <> 'O'"), fx.splits(spark, sf, "lineitem"))
 
 
 def _table_stream(spark, sf, name: str) -> DataFrame:

@@ -76,7 +76,7 @@ def job_status_counts(recent: DataFrame) -> DataFrame:
         F.sum((st == "FAILED").cast("int")).cast("long").alias("failed"))
 
 
-def missing_chunks(sessions: DataFrame, pieces: DataFrame) -> DataFrame:
+def missing_chunks(sessions: DataFrame, pieces: DataFrame, partitions: int | None = None) -> DataFrame:
     """Per upload session its status, and a row for each range of missing pieces.
 
     ``sessions``: session_id, file_size, chunk_size. ``pieces``: session_id, chunk_index
@@ -95,9 +95,9 @@ def missing_chunks(sessions: DataFrame, pieces: DataFrame) -> DataFrame:
         (F.col("chunk_count") - F.coalesce("uploaded_count", zero)).alias("missing_count"),
         (F.coalesce("uploaded_count", zero) == F.col("chunk_count")).alias("complete"), F.coalesce("invalid_pieces", zero).alias("invalid_pieces"),
         (F.col("file_size") > F.lit(MAX_UPLOAD_BYTES)).alias("over_limit"))
-    return status.join(missing_ranges(s, pieces), "session_id", "left")
+    return status.join(missing_ranges(s, pieces, partitions), "session_id", "left")
 
 
-def merge_chunks(first: DataFrame, second: DataFrame) -> DataFrame:
+def merge_chunks(first: DataFrame, second: DataFrame, partitions: int | None = None) -> DataFrame:
     """Union of two piece lists per session, as ranges of successive pieces."""
-    return merged_ranges(first, second)
+    return merged_ranges(first, second, partitions=partitions)

@@ -73,3 +73,15 @@ def test_no_arrays_of_a_session(spark):
     for df in (pieces.missing_ranges(s, p), pieces.merged_ranges(p, p)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_set" not in plan and "collect_list" not in plan and "sequence" not in plan
+
+
+def test_pieces_are_dealt_over_as_many_tasks_as_the_input_needs(spark, monkeypatch):
+    """Shuffle partitions were merged down to the cores, so a task's memory grew with the table."""
+    from tabvet import fixtures as fx
+    from tabvet.catalog import QUERIES
+    monkeypatch.setattr(fx, "SPLIT_BYTES", 2000)
+    sf = "/root/testdata/sf0.001"
+    n = fx.splits(spark, sf, "lineitem")
+    plan = QUERIES["merge_chunks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert n > spark.sparkContext.defaultParallelism and plan.count(f", {n}), REPARTITION_BY_NUM") >= 2
+    assert "Exchange hashpartitioning" not in "".join(x for x in plan.split("\n") if "ENSURE_REQUIREMENTS" in x and "stretch" in x)
