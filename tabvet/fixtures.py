@@ -134,7 +134,7 @@ def register_sources(spark: SparkSession, sf_dir: str, names=("orders", "lineite
                      rebalance: bool = False) -> None:
     """Temp views of the driver tables; file position exposed as ``_row_index``.
 
-    ``rebalance`` deals the rows over ``splits`` tasks."""
+    ``rebalance`` deals the stored rows over ``splits`` tasks, so that the text made of them is made in these and isn't shuffled."""
     from tabvet.sources.readers import balanced
 
     for name in names:
@@ -142,8 +142,8 @@ def register_sources(spark: SparkSession, sf_dir: str, names=("orders", "lineite
         balanced(df, splits(spark, sf_dir, name) if rebalance else None).createOrReplaceTempView(name)
 
 
-def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_sources(spark, sf_dir, ("orders",))
+def dirty_orders(spark: SparkSession, sf_dir: str, rebalance: bool = False) -> DataFrame:
+    register_sources(spark, sf_dir, ("orders",), rebalance)
     return spark.sql(spark_sql(DIRTY_ORDERS_SQL))
 
 
@@ -187,12 +187,12 @@ JOIN {{plan}} home ON home.nation = n JOIN {{plan}} p ON p.nation = far
 
 
 def world_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_sources(spark, sf_dir, ("orders", "customer"))
+    register_sources(spark, sf_dir, ("orders", "customer"), rebalance=True)
     return spark.sql(WORLD_PHONES_SQL.format(row="o_row + 2", rowsrc=", orders._row_index AS o_row", plan=world_plan_sql()))
 
 
 def order_dates(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    register_sources(spark, sf_dir, ("orders",))
+    register_sources(spark, sf_dir, ("orders",), rebalance=True)
     return spark.sql(spark_sql(sql))
 
 

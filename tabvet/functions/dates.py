@@ -198,6 +198,31 @@ def strptime_parts_sql(x: str, fmt: str | CompiledFormat) -> str:
     return f"CASE WHEN {x} RLIKE {rx} THEN split(regexp_replace({x}, {rx}, '{repl}'), '{SEP}') END"
 
 
+_ISO_FIELDS = set("YmdHMSf")
+
+
+def iso_sql(x: str, fmt: str | CompiledFormat) -> str | None:
+    """``strptime(x, fmt)`` for a format of plain numbers, else None: one replace writes them in ISO order, and Spark's own cast
+    reads that, without an array of fields, casts of each and decimal seconds."""
+    cf = fmt if isinstance(fmt, CompiledFormat) else compile_strptime(fmt)
+    if not set(cf.fields) <= _ISO_FIELDS:
+        return None
+    at = lambda d, default: f"${cf.fields.index(d) + 1}" if d in cf.fields else default
+    iso = f"{at('Y', '1900')}-{at('m', '1')}-{at('d', '1')}"
+    if set("HMSf") & set(cf.fields):
+        iso += f" {at('H', '0')}:{at('M', '0')}:{at('S', '0')}{at('f', '') and '.' + at('f', '')}"
+    rx = lit_rx(cf.regex)
+    text = f"regexp_replace({x}, {rx}, '{iso}')"
+    if "d" in cf.fields:
+        text = f"replace({text}, '- ', '-0')"  # %d takes a space for the tens
+    return f"CASE WHEN {x} RLIKE {rx}{_not_year_zero(cf, x)} THEN try_cast({text} AS TIMESTAMP_NTZ) END"
+
+
+def _not_year_zero(cf: CompiledFormat, x: str) -> str:
+    """datetime() has no year 0; Spark has."""
+    return f" AND NOT ({x} LIKE '%0000%' AND regexp_extract({x}, {lit_rx(cf.regex)}, {cf.fields.index('Y') + 1}) = '0000')" if "Y" in cf.fields else ""
+
+
 _DIGIT_DIRECTIVES = set("YmdHMSfyI")
 
 
@@ -287,20 +312,24 @@ def iso_text(ts: Column) -> Column:
     Built from the timestamp's string cast (no formatter per row): the cast prints
     ``yyyy-MM-dd HH:mm:ss`` plus the fraction without trailing zeros."""
     text = ts.cast("string")
+    return F.when(ts.isNull(), F.lit(None).cast("string")).otherwise(iso_of(text))
+
+
+def iso_of(text: Column) -> Column:
+    """ISO text of a timestamp's string cast."""
     base = F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8))
     frac = F.substring(text, 20, 7)
-    return F.when(ts.isNull(), F.lit(None).cast("string")).when(
-        F.length(text) > 19, F.concat(base, F.rpad(frac, 7, "0"))).otherwise(base)
+    return F.when(F.length(text) > 19, F.concat(base, F.rpad(frac, 7, "0"))).otherwise(base)
 
 
-def normalize_date_text(value: Column, trimmed: Column, by_format: Column, free: Column, offset: Column) -> Column:
-    """ISO text of a date cell: formats first, then the free-form parse; raw text when unparseable.
+def normalize_date_text(value: Column, trimmed: Column, text: Column, offset: Column) -> Column:
+    """ISO text of a date cell from ``text``, its parsed time cast to string (once a row), and the offset of a free-form date;
+    raw text when unparseable.
 
     Null stays null and blank becomes ``""``, as in the reference's normalizer.
     """
-    free_text = F.when(offset.isNull(), iso_text(free)).otherwise(F.concat(iso_text(free), offset_text(offset)))
     return (F.when(value.isNull(), F.lit(None).cast("string"))
             .when(trimmed == "", F.lit(""))
-            .when(by_format.isNotNull(), iso_text(by_format))
-            .when(free.isNotNull(), free_text)
-            .otherwise(value.cast("string")))
+            .when(text.isNull(), value.cast("string"))
+            .when(offset.isNull(), iso_of(text))
+            .otherwise(F.concat(iso_of(text), offset_text(offset))))

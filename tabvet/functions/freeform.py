@@ -2,9 +2,9 @@
 
 A complete date of any accepted shape is matched by a single regex whose alternatives are the shapes
 (``SHAPES``: where the day, month and year stand) followed by an optional time and UTC offset.
-One replace and one split stage the captured groups as an array. Since only one shape's groups are
-filled, the first, second and third number of the date are the concatenations of all shapes' groups in
-these roles, and the same few expressions turn the numbers of every shape into a timestamp.
+Since only one shape's groups are filled, one replace writes the groups of each role (first, second and third
+number, month name, clock, offset) in a row, one split stages these pieces as an array, and the same few
+expressions turn the pieces of every shape into a timestamp.
 
 Reading rules (those of the free-form parser that the reference calls): a first number of
 four digits or above 31 is a year; else numeric dates are month-first, day-first if the
@@ -39,14 +39,16 @@ SHAPES = [
     (rf"{_MONTH}\s+{_DAY}\s+(\d{{1,2}}):(\d{{1,2}})(?::(\d{{1,2}}))?\s+(\d{{4}})", "n1him3"),
 ]
 _TIME = rf"(?:(?:\s+(?:at\s+)?|,\s*|t)(?:{_CLOCK}|(\d{{1,2}})(?=\s*[ap]m))\s*(?:([ap])m)?\s*(z|utc|gmt|[+-]\d{{2}}(?::?\d{{2}})?)?)?"
-REGEX = rf"^{_WEEKDAY}(?:{'|'.join(rx for rx, _ in SHAPES)}){_TIME}$"
+REGEX = rf"(?i)^{_WEEKDAY}(?:{'|'.join(rx for rx, _ in SHAPES)}){_TIME}$"
 _ROLES = "".join(roles for _, roles in SHAPES) + "himfhaz"
+#: What a date is split into: numbers, month name, clock, offset. Only one shape's groups are filled, so the text of a role is all its groups in a row.
+_PIECES = "123nhimfaz"
+_REPLACEMENT = _SEP.join("".join(f"${k + 1}" for k, r in enumerate(_ROLES) if r == role) for role in _PIECES)
 
 
-def _role(array: str, role: str) -> str:
-    """The text of the one filled group of a role."""
-    groups = [f"element_at({array}, {k + 1})" for k, r in enumerate(_ROLES) if r == role]
-    return groups[0] if len(groups) == 1 else f"concat({', '.join(groups)})"
+def _piece(array: str, role: str) -> str:
+    """The text of a role."""
+    return f"element_at({array}, {_PIECES.index(role) + 1})"
 
 
 def _int(text: str) -> str:
@@ -55,54 +57,47 @@ def _int(text: str) -> str:
 
 
 def lower_sql(x: str) -> str:
-    """ASCII letters in lower case; ``lower`` goes through ICU for every cell, and no other letter is part of a date."""
+    """ASCII letters in lower case; ``lower`` goes through ICU for every cell, and no other letter is part of a date.
+    It takes a map lookup a character, so only month names and offsets go through it, not whole dates."""
     return f"translate({x}, '{ascii_uppercase}', '{ascii_lowercase}')"
 
 
 def parts_sql(x: str) -> str:
-    """The captured groups of a complete date in lower case as an array, null for anything else."""
-    groups = _SEP.join(f"${k + 1}" for k in range(len(_ROLES)))
-    return f"CASE WHEN {x} RLIKE r'{REGEX}' THEN split(regexp_replace({x}, r'{REGEX}', '{groups}'), '{_SEP}') END"
+    """The pieces of a complete date as an array, null for anything else."""
+    return f"CASE WHEN {x} RLIKE r'{REGEX}' THEN split(regexp_replace({x}, r'{REGEX}', '{_REPLACEMENT}'), '{_SEP}') END"
 
 
-def numbers_sql(parts: str) -> dict[str, str]:
-    """From the array: the date's numbers as text and int, the month by name, and the clock."""
-    name = _role(parts, "n")
-    return {
-        "first": _role(parts, "1"), "second": _int(_role(parts, "2")), "third": _role(parts, "3"),
-        "named": f"CASE WHEN {name} <> '' THEN (instr('{MONTHS}', substr({name}, 1, 3)) + 2) div 3 END",
-        "clock": f"concat({_role(parts, 'h')}, ':', {_role(parts, 'i')}, ':', {_role(parts, 'm')}, ':', rpad({_role(parts, 'f')}, 6, '0'), ':', {_role(parts, 'a')})",
-    }
-
-
-def date_sql(n: dict[str, str], year: int) -> dict[str, str]:
-    """From the numbers: year, month and day. ``year`` is the current one, for two-digit years."""
-    first, third = _int(n["first"]), _int(n["third"])
-    year_first = f"(length({n['first']}) = 4 OR {first} > 31)"
-    text = f"CASE WHEN {year_first} THEN {n['first']} ELSE {n['third']} END"
+def date_sql(parts: str, year: int) -> dict[str, str]:
+    """From the pieces: year, month and day. ``year`` is the current one, for two-digit years."""
+    one, three, name = (_piece(parts, r) for r in "13n")
+    first, second, third = (_int(_piece(parts, r)) for r in "123")
+    named = f"(instr('{MONTHS}', {lower_sql(f'substr({name}, 1, 3)')}) + 2) div 3"
+    year_first = f"(length({one}) = 4 OR {first} > 31)"
+    text = f"CASE WHEN {year_first} THEN {one} ELSE {three} END"
     century = year // 100 * 100
     full = f"({_int(text)} + {century})"
     return {
         "y": f"CASE WHEN length({text}) > 2 THEN {_int(text)} WHEN {full} >= {year + 50} THEN {full} - 100 "
              f"WHEN {full} < {year - 50} THEN {full} + 100 ELSE {full} END",
-        "mo": f"CASE WHEN {n['named']} IS NOT NULL THEN {n['named']} WHEN {year_first} OR {first} > 12 THEN {n['second']} ELSE {first} END",
-        "d": f"CASE WHEN {year_first} THEN {third} WHEN {n['named']} IS NOT NULL OR {first} > 12 THEN {first} ELSE {n['second']} END",
-        "t": f"split({n['clock']}, ':')",
+        "mo": f"CASE WHEN {name} <> '' THEN {named} WHEN {year_first} OR {first} > 12 THEN {second} ELSE {first} END",
+        "d": f"CASE WHEN {year_first} THEN {third} WHEN {name} <> '' OR {first} > 12 THEN {first} ELSE {second} END",
     }
 
 
-def timestamp_sql(f: dict[str, str]) -> str:
-    """The timestamp of year, month, day and the split clock (hour, minute, second, fraction, a or p)."""
-    at = lambda k: _int(f"element_at({f['t']}, {k})")
-    half = f"element_at({f['t']}, 5)"
-    hour = f"(CASE WHEN {half} = '' THEN {at(1)} WHEN {at(1)} <= 12 THEN {at(1)} % 12 + CASE WHEN {half} = 'p' THEN 12 ELSE 0 END END)"
-    seconds = f"cast(cast({at(3)} AS decimal(16,6)) + cast({at(4)} AS decimal(16,6)) / 1000000 AS decimal(8,6))"
-    return f"CASE WHEN {at(3)} <= 59 AND {f['y']} >= 1 THEN try_make_timestamp_ntz({f['y']}, {f['mo']}, {f['d']}, {hour}, {at(2)}, {seconds}) END"
+def timestamp_sql(f: dict[str, str], parts: str) -> str:
+    """The timestamp of year, month, day and the pieces of the clock."""
+    hour, minute, second = (_int(_piece(parts, r)) for r in "him")
+    half, fraction = _piece(parts, "a"), _piece(parts, "f")
+    hour = f"(CASE WHEN {half} = '' THEN {hour} WHEN {hour} <= 12 THEN {hour} % 12 + CASE WHEN {half} IN ('p', 'P') THEN 12 ELSE 0 END END)"
+    micros = _int(f"rpad({fraction}, 6, '0')")
+    seconds = (f"CASE WHEN {fraction} = '' THEN cast({second} AS decimal(8,6)) "
+               f"ELSE cast(cast({second} AS decimal(16,6)) + cast({micros} AS decimal(16,6)) / 1000000 AS decimal(8,6)) END")
+    return f"CASE WHEN {second} <= 59 AND {f['y']} >= 1 THEN try_make_timestamp_ntz({f['y']}, {f['mo']}, {f['d']}, {hour}, {minute}, {seconds}) END"
 
 
 def offset_sql(parts: str) -> str:
-    """The UTC offset as written, null without one."""
-    return f"nullif({_role(parts, 'z')}, '')"
+    """The UTC offset as written, in lower case, null without one."""
+    return f"nullif({lower_sql(_piece(parts, 'z'))}, '')"
 
 
 @dataclass(frozen=True)
@@ -116,27 +111,19 @@ def stage(st, x: str, year: int, need: str | None = None, after: tuple[str, ...]
     """Stage the parse of column ``x``, only where the condition ``need`` over the columns ``after`` holds."""
     from tabvet.functions.dates import ident
 
-    sql = lower_sql(ident(x))
-    lower = st.add(F.expr(f"CASE WHEN {need} THEN {sql} END" if need else sql), [x, *after])
-    parts = st.add(F.expr(parts_sql(ident(lower))), [lower])
-
-    def each(values: dict[str, str], deps: list[str]) -> dict[str, str]:
-        return {k: st.add(F.expr(v), deps) for k, v in values.items()}
-
-    named = each(numbers_sql(ident(parts)), [parts])
-    fields = each(date_sql({k: ident(v) for k, v in named.items()}, year), list(named.values()))
-    local = st.add(F.expr(timestamp_sql({k: ident(v) for k, v in fields.items()})), list(fields.values()))
+    sql = parts_sql(ident(x))
+    parts = st.add(F.expr(f"CASE WHEN {need} THEN {sql} END" if need else sql), [x, *after])
+    fields = {k: st.add(F.expr(v), [parts]) for k, v in date_sql(ident(parts), year).items()}
+    local = st.add(F.expr(timestamp_sql({k: ident(v) for k, v in fields.items()}, ident(parts))), [parts, *fields.values()])
     return FreeForm(local, st.add(F.expr(offset_sql(ident(parts))), [parts]))
 
 
 def freeform_sql(x: str, year: int) -> str:
     """The local time of a free-form date as one expression; each level is bound once by a one-element transform."""
-    def bind(values: dict[str, str], names: str, then: str) -> str:
-        return f"element_at(transform(array(named_struct({', '.join(f'{k!r}, {v}' for k, v in values.items())})), {names} -> {then}), 1)"
-
-    numbers, fields = numbers_sql("p0"), ("y", "mo", "d", "t")
-    inner = bind(date_sql({k: f"n0.{k}" for k in numbers}, year), "d0", timestamp_sql({k: f"d0.{k}" for k in fields}))
-    return f"element_at(transform(array({parts_sql(lower_sql(x))}), p0 -> {bind(numbers, 'n0', inner)}), 1)"
+    fields = date_sql("p0", year)
+    struct = ", ".join(f"{k!r}, {v}" for k, v in fields.items())
+    inner = f"element_at(transform(array(named_struct({struct})), d0 -> {timestamp_sql({k: f'd0.{k}' for k in fields}, 'p0')}), 1)"
+    return f"element_at(transform(array({parts_sql(x)}), p0 -> {inner}), 1)"
 
 
 def offset_minutes(offset: Column) -> Column:

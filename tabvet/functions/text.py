@@ -15,8 +15,13 @@ def as_column(c: Column | str) -> Column:
 
 
 def py_trim(c: Column | str) -> Column:
-    """``str.strip()``: removes Python whitespace at both ends (SQL ``trim`` only removes spaces)."""
-    return F.trim(as_column(c).cast("string"), F.lit(PY_WHITESPACE))
+    """``str.strip()``: removes Python whitespace at both ends (SQL ``trim`` only removes spaces).
+
+    Text that begins and ends with a printable ASCII character, ``!`` to ``~``, is left as it is without a search through the
+    29 whitespace characters at either end."""
+    c = as_column(c).cast("string")
+    last = F.substring(c, -1, 1)
+    return F.when((c >= "!") & (c < "\x7f") & (last >= "!") & (last < "\x7f"), c).otherwise(F.trim(c, F.lit(PY_WHITESPACE)))
 
 
 def is_missing(c: Column | str) -> Column:

@@ -16,7 +16,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabvet.functions.dates import (DEFAULT_VALIDATION_FORMATS, ident, skeleton_sql, strptime_from_parts_sql,
+from tabvet.functions.dates import (DEFAULT_VALIDATION_FORMATS, ident, iso_sql, skeleton_sql, strptime_from_parts_sql,
                                    strptime_parts_sql)
 from tabvet.functions.freeform import FreeForm, offset_minutes, stage
 from tabvet.functions.numeric import is_finite, parse_py_float, trunc_toward_zero
@@ -52,6 +52,12 @@ class CheckContext:
             self._values[name] = FieldValues(self, name)
         return self._values[name]
 
+    def whole_freeform(self, name: str) -> bool:
+        """Whether a cell's free-form parse is read without formats before it: normalization of a date without formats, or a cross check."""
+        rule = self.rules.field(name)
+        crossed = {c.get(k) for c in self.rules.cross_checks for k in ("left", "right", "field")}
+        return rule is not None and ((rule.type in ("date", "datetime") and not rule.formats) or (name in crossed and not _cross_formats(name, self)))
+
 
 class FieldValues:
     """Lazily staged intermediate values of one input column."""
@@ -79,11 +85,24 @@ class FieldValues:
 
     def by_formats(self, formats: tuple[str, ...]) -> str:
         """strptime with each format in turn; a format is only tried where the
-        previous ones failed, and its fields are matched once (staged array)."""
+        previous ones failed. Formats of plain numbers in a row are one stage, others stage their fields as an array."""
         def make():
             st, t = self.ctx.stager, ident(self.trimmed)
-            prev = None
+            prev, numeric = None, []
+
+            def flush():
+                nonlocal prev
+                if numeric:
+                    first = [ident(prev)] if prev else []
+                    prev = st.add(F.expr(f"coalesce({', '.join(first + numeric)})"), [self.trimmed] + ([prev] if prev else []))
+                    numeric.clear()
+
             for fmt in formats:
+                iso = iso_sql(t, fmt)
+                if iso:
+                    numeric.append(iso)
+                    continue
+                flush()
                 cond = "" if prev is None else f"{ident(prev)} IS NULL AND "
                 skel = skeleton_sql(t, fmt)
                 if skel:
@@ -93,6 +112,7 @@ class FieldValues:
                 ts = strptime_from_parts_sql(ident(parts), fmt)
                 expr = ts if prev is None else f"coalesce({ident(prev)}, {ts})"
                 prev = st.add(F.expr(expr), [parts] + ([prev] if prev else []))
+            flush()
             if prev is None:
                 prev = st.add(F.lit(None).cast("timestamp_ntz"))
             return prev
@@ -101,10 +121,16 @@ class FieldValues:
     def _freeform(self, after: tuple[str, ...] | None) -> FreeForm:
         """The free-form parse; with ``after`` only where those formats did not parse
         (its regex is the expensive part, so it runs only when needed)."""
+        after = after or None
+
         def make():
             if not after:
                 return stage(self.ctx.stager, self.trimmed, self.ctx.year)
             fmt = self.by_formats(after)
+            if self.ctx.whole_freeform(self.name):  # another use reads it for every row, so it isn't parsed twice
+                free = self._freeform(None)
+                rest = [self.ctx.stager.add(F.when(col(fmt).isNull(), col(c)), [fmt, c]) for c in (free.local, free.offset)]
+                return FreeForm(*rest)
             return stage(self.ctx.stager, self.trimmed, self.ctx.year, f"{ident(fmt)} IS NULL", (fmt,))
         return self._get(("free", after), make)
 

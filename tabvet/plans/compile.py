@@ -155,13 +155,10 @@ def compile_rules(ctx: CheckContext, flags: dict[str, KeyFlags], phone_region: s
         elif rule.type in ("date", "datetime"):
             fv = ctx.values(rule.name)
             formats = tuple(rule.formats) if rule.formats else None
-            if formats:
-                by_format, free = col(fv.by_formats(formats)), col(fv.freeform(formats))
-            else:
-                by_format, free = F.lit(None).cast("timestamp_ntz"), col(fv.freeform())
-            off = fv.offset(formats)
+            deps = [fv.by_formats(formats), fv.freeform(formats)] if formats else [fv.freeform()]
+            text = ctx.stager.add(F.coalesce(*[col(d) for d in deps]).cast("string"), deps)
             normalized.append((f"{rule.name}_normalized",
-                               normalize_date_text(col(rule.name).cast("string"), fv.t, by_format, free, col(off))))
+                               normalize_date_text(col(rule.name).cast("string"), fv.t, col(text), col(fv.offset(formats)))))
     return Compiled(slots, masks, dynamic, normalized)
 
 

@@ -193,3 +193,25 @@ def test_freeform_case_is_folded_for_ascii_only(spark):
     df = spark.createDataFrame([(t,) for t in texts], "x string")
     got = [r[0] and str(r[0]) for r in df.select(F.expr(sql)).collect()]
     assert got == ["2021-03-05 15:04:00", "2021-03-05 00:00:00", "2021-03-05 03:04:05", "2021-03-05 10:00:00", None, "2020-02-13 00:00:00", None, None, None]
+
+
+def test_formats_of_numbers_are_cast_as_iso_text(spark):
+    """No array of fields, casts of each and decimal seconds for them; days with a space, year 0, second 60 and fractions as strptime has them."""
+    from tabvet.functions.dates import iso_sql
+    values = ["2024-01-05", "2024-1- 5", "2024-02-30", "0000-01-01", "2000-00-10", "5/1/2024 1:2:3.5", "31/12/2024 23:59:59.000001", " 5/01/2024 00:00:60.1",
+              "05/01/2024 00:00:59.1234567", "10:30", "1:5", "24:00", "2024", "0000", "10000", "29/02", "28/02", "2024-01-05T10:00:00Z", ""]
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    for fmt in ("%Y-%m-%d", "%d/%m/%Y %H:%M:%S.%f", "%H:%M", "%Y", "%d/%m"):
+        sql = iso_sql("s", fmt)
+        assert "split(" not in sql and "decimal" not in sql
+        assert [r[0] for r in df.select(F.expr(sql)).collect()] == [py_parse(v, fmt) for v in values], fmt
+    assert iso_sql("s", "%d %b %Y") is None and iso_sql("s", "%y-%m-%d") is None and iso_sql("s", "%Y-%m-%d %I") is None
+
+
+def test_trim_searches_no_plain_ends(spark):
+    """Most cells have nothing to trim: they were searched for 29 characters at both ends."""
+    values = ["a", "ab c", "~x~", "\x7f", " a", "a\t", "　a", "a\xa0", "\xe9 ", "\xe9", "\x1fa", "a\x85", "", " ", " \xa0", None, "x\U0001f600", "!", "\U0001f600 "]
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    out = df.select(py_trim("s"))
+    assert [r[0] for r in out.collect()] == [v and v.strip() for v in values]
+    assert "CASE WHEN" in out._jdf.queryExecution().optimizedPlan().toString()
