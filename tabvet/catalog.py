@@ -39,8 +39,8 @@ def _orders(spark, sf, keys: bool = True, **kw) -> Validated:
 
 
 def _products(spark, sf) -> Validated:
-    return validate(fx.products(spark, sf), load_rules(DEFAULT_RULES, "products"), as_of=fx.AS_OF,
-                    row_number="row_number", partitions=fx.splits(spark, sf, "lineitem"))
+    """The shuffle of the UNIQUE join deals the rows, here and in the payments."""
+    return validate(fx.products(spark, sf), load_rules(DEFAULT_RULES, "products"), as_of=fx.AS_OF, row_number="row_number")
 
 
 def _payments(spark, sf, reference: bool = False) -> Validated:
@@ -49,7 +49,7 @@ def _payments(spark, sf, reference: bool = False) -> Validated:
     if reference:
         rules = rules.with_constraint("order_id", "references", {"dataset": "orders", "field": "order_id"})
         refs = {"orders": fx.parent_orders(spark, sf)}
-    return validate(fx.payments(spark, sf), rules, as_of=fx.AS_OF, row_number="row_number", refs=refs, partitions=fx.splits(spark, sf, "events"))
+    return validate(fx.payments(spark, sf), rules, as_of=fx.AS_OF, row_number="row_number", refs=refs)
 
 
 def _codes(v: Validated, *codes) -> DataFrame:

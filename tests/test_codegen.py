@@ -48,3 +48,11 @@ def test_a_cell_is_parsed_once_by_the_freeform_parser(spark):
     plan = QUERIES["normalize_date_shapes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?:mon(?:day)?|tue(?:sday)?") == 2  # one match, one replace
     assert plan.count("split(") == 1
+
+
+@pytest.mark.parametrize("query", ["run_stats", "errors_by_code"])
+def test_rows_of_a_unique_join_are_not_dealt_before(spark, query):
+    """Products and payments were sorted and shuffled whole only to be shuffled by key afterwards, for the rows and again for the keys."""
+    plan = QUERIES[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RoundRobinPartitioning") == 2  # the stored orders, for the rows and for the keys
+    assert plan.count("hashpartitioning(_mk") == 3
