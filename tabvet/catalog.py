@@ -39,7 +39,7 @@ def _orders(spark, sf, keys: bool = True, **kw) -> Validated:
 
 
 def _products(spark, sf) -> Validated:
-    """The shuffle of the UNIQUE join deals the rows, here and in the payments."""
+    """The shuffle of the UNIQUE join deals the rows, here and in the payments; a join that needs none runs in the splits of the scan."""
     return validate(fx.products(spark, sf), load_rules(DEFAULT_RULES, "products"), as_of=fx.AS_OF, row_number="row_number")
 
 

@@ -53,6 +53,10 @@ def test_a_cell_is_parsed_once_by_the_freeform_parser(spark):
 @pytest.mark.parametrize("query", ["run_stats", "errors_by_code"])
 def test_rows_of_a_unique_join_are_not_dealt_before(spark, query):
     """Products and payments were sorted and shuffled whole only to be shuffled by key afterwards, for the rows and again for the keys."""
-    plan = QUERIES[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as of larger tables
+    try:
+        plan = QUERIES[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("RoundRobinPartitioning") == 2  # the stored orders, for the rows and for the keys
     assert plan.count("hashpartitioning(_mk") == 3
