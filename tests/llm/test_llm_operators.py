@@ -459,6 +459,66 @@ def test_lm_counts_do_not_depend_on_splits(spark):
         assert r["base_score"] == pytest.approx(other["base_score"]) and r["score"] == pytest.approx(other["score"], rel=0.1)
 
 
+def test_lm_branches_of_a_context_lie_together():
+    """Three successive branches share a block of slots, and each bit of each symbol is there once, with its turn."""
+    rng = np.random.default_rng(19)
+    code = lm.Code.of((1 + rng.integers(0, 1000, 700) ** 2).tolist())
+    symbols, contexts = rng.integers(0, 700, 900), rng.integers(0, 1 << 60, (lm.HASHED, 900)).astype(np.uint64)
+    e = code.events(symbols, contexts, lm.BITS)
+    assert sorted(e.order.tolist()) == list(range(900)) and sum(e.ms) == code.length[symbols].sum()
+    turns, blocks = [[] for _ in symbols], [[set() for _ in symbols] for _ in range(lm.HASHED)]
+    ends = np.cumsum([0, *e.ms])
+    for a, m in zip(ends, e.ms):
+        for j, token in enumerate(e.order[:m]):
+            turns[token].append(int(e.bit[a + j]))
+            for k in range(lm.HASHED):
+                assert e.slots[k, a + j] >> lm.BITS == k
+                blocks[k][token].add(int(e.slots[k, a + j]) // lm.GROUPED)
+    by_symbol = {}
+    for s, bits in zip(symbols.tolist(), turns):
+        assert by_symbol.setdefault(s, bits) == bits and len(bits) == code.length[s]
+    assert len({tuple(x) for x in by_symbol.values()}) == len(by_symbol)
+    assert all(len(b) <= -(-len(t) // 3) for k in range(lm.HASHED) for b, t in zip(blocks[k], turns))
+
+
+def test_lm_step_counts_every_bit_and_moves_each_gate():
+    rng = np.random.default_rng(20)
+    code = lm.Code.of((1 + rng.integers(0, 50, 90)).tolist())
+    model = lm.Counted(code, lm.BITS)
+    symbols, contexts = rng.integers(0, 90, 3000), rng.integers(1, 6, (lm.HASHED, 3000)).astype(np.uint64)
+    model.learn(symbols, contexts)
+    assert model.table.sum(0).sum() == lm.HASHED * code.length[symbols].sum()
+    e, w = code.events(symbols, contexts, lm.BITS), model.w.copy()
+    x, _, gate = lm.predictions(e, model.table.view(np.uint64)[:, 0])
+    wrong = e.bit - 1 / (1 + np.exp(-np.clip((x * w[gate].T).sum(0), -20, 20)))
+    times = np.maximum(np.bincount(gate, minlength=len(w)), 1)
+    for k in range(lm.HASHED + 1):
+        w[:, k] += lm.RATE / np.sqrt(times) * np.bincount(gate, x[k] * wrong, len(w))
+    model._step(symbols, contexts)
+    assert model.w == pytest.approx(w, abs=1e-4)
+
+
+def test_lm_words_and_their_endings():
+    texts = ["b Ünï a a.b x\x00y", "", None, "日本 b zz\nzz"]
+    for k in range(1, 5):
+        for count, at, found in lm.split_texts(texts[:k]):
+            names = lm.spelled(found)
+            assert names == found.dictionary.to_pylist() and len(at) == count + 1
+            assert lm.endings(names).tolist() == [zlib.crc32(w[-2:]) % lm.ENDINGS for w in names]
+    assert lm.spelled(next(lm.split_texts([""]))[2]) == [] and len(lm.endings([])) == 0
+
+
+def test_lm_tables_add_up_beyond_32_bits(spark):
+    block = np.zeros((lm.BLOCK, 2), np.uint32)
+    block[5], block[7] = (2**32 - 1, 2**31), (3, 1)
+    raw = bytearray(lm._pack(block))
+    assert (lm._unpack(bytes(raw), np.uint32, block.size).reshape(-1, 2) == block).all()
+    rows = spark.createDataFrame([(1, part, raw) for part in (0, 0, 0, 1)], lm.PARTS)
+    counts = lm._unpack(lm._add(rows, lm.Code.of([1, 2]), lm.BITS).counts, np.uint16, 2 * lm.HASHED << lm.BITS).reshape(-1, 2)
+    assert counts[lm.BLOCK + 5].tolist() == [65535, 32768] and counts[lm.BLOCK + 7].tolist() == [12, 4]
+    assert counts.sum() == 65535 + 32768 + 16
+
+
 # --- 4: WARC ------------------------------------------------------------------------------
 
 def test_warc_round_trip_and_audit(spark, tmp_dir):
